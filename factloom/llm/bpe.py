@@ -20,6 +20,7 @@ from factloom.llm import text_kernels as tk
 
 _NONE = np.int64(1) << np.int64(60)
 _WIDEST = 64
+_BLOCK = 8192
 
 
 class PairTable:
@@ -90,49 +91,60 @@ def merge_long(symbols: list[int], pairs: PairTable) -> list[int]:
 
 
 def _merge_block(symbols: np.ndarray, lengths: np.ndarray, pairs: PairTable) -> np.ndarray:
-    """Merges each row of a matrix (width a power of two); dead positions become -1."""
+    """Merges each row of a matrix (width a power of two); dead positions become -1.
+
+    All matrices are kept flat: one tree of 2 * width nodes and one run of width
+    positions for every row.
+    """
     rows, width = symbols.shape
-    at = np.arange(width)
-    after = np.broadcast_to(at + 1, symbols.shape).copy()
-    before = np.broadcast_to(at - 1, symbols.shape).copy()
+    symbols = np.ascontiguousarray(symbols).ravel()
+    after = np.tile(np.arange(1, width + 1), rows)
+    before = np.tile(np.arange(-1, width - 1), rows)
     tree = np.full((rows, 2 * width), _NONE)
-    merged = np.zeros((rows, width), np.int32)
-    r, i = np.nonzero(at[None, :] + 1 < lengths[:, None])
-    rank, new = pairs.find(symbols[r, i], symbols[r, i + 1])
+    merged = np.zeros(rows * width, np.int32)
+    r, i = np.nonzero(np.arange(1, width + 1)[None, :] < lengths[:, None])
+    at = r * width + i
+    rank, new = pairs.find(symbols[at], symbols[at + 1])
     tree[r, width + i] = np.where(rank < _NONE, rank * width + i, _NONE)
-    merged[r, i] = new
+    merged[at] = new
     for level in range(width.bit_length() - 2, -1, -1):
         lo, hi = 1 << level, 2 << level
         tree[:, lo:hi] = np.minimum(tree[:, 2 * lo : 2 * hi : 2], tree[:, 2 * lo + 1 : 2 * hi : 2])
-    live = np.flatnonzero(tree[:, 1] < _NONE)
-    while len(live):
-        i = tree[live, 1] % width
-        gone = after[live, i]
-        symbols[live, i] = merged[live, i]
-        symbols[live, gone] = -1
-        beyond = after[live, gone]
-        after[live, i] = beyond
-        has = beyond < lengths[live]
-        before[live[has], beyond[has]] = i[has]
-        tree[live, width + gone] = _NONE
-        tree[live, width + i] = _NONE
-        rr, ii = live[has], i[has]
-        rank, new = pairs.find(symbols[rr, ii], symbols[rr, beyond[has]])
-        tree[rr, width + ii] = np.where(rank < _NONE, rank * width + ii, _NONE)
-        merged[rr, ii] = new
-        back = before[live, i]
-        has = back >= 0
-        rr, ii, bb = live[has], i[has], back[has]
-        rank, new = pairs.find(symbols[rr, bb], symbols[rr, ii])
-        tree[rr, width + bb] = np.where(rank < _NONE, rank * width + bb, _NONE)
-        merged[rr, bb] = new
-        places = (width + gone, width + i, width + np.maximum(back, 0))
-        while places[0][0] > 1:
-            places = tuple(p >> 1 for p in places)
-            for p in places:
-                tree[live, p] = np.minimum(tree[live, 2 * p], tree[live, 2 * p + 1])
-        live = live[tree[live, 1] < _NONE]
-    return symbols
+    tree = tree.ravel()
+    live = np.arange(rows)
+    while True:
+        root = tree.take(live * (2 * width) + 1)
+        more = root < _NONE
+        if not more.any():
+            return symbols.reshape(rows, width)
+        live, i = live[more], root[more] & (width - 1)
+        row, top = live * width, live * (2 * width)
+        at = row + i
+        gone = after.take(at)
+        symbols[at] = merged.take(at)
+        symbols[row + gone] = -1
+        beyond = after.take(row + gone)
+        after[at] = beyond
+        tree[top + width + gone] = _NONE
+        tree[top + width + i] = _NONE
+        has = np.flatnonzero(beyond < lengths.take(live))
+        here, there = at[has], (row + beyond)[has]
+        before[there] = i[has]
+        rank, new = pairs.find(symbols.take(here), symbols.take(there))
+        tree[(top + width + i)[has]] = np.where(rank < _NONE, rank * width + i[has], _NONE)
+        merged[here] = new
+        back = before.take(at)
+        has = np.flatnonzero(back >= 0)
+        here, there = (row + back)[has], at[has]
+        rank, new = pairs.find(symbols.take(here), symbols.take(there))
+        tree[(top + width + back)[has]] = np.where(rank < _NONE, rank * width + back[has], _NONE)
+        merged[here] = new
+        places = [width + gone, width + i, width + np.maximum(back, 0)]
+        for _ in range(width.bit_length() - 1):
+            for k, p in enumerate(places):
+                places[k] = p = p >> 1
+                child = top + 2 * p
+                tree[top + p] = np.minimum(tree.take(child), tree.take(child + 1))
 
 
 def merge_segments(symbols: np.ndarray, offsets: np.ndarray, pairs: PairTable) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +156,8 @@ def merge_segments(symbols: np.ndarray, offsets: np.ndarray, pairs: PairTable) -
     width = 2
     while width <= _WIDEST:
         which = np.flatnonzero((lengths > width // 2) & (lengths <= width))
-        for lo in range(0, len(which), 1 << 16):
-            own = which[lo : lo + (1 << 16)]
+        for lo in range(0, len(which), _BLOCK):
+            own = which[lo : lo + _BLOCK]
             at = np.arange(width)
             inside = at[None, :] < lengths[own][:, None]
             block = np.full((len(own), width), -1, np.int32)
@@ -216,16 +228,80 @@ class SegmentEncoder:
         return self.ids[tk.ragged_index(self.starts[which], counts)], counts
 
 
+# ------------------------------------------------------------------ pre-tokens
+
+#: Code points of the Unicode property White_Space (fixed values).
+WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of every code point: white space, letter, number or other."""
+    out = np.full(0x110000, _OTHER, np.uint8)
+    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for run in regex.finditer(pattern, points):
+            own = run.group()
+            out[[ord(c) for c in own]] = kind
+    out[WHITE_SPACE] = _SPACE
+    return out
+
+
+def pre_tokens(chunk: tk.TextChunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the pre-tokens of a chunk, and each text's offsets in them.
+
+    The tokens are the matches of the pattern of byte-level vocabularies:
+    contractions 's 't 're 've 'm 'll 'd; runs of letters, of numbers or of other
+    characters, with one space before them; white space, of which the last
+    character before other text stands alone unless it is that space.
+    """
+    n = len(chunk.data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(chunk) + 1, np.int64)
+    point = np.frombuffer(chunk.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    place = np.flatnonzero((chunk.data & 0xC0) != 0x80)
+    first = np.searchsorted(place, chunk.offsets)
+    kind = _classes()[point]
+    opens = np.zeros(len(point) + 3, bool)
+    opens[first] = True
+    size = len(point)
+    change = np.ones(size, bool)
+    change[1:] = kind[1:] != kind[:-1]
+    change |= opens[:size]
+    blank = kind == _SPACE
+    joins = np.zeros(size, bool)
+    joins[1:] = point[:-1] == 0x20
+    joins &= ~opens[:size]
+    starts = change & (blank | ~joins)
+    lasts = blank[:-1] & ~blank[1:] & ~opens[1:size]
+    starts[:-1] |= lasts
+    for i in np.flatnonzero(starts[:-1] & (point[:-1] == 0x27) & (kind[1:] == _LETTER) & ~opens[1:size]).tolist():
+        a = point[i + 1]
+        if a in (0x73, 0x74, 0x6D, 0x64):
+            k = 2
+        elif i + 2 < size and not opens[i + 2] and (int(a), int(point[i + 2])) in ((0x72, 0x65), (0x76, 0x65), (0x6C, 0x6C)):
+            k = 3
+        else:
+            continue
+        starts[i + 1] = False
+        if i + k < size:
+            starts[i + k] = True
+    at = np.flatnonzero(starts)
+    begin = place[at]
+    return begin, np.append(begin[1:], n), np.searchsorted(at, first)
+
+
 # ---------------------------------------------------------------- byte-level ranks
 
 
 class ByteLevelEncoder:
     """Byte-level BPE by a rank file: bytes of a token and its rank, which is its id."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.pattern, self.ranks = regex.compile(pattern), ranks
+        self.ranks = ranks
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -241,27 +317,20 @@ class ByteLevelEncoder:
         self.decimal = [str(i) for i in range(len(self.tokens))]
 
     def _encode_new(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        whole = [self.ranks.get(t, -1) for t in texts]
-        lengths = np.array([1 if w >= 0 else len(t) for w, t in zip(whole, texts, strict=True)], np.int64)
+        whole = np.array([self.ranks.get(t, -1) for t in texts], np.int32)
+        known = whole >= 0
+        lengths = np.where(known, 1, np.array([len(t) for t in texts], np.int64))
         offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(lengths, out=offsets[1:])
-        rest = np.frombuffer(b"".join(t for w, t in zip(whole, texts, strict=True) if w < 0), np.uint8)
+        rest = np.frombuffer(b"".join(t for t, k in zip(texts, known.tolist(), strict=True) if not k), np.uint8)
         symbols = np.zeros(int(offsets[-1]), np.int32)
-        whole = np.array(whole, np.int32)
-        known = whole >= 0
         symbols[offsets[:-1][known]] = whole[known]
         symbols[tk.ragged_index(offsets[:-1][~known], lengths[~known])] = self.of_byte[rest]
         return merge_segments(symbols, offsets, self.pairs)
 
     def encode_chunk(self, chunk: tk.TextChunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk, and the offsets of each text's ids."""
-        lengths, per_text = [], np.zeros(len(chunk) + 1, np.int64)
-        for i in range(len(chunk)):
-            found = self.pattern.findall(chunk.text(i).decode("utf-8"))
-            lengths.extend(len(w) if w.isascii() else len(w.encode("utf-8")) for w in found)
-            per_text[i + 1] = len(lengths)
-        ends = np.cumsum(np.array(lengths, np.int64)) if lengths else np.zeros(0, np.int64)
-        starts = ends - np.array(lengths, np.int64)
+        starts, ends, per_text = pre_tokens(chunk)
         ids, counts = self.segments.encode(chunk.data, starts, ends)
         total = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=total[1:])
@@ -272,5 +341,5 @@ class ByteLevelEncoder:
 
 
 @lru_cache(maxsize=2)
-def byte_level_encoder(path: str, pattern: str) -> ByteLevelEncoder:
-    return ByteLevelEncoder(path, pattern)
+def byte_level_encoder(path: str) -> ByteLevelEncoder:
+    return ByteLevelEncoder(path)
