@@ -48,3 +48,22 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 def list_array(values, offsets, kind: pa.DataType) -> pa.Array:
     """A list array from ragged values."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def map_columns(df: DataFrame, keys: str, text: str, columns: str, function) -> DataFrame:
+    """Like map_texts, but the key column is only an input: ``function`` yields the
+    values of exactly the given columns."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    rows = df.select(F.col(keys).alias("_keys"), F.col(text).cast("string").alias("_text"))
+    schema = T.StructType.fromDDL(columns)
+    arrow = _arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(0)
+            for chunk in tk.text_chunks(batch.column(1)):
+                for values in function(chunk, own.slice(chunk.first, len(chunk))):
+                    yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)

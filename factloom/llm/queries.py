@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import byte_bpe, packing
+from factloom.llm import byte_bpe, language_id, packing, quality
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores the quality of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts the language of every document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document by a byte-level vocabulary."""
     docs = table(spark, sf_dir, "documents")
@@ -41,6 +51,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         f.__name__: f
         for f in (
+            op1_quality,
+            op3_language_id,
             op6_byte_bpe,
             op10_best_fit_packing,
         )
