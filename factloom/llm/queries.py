@@ -7,8 +7,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, language_id, packing, quality
+from factloom.llm import byte_bpe, imatch, language_id, line_dedup, packing, quality
 
 
 def vocabulary(name: str) -> str:
@@ -35,12 +36,24 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints every document and its edited text."""
+    return imatch.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document by a byte-level vocabulary."""
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.digests(byte_bpe.encode(docs, "doc_id", "text", vocabulary("byte_bpe_multi_50k.tiktoken"), decoded=True), "doc_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes repeated multi-line chunks from every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.remove_repeated_chunks(docs)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs every document into sequences of at most 4,096 tokens."""
     docs = table(spark, sf_dir, "documents")
@@ -53,7 +66,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_quality,
             op3_language_id,
+            op4_imatch,
             op6_byte_bpe,
+            op8_line_dedup,
             op10_best_fit_packing,
         )
     }
@@ -65,4 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_line_dedup": line_dedup.ORACLE,
+    }
