@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, imatch, language_id, line_dedup, packing, quality
+from factloom.llm import byte_bpe, imatch, language_id, line_dedup, packing, quality, warc
 
 
 def vocabulary(name: str) -> str:
@@ -41,6 +41,15 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives every page, then reads every record back through the capture index."""
+    pages = table(spark, sf_dir, "pages")
+    folder, files = warc.archive(spark, pages)
+    found = warc.read_captures(pages, folder, files)
+    kind = pages.schema["page_id"].dataType
+    return found.select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document by a byte-level vocabulary."""
     docs = table(spark, sf_dir, "documents")
@@ -67,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_quality,
             op3_language_id,
             op4_imatch,
+            op5_warc,
             op6_byte_bpe,
             op8_line_dedup,
             op10_best_fit_packing,
@@ -81,5 +91,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+            f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+            SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+                   CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN first <> page_id THEN first END AS refers_to
+            FROM p LEFT JOIN f USING (d)""",
         "op8_line_dedup": line_dedup.ORACLE,
     }
