@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, imatch, language_id, line_dedup, packing, quality, warc
+from factloom.llm import byte_bpe, imatch, language_id, line_dedup, packing, quality, substring_dedup, warc
 
 
 def vocabulary(name: str) -> str:
@@ -63,6 +63,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes 50-word windows that an earlier document has too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.digests(substring_dedup.remove_repeats(docs))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs every document into sequences of at most 4,096 tokens."""
     docs = table(spark, sf_dir, "documents")
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_warc,
             op6_byte_bpe,
             op8_line_dedup,
+            op9_substring_dedup,
             op10_best_fit_packing,
         )
     }
