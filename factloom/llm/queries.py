@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, imatch, language_id, line_dedup, packing, quality, substring_dedup, warc
+from factloom.llm import byte_bpe, embedding_dedup, imatch, language_id, line_dedup, minhash, packing, quality, substring_dedup, warc
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +31,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups near-duplicate embeddings."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicts the language of every document."""
     return language_id.identify(table(spark, sf_dir, "documents"))
@@ -56,6 +61,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(docs, "doc_id", "text", vocabulary("byte_bpe_multi_50k.tiktoken"), decoded=True), "doc_id")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups near-duplicate documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes repeated multi-line chunks from every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,10 +90,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_quality,
+            op2_embedding_dedup,
             op3_language_id,
             op4_imatch,
             op5_warc,
             op6_byte_bpe,
+            op7_minhash,
             op8_line_dedup,
             op9_substring_dedup,
             op10_best_fit_packing,
