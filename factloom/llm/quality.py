@@ -239,3 +239,18 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """Trains, then scores and predicts every document."""
     scored = score(docs, train(docs, labels, key, text, label), key, text)
     return scored.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def score_rows(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Every row and column of ``df`` with ``score`` (a column of that name is replaced)."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    others = [c for c in df.columns if c not in (text, "score")]
+    packed = df.select(F.struct(*others, F.col(text).isNull().alias("_null")).alias("_keys"), F.col(text).alias("_text"))
+
+    def run(chunk, keys):
+        nulls = keys.field("_null").to_pylist()
+        texts = pa.array([None if nulls[k] else chunk.text(k).decode() for k in range(len(chunk))], pa.string())
+        yield [*(keys.field(c) for c in others), texts, shared.value.scores(chunk)]
+
+    fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in others)
+    return arrow.map_columns(packed, "_keys", "_text", f"{fields}`{text}` string, score double", run).select(*[c for c in df.columns if c != "score"], "score")

@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from factloom.llm import byte_bpe, embedding_dedup, imatch, language_id, line_dedup, minhash, packing, quality, substring_dedup, warc
-
-
-def vocabulary(name: str) -> str:
-    """The place of a public vocabulary file; FACTLOOM_TOKENIZERS names another folder."""
-    folder = os.environ.get("FACTLOOM_TOKENIZERS")
-    if folder:
-        return f"{folder}/{name}"
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from factloom.llm.vocabularies import vocabulary
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,10 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_best_fit_packing,
         )
     }
-    if importlib.util.find_spec("corpus_pipeline") is not None:
-        import corpus_pipeline
-
-        found["pipeline"] = corpus_pipeline.run
+    found["pipeline"] = corpus_pipeline.run
     return found
 
 
