@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]{2,}"
 
@@ -43,7 +44,7 @@ def comparable_text(value: str) -> str:
     return value[:-1].rstrip() if value[-1:] in (".", "!", "?") else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _comparable(values: pd.Series) -> pd.Series:
     return values.map(comparable_text, na_action="ignore")
 
