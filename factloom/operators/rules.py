@@ -314,7 +314,8 @@ def outcomes(statements: DataFrame, predicates: list[str] | None = None, matcher
     problem = F.when(F.col("_checked"), F.when(missing, "abstained_missing_subject").when(subject_is_ambiguous(subject), "abstained_ambiguous_relationship").when(money & ~F.col("_type").isin("initiative", "programme", "policy", "organisation"), "abstained_unsupported_subject_type"))
     late = _by_rule(found, lambda m: m.late_warning() if m.late_warning else None, "string")
     names = sorted({q for m in found.values() for q in m.qualifiers})
-    pairs = F.array(*[F.struct(F.lit(q).alias("key"), _by_rule(found, lambda m, q=q: m.qualifiers[q]() if q in m.qualifiers else None, "string").alias("value")) for q in names])
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+    pairs = empty if not names else F.array(*[F.struct(F.lit(q).alias("key"), _by_rule(found, lambda m, q=q: m.qualifiers[q]() if q in m.qualifiers else None, "string").alias("value")) for q in names])
     rows = rows.withColumns({
         "warning": F.coalesce("_early", problem, late),
         "subject_type": F.coalesce("_kind", "_type"),
