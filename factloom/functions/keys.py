@@ -22,7 +22,7 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 
 def document_id(source_id: Column, checksum: Column) -> Column:
     """From a source id made plain and upper-cased, else from the checksum."""
-    plain = F.upper(F.regexp_replace(F.regexp_replace(F.trim(source_id), "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""))
+    plain = F.upper(F.regexp_replace(F.regexp_replace(F.trim(source_id), "[^A-Za-z0-9._-]+", "-"), "^-+|-+$", ""))
     return F.concat(F.lit("DOC-"), F.when(F.length(F.coalesce(plain, F.lit(""))) > 0, plain).otherwise(F.upper(F.substring(checksum, 1, 12))))
 
 
