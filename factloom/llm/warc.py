@@ -255,7 +255,8 @@ def read_captures(wanted: DataFrame, folder: str, files: list[tuple[bytes, str]]
     response computed from what was read) and ``refers_to`` as text.
     """
     pairs = wanted.select(F.col(key).cast("string").alias("key"), F.col(url).alias("url")).distinct()
-    ranged = pairs.repartitionByRange(F.reverse(F.split(F.regexp_extract("url", "^[^:]*://([^/:?#]*)", 1), "\\.")), "url", "key").sortWithinPartitions("url", "key")
+    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # records are far larger than the pairs that Spark would coalesce by
+    ranged = pairs.repartitionByRange(parts, F.reverse(F.split(F.regexp_extract("url", "^[^:]*://([^/:?#]*)", 1), "\\.")), "url", "key").sortWithinPartitions("url", "key")
     ranged.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
     def run(batches):
