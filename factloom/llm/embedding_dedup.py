@@ -30,8 +30,8 @@ SHARDS = 8
 #: More shards are used where one would hold more vectors than this.
 SHARD_ROWS = 100_000
 BLOCK_ROWS = 1024
-BEAM = 48
-AUDITS = 64
+BEAM = 64
+AUDITS = 128
 RECALL = 0.999
 
 

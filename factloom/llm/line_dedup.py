@@ -77,16 +77,17 @@ def remove_repeated_chunks(df: DataFrame, key: str = "doc_id", text: str = "text
     copies = candidates.where(where != F.col("_first")).join(first, "_h").where(F.col("_chunk").cast("binary") == F.col("_of").cast("binary"))
     gone = copies.groupBy("_key").agg(F.collect_set(F.struct(F.col("_no").alias("no"), F.col("_h").alias("h"))).alias("_gone"))
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    joined = df.select(*kept, F.col(key).alias("_key")).join(gone, "_key", "left")
-    marked = chunked(joined, text).withColumn("_pieces", F.when(F.col("_gone").isNotNull(), _pieces()))
+    others = [c for c in kept if c != text]
+    whole = df.select(F.struct(*others).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    marked = chunked(whole.join(gone, "_key", "left"), "_text").withColumn("_pieces", F.when(F.col("_gone").isNotNull(), _pieces()))
     stays = F.filter("_pieces", lambda p: ~F.array_contains(F.col("_gone"), F.struct(p["no"].alias("no"), F.xxhash64(p["text"]).alias("h"))))
     marked = marked.withColumn("_stay", stays)
-    result = marked.withColumn(out, F.when(F.col("_stay").isNotNull(), F.array_join(F.transform("_stay", lambda p: p["text"]), "\n")).otherwise(F.col(text)))
-    lines = F.coalesce(F.size("_lines"), F.lit(0))
+    result = F.when(F.col("_stay").isNotNull(), F.array_join(F.transform("_stay", lambda p: p["text"]), "\n")).otherwise(F.col("_text"))
     left = F.aggregate("_stay", F.lit(0).cast("int"), lambda n, p: (n + p["lines"]).cast("int"))
-    result = result.withColumn("n_lines", F.when(F.col(text if out != text else "_lines").isNull(), 0).otherwise(lines).cast("long"))
-    result = result.withColumn("n_removed", F.when(F.col("_stay").isNotNull(), F.size("_lines") - left).otherwise(F.lit(0)).cast("long"))
-    return result.select(*[c for c in kept if c != out], out, "n_lines", "n_removed")
+    columns = {c: F.col("_row")[c] for c in others} | ({text: F.col("_text")} if out != text else {})
+    columns |= {out: result, "n_lines": F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long"), "n_removed": F.when(F.col("_stay").isNotNull(), F.size("_lines") - left).otherwise(F.lit(0)).cast("long")}
+    names = [*[c for c in kept if c != out], out, "n_lines", "n_removed"]
+    return marked.select(*[columns[c].alias(c) for c in names])
 
 
 ORACLE = f"""

@@ -72,9 +72,11 @@ def indicators(chunk: tk.TextChunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         return dense, np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = tk.segment_hashes(_LOWER[chunk.data], starts, ends)
     own = np.repeat(np.arange(n), np.diff(per_text))
-    same = np.zeros(len(hashes) + 3, np.int64)
-    same[1 : len(hashes)] = (hashes[1:] == hashes[:-1]) & (own[1:] == own[:-1])
-    code = same[:-3] + 2 * same[1:-2] + 4 * same[2:-1] + 8 * same[3:]
+    same = np.zeros(len(hashes), np.int64)
+    same[1:] = (hashes[1:] == hashes[:-1]) & (own[1:] == own[:-1])
+    code = same.copy()
+    for k in (1, 2, 3):
+        code[:-k] += np.where(own[k:] == own[:-k], same[k:], 0) << k
     dense[own, _SHAPE3 + _SHAPE5 + code] = True
     shift = np.uint64(64 - _WORD_BITS)
     one = own * FEATURES + DENSE + (hashes >> shift).astype(np.int64)
@@ -245,12 +247,12 @@ def score_rows(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Every row and column of ``df`` with ``score`` (a column of that name is replaced)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     others = [c for c in df.columns if c not in (text, "score")]
-    packed = df.select(F.struct(*others, F.col(text).isNull().alias("_null")).alias("_keys"), F.col(text).alias("_text"))
+    packed = df.select(F.struct(F.struct(*others).alias("row"), F.col(text).isNull().alias("null")).alias("_keys"), F.col(text).alias("_text"))
 
     def run(chunk, keys):
-        nulls = keys.field("_null").to_pylist()
+        nulls, row = keys.field("null").to_pylist(), keys.field("row")
         texts = pa.array([None if nulls[k] else chunk.text(k).decode() for k in range(len(chunk))], pa.string())
-        yield [*(keys.field(c) for c in others), texts, shared.value.scores(chunk)]
+        yield [*(row.field(c) for c in others), texts, shared.value.scores(chunk)]
 
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in others)
     return arrow.map_columns(packed, "_keys", "_text", f"{fields}`{text}` string, score double", run).select(*[c for c in df.columns if c != "score"], "score")

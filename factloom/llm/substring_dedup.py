@@ -247,10 +247,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
     """
     spans = repeated_words(df, key, text, span, prefix, group)
     kept = [c for c in df.columns if c not in ("n_words", "n_removed")]
-    rows = df.select(*kept, F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_fp"))
-    joined = rows.join(spans.select(F.col("key").alias("_key"), F.col("fp").alias("_fp"), "spans"), ["_key", "_fp"], "left")
     others = [c for c in kept if c != text]
-    packed = joined.select(F.struct(*others, F.col(text).isNull().alias("_null"), "spans").alias("_keys"), F.col(text).alias("_text"))
+    rows = df.select(F.struct(*others).alias("_row"), F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_fp"), F.col(text).alias("_text"))
+    joined = rows.join(spans.select(F.col("key").alias("_key"), F.col("fp").alias("_fp"), "spans"), ["_key", "_fp"], "left")
+    packed = joined.select(F.struct("_row", F.col("_text").isNull().alias("null"), "spans").alias("_keys"), "_text")
 
     def run(chunk, keys):
         starts, _, per_text = tk.words(chunk)
@@ -260,16 +260,16 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
         offsets, flat = lists.offsets.to_numpy(), lists.values
         lo, hi = offsets[0], offsets[-1]
         if hi > lo:
-            row = np.repeat(np.arange(len(chunk)), np.diff(offsets))
+            at = np.repeat(np.arange(len(chunk)), np.diff(offsets))
             first = flat.field("first").to_numpy(zero_copy_only=False)[lo:hi].astype(np.int64)
-            end = np.minimum(flat.field("end").to_numpy(zero_copy_only=False)[lo:hi].astype(np.int64), n_words[row])
-            real = n_words[row] >= span
-            np.add.at(cover, (per_text[row] + first)[real], 1)
-            np.add.at(cover, (per_text[row] + end)[real], -1)
+            end = np.minimum(flat.field("end").to_numpy(zero_copy_only=False)[lo:hi].astype(np.int64), n_words[at])
+            real = n_words[at] >= span
+            np.add.at(cover, (per_text[at] + first)[real], 1)
+            np.add.at(cover, (per_text[at] + end)[real], -1)
         gone = np.cumsum(cover[:-1]) > 0
         sums = np.concatenate([[0], np.cumsum(gone)])
         removed = sums[per_text[1:]] - sums[per_text[:-1]]
-        nulls = keys.field("_null").to_pylist()
+        nulls, row = keys.field("null").to_pylist(), keys.field("_row")
         texts: list[bytes | None] = []
         for k in range(len(chunk)):
             if nulls[k]:
@@ -285,7 +285,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span:
                 pieces = [] if own[0] else [chunk.data[chunk.offsets[k] : begin[0]].tobytes()]
                 pieces += [chunk.data[begin[x] : begin[y]].tobytes() for x, y, g in zip(cuts[:-1], cuts[1:], states, strict=True) if not g]
                 texts.append(b"".join(pieces))
-        yield [*(keys.field(c) for c in others), tk.strings(texts), n_words, removed]
+        yield [*(row.field(c) for c in others), tk.strings(texts), n_words, removed]
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others)
     out = arrow.map_columns(packed, "_keys", "_text", f"{fields}{', ' if fields else ''}`{text}` string, n_words long, n_removed long", run)
