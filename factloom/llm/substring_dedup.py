@@ -207,7 +207,8 @@ def _tree_repeats(rows: DataFrame, span: int) -> DataFrame:
 
 def _deep_repeats(rows: DataFrame, span: int) -> DataFrame:
     """Repeats (key, fp, first, end) of suffixes given by the hashes of all their words."""
-    least = rows.groupBy("part", "more").agg(F.min("key").alias("_least"))
+    # written, so that the join has two plain exchanges and may split a hot node
+    least = storage.written(rows.groupBy("part", "more").agg(F.min("key").alias("_least")), "least")
     hit = rows.join(least, ["part", "more"]).where(F.col("key") > F.col("_least"))
     return hit.select("key", "fp", F.col("start").alias("first"), (F.col("start") + span).alias("end"))
 
@@ -220,7 +221,7 @@ def repeated_words(df: DataFrame, key: str, text: str, span: int = SPAN, prefix:
     base = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).where(F.col("key").isNotNull()).withColumn("fp", F.xxhash64("_text"))
     shared = _shared_partitions(base.select(F.col("fp").alias("_fp"), "_text"), span, prefix, group)
     prints = base.select("key", "fp", F.sha2("_text", 256).alias("sha"))
-    firsts = prints.groupBy("fp", "sha").agg(F.min("key").alias("_least"))
+    firsts = storage.written(prints.groupBy("fp", "sha").agg(F.min("key").alias("_least")), "firsts")
     copies = prints.join(firsts, ["fp", "sha"]).where(F.col("key") > F.col("_least"))
     wanted = firsts.join(shared, "fp").select(F.col("_least").alias("key"), "fp", "parts")
     candidates = base.join(wanted, ["key", "fp"]).select(F.struct("key", "fp", "parts").alias("_keys"), "_text")
