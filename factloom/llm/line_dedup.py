@@ -71,9 +71,10 @@ def remove_repeated_chunks(df: DataFrame, key: str = "doc_id", text: str = "text
     rows = chunked(base, "_text").select("_key", F.explode(F.filter(_pieces(), lambda p: p["lines"] >= MIN_LINES)).alias("_p"))
     rows = rows.select("_key", F.col("_p.no").alias("_no"), F.xxhash64("_p.text").alias("_h"), F.col("_p.text").alias("_chunk"))
     where = F.struct("_key", "_no")
-    repeated = rows.groupBy("_h").agg(F.count("*").alias("_n"), F.min(where).alias("_first")).where("_n > 1").drop("_n")
+    # written, so that the join has two plain exchanges and may split a hot chunk
+    repeated = storage.written(rows.groupBy("_h").agg(F.count("*").alias("_n"), F.min(where).alias("_first")).where("_n > 1").drop("_n"), "repeated")
     candidates = storage.written(rows.join(repeated, "_h"), "chunks")
-    first = candidates.where(where == F.col("_first")).groupBy("_h").agg(F.min("_chunk").alias("_of"))
+    first = storage.written(candidates.where(where == F.col("_first")).groupBy("_h").agg(F.min("_chunk").alias("_of")), "first")
     copies = candidates.where(where != F.col("_first")).join(first, "_h").where(F.col("_chunk").cast("binary") == F.col("_of").cast("binary"))
     gone = copies.groupBy("_key").agg(F.collect_set(F.struct(F.col("_no").alias("no"), F.col("_h").alias("h"))).alias("_gone"))
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
