@@ -126,7 +126,8 @@ def mark_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", payl
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("key").alias("_first"))
+    # written, so that the join has two plain exchanges and may split a hot digest
+    first = storage.written(rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("key").alias("_first")), "digests")
     joined = rows.join(first, "digest", "left")
     return joined.select("key", "url", "payload", "digest", F.when(~F.col("key").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
 
