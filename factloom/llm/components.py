@@ -60,13 +60,15 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     before = None
     for _ in range(most):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the joins have two plain exchanges and may split a hub
+        least = storage.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = storage.written(large, "large")
+        root = storage.written(large.groupBy("u").agg(F.min("v").alias("m")), "root")
         small = large.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = small.unionByName(root.select("u", F.col("m").alias("v"))).distinct()
         new = storage.written(new, "links")
-        storage.release(spark, links)
+        storage.release(spark, links, least, large, root)
         links = new
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:

@@ -204,10 +204,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     spark = df.sparkSession
     signed = storage.written(signed_texts(df, key, text, words, slots, bands), "signatures")
     full = signed.where("key IS NOT NULL AND n_shingles > 0")
-    classes = full.groupBy("class1", "class2").agg(F.min("key").alias("_rep"))
+    # written, so that joins with it have two plain exchanges and may split a hot class
+    classes = storage.written(full.groupBy("class1", "class2").agg(F.min("key").alias("_rep")), "classes")
     leaders = full.join(classes, ["class1", "class2"]).where(F.col("key") == F.col("_rep")).select("key", "n_shingles", "bands").dropDuplicates(["key"])
     banded = leaders.select("key", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("key").alias("root"), F.count("*").alias("n")).where("n > 1")
+    shared = storage.written(banded.groupBy("band").agg(F.min("key").alias("root"), F.count("*").alias("n")).where("n > 1"), "shared")
     members = storage.written(banded.join(shared, "band"), "members")
     stars = members.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()
     wanted = members.select("key").distinct()
