@@ -104,7 +104,8 @@ class Match:
 
     ``subject`` is null where the heading before must serve. ``warning`` stands before
     the checks of the subject, ``late_warning`` behind them. ``checked`` says whether the subject is checked at all.
-    ``qualifiers`` may use ``subject_text``.
+    ``qualifiers`` may use ``subject_text``. ``picks`` are several readings, structs (subject,
+    raw, number, start), that take the place of one; ``rule`` is a rule id other than the predicate's.
     """
 
     when: Column
@@ -121,6 +122,8 @@ class Match:
     status: Column | None = None
     checked: Column | None = None
     budget: bool = False
+    picks: Column | None = None
+    rule: Column | None = None
 
 
 def _recommendation() -> Match:
@@ -275,13 +278,13 @@ def _by_rule(found: dict[str, Match], get: Callable[[Match], Column | None], kin
     return F.lit(None).cast(kind) if out is None else out.cast(kind)
 
 
-def outcomes(statements: DataFrame, predicates: list[str] | None = None, matchers: dict[str, Callable[[], Match]] | None = None) -> DataFrame:
+def outcomes(statements: DataFrame, predicates: list[str] | None = None, matchers: dict[str, Callable[[], Match]] | None = None, inventory: dict[str, tuple[str, int]] | None = None, trim: Callable[[Column], Column] = trim_subject) -> DataFrame:
     """One row for each statement and rule that matched: candidate fields, or ``warning``.
 
     Rows multiply first, by a filter of each rule's pattern; what a rule finds, its
     subject, and the checks follow in projections of their own, each on the columns before.
     """
-    chosen = matchers or MATCHERS
+    chosen, inventory = matchers or MATCHERS, inventory or RULES
     found = {p: chosen[p]() for p in (predicates or chosen)}
     rows = statements.withColumn("predicate", F.explode(F.array_compact(F.array(*[F.when(m.when, p) for p, m in found.items()]))))
     rows = rows.withColumns({
@@ -295,11 +298,17 @@ def outcomes(statements: DataFrame, predicates: list[str] | None = None, matcher
         "evidence_status": F.coalesce(_by_rule(found, lambda m: m.status, "string"), F.lit("supported")),
         "_confidence": _by_rule(found, lambda m: m.confidence, "double"),
     })
+    if any(m.picks is not None for m in found.values()):
+        rows = rows.withColumn("_pick", F.explode_outer(_by_rule(found, lambda m: m.picks, "array<struct<subject:string,raw:string,number:string,start:int>>")))
+        pick = F.col("_pick")
+        rows = rows.withColumns({"_found": F.coalesce(pick["subject"], "_found"), "raw_value": F.coalesce(pick["raw"], "raw_value"), "value_number": F.coalesce(pick["number"].cast("decimal(38,9)"), "value_number"), "_from": pick["start"]})
+    else:
+        rows = rows.withColumn("_from", F.lit(None).cast("int"))
     own = F.col("_found").isNotNull()
     rows = rows.withColumns({
-        "subject_text": F.when(own, trim_subject(F.col("_found"))).otherwise(F.col("context")),
+        "subject_text": F.when(own, trim(F.col("_found"))).otherwise(F.col("context")),
         "confidence": F.coalesce("_confidence", F.when(own, 0.9).otherwise(0.7)),
-        "evidence_start": F.when(own, F.col("start")).otherwise(F.col("context_start")).cast("int"),
+        "evidence_start": F.when(F.col("_from").isNotNull(), F.col("_from")).when(own, F.col("start")).otherwise(F.col("context_start")).cast("int"),
         "value_text": F.when(F.col("value_type").isin("string", "status"), text.collapse(F.col("raw_value"))),
     })
     kinds = _by_rule(found, lambda m: m.kind, "string")
@@ -320,8 +329,8 @@ def outcomes(statements: DataFrame, predicates: list[str] | None = None, matcher
         "warning": F.coalesce("_early", problem, late),
         "subject_type": F.coalesce("_kind", "_type"),
         "qualifiers": F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())),
-        "rule_id": F.try_element_at(_constant({p: RULES[p][0] for p in found}), F.col("predicate")),
-        "priority": F.try_element_at(_constant({p: RULES[p][1] for p in found}), F.col("predicate")),
+        "rule_id": F.coalesce(_by_rule(found, lambda m: m.rule, "string"), F.try_element_at(_constant({p: inventory[p][0] for p in found}), F.col("predicate"))),
+        "priority": F.try_element_at(_constant({p: inventory[p][1] for p in found}), F.col("predicate")),
     })
     return rows.select(
         "source_id", "block_id", "sequence", "block_type", "line_number", F.col("text").alias("statement"), "start", "end", "context", "rule_id", "priority", "predicate", "warning",

@@ -6,6 +6,8 @@ shuffled, and the rows multiply only at the end, to statements.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,12 @@ def is_heading(line: Column) -> Column:
     return (F.length(line) > 0) & (F.length(line) < 120) & (line.endswith(":") | (~line.rlike("[.!?]$") & worded & (upper | (~prose & titled))))
 
 
-def lines(blocks: DataFrame) -> DataFrame:
+def is_heading_v2(line: Column) -> Column:
+    """As is_heading, but numbered recommendations are none."""
+    return ~line.rlike(NUMBERED_RECOMMENDATION) & is_heading(line)
+
+
+def lines(blocks: DataFrame, heading: Callable[[Column], Column] = is_heading, with_pending: bool = False) -> DataFrame:
     """Non-blank physical lines: ``line_number`` (of all lines, from 1), ``text``, ``start``,
     ``end``, ``heading`` and the heading that is the line just before, if any."""
     pieces = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), f"({_BREAK})", "$1" + _MARK), _MARK)
@@ -49,7 +56,7 @@ def lines(blocks: DataFrame) -> DataFrame:
 
     def line(p: Column, i: Column) -> Column:
         body, start = _trimmed(p["piece"], p["start"])
-        return F.struct((i + 1).alias("line_number"), body.alias("text"), start.alias("start"), (start + F.length(body)).alias("end"), is_heading(body).alias("heading"))
+        return F.struct((i + 1).alias("line_number"), body.alias("text"), start.alias("start"), (start + F.length(body)).alias("end"), heading(body).alias("heading"))
 
     rows = rows.withColumn("_lines", F.transform("_lines", line))
 
@@ -58,7 +65,15 @@ def lines(blocks: DataFrame) -> DataFrame:
         name = F.regexp_replace(last["text"], r"(?U)\s*:\z", "")
         return F.struct(p["line_number"], p["text"], p["start"], p["end"], p["heading"], F.when(last["heading"], name).alias("context"), F.when(last["heading"], last["start"]).alias("context_start"))
 
-    rows = rows.withColumn("_line", F.explode(F.filter(F.transform("_lines", before), lambda p: F.length(p["text"]) > 0)))
+    rows = rows.withColumn("_kept", F.filter(F.transform("_lines", before), lambda p: F.length(p["text"]) > 0))
+
+    def pending(p: Column, i: Column) -> Column:
+        """The headings since the last line of prose."""
+        last = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), i), lambda k: (k < i) & ~F.get("_kept", k)["heading"])), F.lit(-1))
+        found = F.transform(F.slice("_kept", last + 2, F.greatest(i - last - 1, F.lit(0))), lambda h: F.struct(F.regexp_replace(h["text"], r"(?U)\s*:\z", "").alias("text"), h["start"].alias("start")))
+        return p.withField("pending", found)
+
+    rows = rows.withColumn("_line", F.explode(F.transform("_kept", pending) if with_pending else F.col("_kept")))
     kept = [c for c in blocks.columns if c != "text"]
     return rows.select(*kept, "_line.*")
 
@@ -76,3 +91,22 @@ def statements(blocks: DataFrame) -> DataFrame:
 
     found = prose.withColumn("_parts", parts).withColumn("_part", F.explode(F.transform(_with_starts(F.col("_parts")), part)))
     return found.select("source_id", "block_id", "sequence", "block_type", "line_number", "_part.*", "context", "context_start").where(F.length("text") > 0)
+
+
+_SENTENCE_V2 = r"(?U)([.!?]+)(?=\s|$)"
+_LIST_MARK = r"(?U)\A(\s*(?:[A-Za-z]|\d+)\.+)" + _MARK
+
+
+def statements_v2(blocks: DataFrame) -> DataFrame:
+    """Statements of the second engine: sentences end at marks before white space, list
+    marks such as "1." end none, and ``pending`` holds all headings since the last prose."""
+    chosen = blocks.where(F.col("block_type").isin(list(schemas.ELIGIBLE_BLOCK_TYPES)))
+    prose = lines(chosen, is_heading_v2, with_pending=True).where(~F.col("heading"))
+    marked = F.regexp_replace(F.regexp_replace("text", _SENTENCE_V2, "$1" + _MARK), _LIST_MARK, "$1")
+
+    def part(p: Column) -> Column:
+        body, start = _trimmed(p["piece"], p["start"])
+        return F.struct(body.alias("text"), (F.col("start") + start).alias("start"), (F.col("start") + start + F.length(body)).alias("end"))
+
+    found = prose.withColumn("_parts", F.split(marked, _MARK)).withColumn("_part", F.explode(F.transform(_with_starts(F.col("_parts")), part)))
+    return found.select("source_id", "block_id", "sequence", "block_type", "line_number", "_part.*", "context", "context_start", "pending").where(F.length("text") > 0)
