@@ -6,7 +6,8 @@ writes it to the shared folder. Every representative then queries every shard in
 blocks. A block audits itself: for some of its queries the links in the shard are
 found exactly, and while the graph's share of them is too low, the block searches
 again with a beam twice as wide (at last, when a beam would hold the shard, by exact
-comparison). Links are verified by the cosine in double precision and
+comparison). A beam that is full of links goes on along the links of the graph,
+together with the other full beams of its block, until nothing near is left. Links are verified by the cosine in double precision and
 counted where they are found; each block sends on a spanning forest of its links
 only, and the forests are united into components.
 """
@@ -30,8 +31,8 @@ SHARDS = 8
 #: More shards are used where one would hold more vectors than this.
 SHARD_ROWS = 100_000
 BLOCK_ROWS = 1024
-BEAM = 64
-AUDITS = 128
+BEAM = 32
+AUDITS = 64
 RECALL = 0.999
 
 
@@ -96,13 +97,34 @@ def build_shards(rows: DataFrame, folder: str) -> DataFrame:
     return storage.written(ordered.mapInArrow(run, "dim int, shard int, n long"), "shards")
 
 
+def _expanded(graph: hnsw.Graph, queries: np.ndarray, known: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of similarity ``least`` or more among the nodes that neighbouring queries
+    reach together: from their beams along links, through nodes near to any of them."""
+    inside = np.zeros(len(graph.vectors) + 1, bool)
+    seen = inside.copy()
+    seen[known], seen[-1] = True, True
+    inside[known] = True
+    while len(known):
+        new = np.unique(graph.layers[0][known])
+        new = new[~seen[new]]
+        seen[new] = True
+        known = new[(queries @ graph.vectors[new].T >= least).any(0)] if len(new) else new
+        inside[known] = True
+    nodes = np.flatnonzero(inside[:-1]).astype(np.int32)
+    q, at = np.nonzero(queries @ graph.vectors[nodes].T >= least)
+    return q.astype(np.int32), nodes[at]
+
+
 def links_of_block(graph: hnsw.Graph, unit: np.ndarray, queries: np.ndarray, cosine: float, beam: int, audits: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
     """Verified links (query, node) of unit queries in a shard, by beams wide enough for the audit."""
     n = len(unit)
     slack = cosine - 1e-4
 
     def verified(query: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return np.einsum("kd,kd->k", queries[query], unit[node]) >= cosine
+        good = np.zeros(len(query), bool)
+        for lo in range(0, len(query), 1 << 16):
+            good[lo : lo + (1 << 16)] = np.einsum("kd,kd->k", queries[query[lo : lo + (1 << 16)]], unit[node[lo : lo + (1 << 16)]]) >= cosine
+        return good
 
     def exact(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         q, node = np.nonzero(queries[which].astype(np.float32) @ graph.vectors.T >= slack)
@@ -111,17 +133,18 @@ def links_of_block(graph: hnsw.Graph, unit: np.ndarray, queries: np.ndarray, cos
 
     random = np.random.default_rng(len(queries))
     while beam < n:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        todo, width = np.arange(len(queries)), beam
-        while len(todo) and width < n:
-            node, sim = graph.search(queries[todo], width)
-            full = (sim >= slack).all(1)  # a beam of links only may have left some out
-            row, at = np.nonzero((sim >= slack) & ~full[:, None])
-            found.append((todo[row], node[row, at]))
-            todo, width = todo[full], 4 * width
-        if len(todo):
-            found.append(exact(todo))
-        q, node = (np.concatenate(x) for x in zip(*found, strict=True))
+        node, sim = graph.search(queries, beam)
+        near = sim >= slack
+        full = near.all(1)  # a beam of links only may have left some out
+        q, at = np.nonzero(near & ~full[:, None])
+        beams, node, rest = node, node[q, at], np.flatnonzero(full)
+        if len(rest):
+            more = []
+            for lo in range(0, len(rest), 256):
+                own = rest[lo : lo + 256]
+                x, y = _expanded(graph, queries[own].astype(np.float32), np.unique(beams[own]), slack)
+                more.append((own[x], y))
+            q, node = np.concatenate([q, *(x for x, _ in more)]), np.concatenate([node, *(y for _, y in more)])
         good = verified(q, node)
         q, node = q[good], node[good]
         counts = np.bincount(q, minlength=len(queries))
