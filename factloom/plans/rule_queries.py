@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
-from factloom.operators import matching, registry, rules, segmentation
+from factloom.operators import matching, registry, rules, rules_v2, segmentation
 from factloom.session import table
 
 
@@ -88,6 +88,14 @@ def rule_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.groupBy("predicate", "confidence").agg(F.count("*").alias("n"), F.count_distinct("candidate_id").alias("ids"))
 
 
+def rule_v2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second engine over templates of nations; equal facts of a source count once."""
+    n = table(spark, sf_dir, "nation")
+    words = _concat("National Office\nwill publish ", F.col("n_name"), " guidance.\nThe council must review it. The council approved a plan.\nSatisfaction rate may be 40% or 60%.")
+    facts, _ = rules_v2.extract(_blocks(n, F.lit("N"), F.col("n_nationkey"), words))
+    return facts.groupBy("predicate", "confidence").agg(F.count("*").alias("n"))
+
+
 def rule_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abstentions: two percentages in one statement."""
     p = table(spark, sf_dir, "part")
@@ -180,7 +188,7 @@ def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_commitment, rule_requirement, rule_decision, rule_risk, rule_recommendation, rule_budget, rule_metric, rule_action_status, rule_all, rule_warnings, period_extract,
+        rule_commitment, rule_requirement, rule_decision, rule_risk, rule_recommendation, rule_budget, rule_metric, rule_action_status, rule_all, rule_v2_all, rule_warnings, period_extract,
         money_normalise, metric_slug, strict_match, value_alignment, predicate_counts, prf_metrics, diagnostic_summary, predicate_violations, predicate_canon, duplicate_candidates,
     )
 }
@@ -204,6 +212,7 @@ ORACLES = {
     "rule_metric": "SELECT CAST(p_partkey AS VARCHAR) AS block_id, 'surveyed users' AS subject_text, CAST(p_size AS BIGINT) AS value, 'surveyed_users_percentage' AS metric_name, 'surveyed users' AS population, '2021-03' AS period FROM part",
     "rule_action_status": "SELECT CAST(o_orderkey AS VARCHAR) AS block_id, 'Action ' || o_orderkey AS subject_text, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'in progress' ELSE 'delayed' END AS raw_value, CAST(o_orderkey AS VARCHAR) AS action_id FROM orders",
     "rule_all": "SELECT unnest(['commitment', 'requirement', 'decision']) AS predicate, unnest([0.7, 0.9, 0.9])::DOUBLE AS confidence, count(*) AS n, count(*) AS ids FROM nation GROUP BY 1, 2",
+    "rule_v2_all": "SELECT unnest(['commitment', 'requirement', 'decision', 'metric']) AS predicate, unnest([0.7, 0.9, 0.9, 0.5])::DOUBLE AS confidence, unnest([count(*), 1, 1, 2]) AS n FROM nation",
     "rule_warnings": "SELECT 'abstained_multiple_values' AS code, CAST(p_partkey AS VARCHAR) AS block_id FROM part",
     "period_extract": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS period FROM orders",
     "money_normalise": "SELECT o_orderkey, 'GBP' AS currency, CAST(floor(o_totalprice) * CASE WHEN o_orderkey % 2 = 0 THEN 1000 ELSE 1 END AS BIGINT) AS amount FROM orders",
