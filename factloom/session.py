@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,5 +17,16 @@ def session(app: str = "factloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import this package, wherever the driver runs from;
+    on a cluster the package is shipped with the job."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
