@@ -5,7 +5,7 @@ it in one text. The partition of a suffix is the least hash of the PREFIX-word
 sequences inside those SPAN words, so that equal suffixes meet and neighbouring
 suffixes travel together as one stretch of text. Partitions in which only one
 text occurs have no repeats and are dropped before any text moves. A partition of
-up to GROUP texts is held in memory and its subtree is built level by level
+up to GROUP stretches is held in memory and its subtree is built level by level
 (nodes at depth 1, 2, 4, ..., SPAN by prefix doubling); nodes at depth SPAN with two or
 more documents are the deep internal nodes, and runs of them along a text its
 maximal repeats. A larger partition is split by longer prefixes, up to SPAN words:
@@ -28,7 +28,8 @@ from factloom.llm import text_kernels as tk
 
 SPAN = 50
 PREFIX = 20
-GROUP = 1000
+#: Stretches that a task holds at once: about 8 MB of text, and some 150 MB of arrays.
+GROUP = 16_384
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -106,7 +107,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _shared_partitions(texts: DataFrame, span: int, prefix: int, group: int) -> DataFrame:
     """For each text fingerprint the partitions that another text has too, with whether
-    the partition has more than ``group`` texts."""
+    the partition has more than ``group`` stretches."""
 
     def run(chunk, keys):
         starts, ends, per_text = tk.words(chunk)
