@@ -65,7 +65,7 @@ def dense_scores(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, evidence_id, score): cosine of every query with every record that has a usable vector."""
     own = rows.select("evidence_id", numbers.unit(F.col("vector")).alias("v")).where("v IS NOT NULL")
     asked = queries.select("qid", numbers.unit(F.col("vector")).alias("q")).where("q IS NOT NULL")
-    return own.crossJoin(F.broadcast(asked)).select("qid", "evidence_id", F.round(numbers.dot(F.col("v"), F.col("q")), DIGITS).alias("score"))
+    return own.crossJoin(asked).select("qid", "evidence_id", F.round(numbers.dot(F.col("v"), F.col("q")), DIGITS).alias("score"))
 
 
 def _order(score: str = "score") -> list[Column]:
@@ -82,7 +82,7 @@ def top(scores: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
 def full_ranks(scores: DataFrame, rows: DataFrame, queries: DataFrame, name: str) -> DataFrame:
     """Ranks of all records for each query; records without a score count as 0."""
-    every = rows.select("evidence_id", "source_id", "block_id").crossJoin(F.broadcast(queries.select("qid")))
+    every = rows.select("evidence_id", "source_id", "block_id").crossJoin(queries.select("qid"))
     joined = every.join(scores, ["qid", "evidence_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return joined.select("qid", "evidence_id", "source_id", "block_id", F.row_number().over(Window.partitionBy("qid").orderBy(*_order())).alias(name))
 

@@ -56,7 +56,7 @@ def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as questions; documents that contain the passage are relevant."""
     rows, asked = _records(spark, sf_dir), _questions(spark, sf_dir)
-    relevant = rows.join(F.broadcast(asked.select("qid", F.col("text").alias("passage"))), F.contains(F.col("text"), F.col("passage"))).select("qid", "evidence_id")
+    relevant = rows.join(asked.select("qid", F.col("text").alias("passage")), F.contains(F.col("text"), F.col("passage"))).select("qid", "evidence_id")
     ranked = retrieval.top(retrieval.lexical_scores(rows, asked), rows, 100)
     found = retrieval.evaluate(retrieval.first_ranks(ranked, relevant))
     return found.select("questions", *[F.round(c, 6).alias(c) for c in ("hit_at_1", "hit_at_3", "hit_at_5", "mrr")])
