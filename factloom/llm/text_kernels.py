@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 2 << 20
+#: Short texts: kernels that keep a row of features for each text stay small.
+CHUNK_TEXTS = 512
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -84,7 +86,7 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[TextChunk
     at = 0
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        end = min(end, n)
+        end = min(end, n, at + CHUNK_TEXTS) if most < 1 << 60 else n
         yield TextChunk(at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
         at = end
 
