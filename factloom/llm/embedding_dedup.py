@@ -3,13 +3,13 @@
 Vectors of equal components are one class, represented by its smallest key.
 Representatives are dealt into shards by a hash; each shard builds a graph and
 writes it to the shared folder. Every representative then queries every shard in
-blocks. A block audits itself: for some of its queries the links in the shard are
-found exactly, and while the graph's share of them is too low, the block searches
-again with a beam twice as wide (at last, when a beam would hold the shard, by exact
-comparison). A beam that is full of links goes on along the links of the graph,
-together with the other full beams of its block, until nothing near is left. Links are verified by the cosine in double precision and
-counted where they are found; each block sends on a spanning forest of its links
-only, and the forests are united into components.
+blocks. A query whose beam is full of links is compared with the shard exactly. A block
+audits the others: for some of them the links in the shard are found exactly, and while
+the graph has too few of the links of any one, the rest of the block searches again
+with a beam twice as wide (at last, when a beam would hold the shard, by exact
+comparison). Links are verified by the cosine in double precision and counted where
+they are found; each block sends on a spanning forest of its links only, and the
+forests are united into components.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ SHARDS = 8
 #: More shards are used where one would hold more vectors than this.
 SHARD_ROWS = 100_000
 BLOCK_ROWS = 1024
-BEAM = 32
-AUDITS = 64
+BEAM = 64
+AUDITS = 128
+#: Least share of its links that the graph finds for each audited query.
 RECALL = 0.999
 
 
@@ -97,24 +98,6 @@ def build_shards(rows: DataFrame, folder: str) -> DataFrame:
     return storage.written(ordered.mapInArrow(run, "dim int, shard int, n long"), "shards")
 
 
-def _expanded(graph: hnsw.Graph, queries: np.ndarray, known: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of similarity ``least`` or more among the nodes that neighbouring queries
-    reach together: from their beams along links, through nodes near to any of them."""
-    inside = np.zeros(len(graph.vectors) + 1, bool)
-    seen = inside.copy()
-    seen[known], seen[-1] = True, True
-    inside[known] = True
-    while len(known):
-        new = np.unique(graph.layers[0][known])
-        new = new[~seen[new]]
-        seen[new] = True
-        known = new[(queries @ graph.vectors[new].T >= least).any(0)] if len(new) else new
-        inside[known] = True
-    nodes = np.flatnonzero(inside[:-1]).astype(np.int32)
-    q, at = np.nonzero(queries @ graph.vectors[nodes].T >= least)
-    return q.astype(np.int32), nodes[at]
-
-
 def links_of_block(graph: hnsw.Graph, unit: np.ndarray, queries: np.ndarray, cosine: float, beam: int, audits: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
     """Verified links (query, node) of unit queries in a shard, by beams wide enough for the audit."""
     n = len(unit)
@@ -127,34 +110,42 @@ def links_of_block(graph: hnsw.Graph, unit: np.ndarray, queries: np.ndarray, cos
         return good
 
     def exact(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        q, node = np.nonzero(queries[which].astype(np.float32) @ graph.vectors.T >= slack)
-        good = verified(which[q], node)
-        return which[q][good], node[good]
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        step = max(1, (1 << 24) // n)
+        for lo in range(0, len(which), step):
+            q, node = np.nonzero(queries[which[lo : lo + step]].astype(np.float32) @ graph.vectors.T >= slack)
+            q = which[lo : lo + step][q]
+            good = verified(q, node)
+            found.append((q[good].astype(np.int32), node[good].astype(np.int32)))
+        return joined(found)
+
+    def joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([q for q, _ in found]), np.concatenate([node for _, node in found])
 
     random = np.random.default_rng(len(queries))
-    while beam < n:
-        node, sim = graph.search(queries, beam)
+    found, todo = [], np.arange(len(queries))
+    while len(todo) and beam < n:
+        node, sim = graph.search(queries[todo], beam)
         near = sim >= slack
         full = near.all(1)  # a beam of links only may have left some out
+        found.append(exact(todo[full]))
         q, at = np.nonzero(near & ~full[:, None])
-        beams, node, rest = node, node[q, at], np.flatnonzero(full)
-        if len(rest):
-            more = []
-            for lo in range(0, len(rest), 256):
-                own = rest[lo : lo + 256]
-                x, y = _expanded(graph, queries[own].astype(np.float32), np.unique(beams[own]), slack)
-                more.append((own[x], y))
-            q, node = np.concatenate([q, *(x for x, _ in more)]), np.concatenate([node, *(y for _, y in more)])
-        good = verified(q, node)
+        node = node[q, at]
+        good = verified(todo[q], node)
         q, node = q[good], node[good]
-        counts = np.bincount(q, minlength=len(queries))
-        linked = np.flatnonzero(counts > 1)
-        sample = np.unique(np.concatenate([random.permutation(len(queries))[:audits], random.permutation(linked)[:audits]]))
-        there = len(exact(sample)[0])
-        if not there or counts[sample].sum() >= recall * there:
-            return q, node
-        beam *= 2
-    return exact(np.arange(len(queries)))
+        counts = np.bincount(q, minlength=len(todo))
+        linked = np.flatnonzero(~full & (counts > 1))
+        sample = np.unique(np.concatenate([random.permutation(np.flatnonzero(~full))[:audits], random.permutation(linked)[:audits]]))
+        found.append(exact(todo[sample]))
+        there = np.bincount(found[-1][0], minlength=len(queries))[todo[sample]]
+        rest = ~full
+        rest[sample] = False
+        if (counts[sample] >= recall * there).all():
+            found.append((todo[q[rest[q]]], node[rest[q]]))
+            return joined(found)
+        todo, beam = todo[rest], 2 * beam
+    found.append(exact(todo))
+    return joined(found)
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, shards: int = SHARDS, beam: int = BEAM, recall: float = RECALL) -> DataFrame:

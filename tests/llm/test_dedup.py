@@ -243,6 +243,21 @@ def test_audit_widens_a_narrow_beam():
     assert found <= truth and len(found) >= 0.995 * len(truth)  # a beam of 4 would find 1 in 50
 
 
+def test_no_query_hides_the_missed_links_of_another():
+    rng = np.random.default_rng(7)
+    hot = rng.normal(size=16) + rng.normal(size=(2100, 16)) * 0.01
+    other = np.repeat(rng.normal(size=(300, 16)), 2, axis=0) + rng.normal(size=(600, 16)) * 0.01
+    x = np.concatenate([hot, other])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x.astype(np.float32))
+    for layer in graph.layers:  # nothing leads to one vector of the hot group, nor to five of the pairs
+        layer[np.isin(layer, [900, 2101, 2103, 2105, 2107, 2109])] = -1
+    asked = np.arange(500, 2700)[::2]
+    q, node = embedding_dedup.links_of_block(graph, x, x[asked], 0.95, embedding_dedup.BEAM, embedding_dedup.AUDITS, embedding_dedup.RECALL)
+    truth = sorted(zip(*(y.tolist() for y in np.nonzero(x[asked] @ x.T >= 0.95)), strict=True))
+    assert sorted(zip(q.tolist(), node.tolist(), strict=True)) == truth
+
+
 def test_components_of_paths_and_hubs(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(200, 260)] + [(500, i) for i in range(300, 400)] + [(7, 7), (None, 3), (1, 2), (2, 1)]
