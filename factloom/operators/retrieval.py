@@ -110,6 +110,27 @@ def first_ranks(ranked: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.select("qid").distinct().join(hit, "qid", "left")
 
 
+def complete_first_ranks(scores: DataFrame, rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """``first_ranks`` over the complete ranking of all records (those without a score count as
+    0), which is not made: the records before the best expected one are counted."""
+    named = rows.select("evidence_id", "source_id", "block_id")
+    expected = expected.select("qid", "evidence_id").distinct()
+    at = F.struct("source_id", "block_id")
+    least = expected.join(named, "evidence_id", "left").groupBy("qid").agg(F.min(F.when(F.col("source_id").isNotNull(), at)).alias("least"))
+    # for a best record without a score: all records before it, less those with a score
+    every = named.crossJoin(least).groupBy("qid").agg(F.count_if(at < F.col("least")).alias("every"))
+    place = F.struct((0 - F.col("score")).alias("s"), "source_id", "block_id")
+    marked = scores.join(named, "evidence_id").join(expected.withColumn("hit", F.lit(True)), ["qid", "evidence_id"], "left").select("qid", place.alias("place"), "hit")
+    marked = marked.withColumn("best", F.min(F.when(F.col("hit"), F.col("place"))).over(Window.partitionBy("qid"))).join(least, "qid")
+    zero = F.struct(F.lit(0.0).alias("s"), F.col("least.source_id").alias("source_id"), F.col("least.block_id").alias("block_id"))
+    best = F.least("best", F.when(F.col("least").isNotNull(), zero))
+    before = F.struct("place.source_id", "place.block_id") < F.struct("least.source_id", "least.block_id")
+    counts = marked.groupBy("qid").agg(F.count_if(F.col("place") < best).alias("ahead"), F.count_if(before).alias("scored"), F.min("best.s").alias("s"))
+    found = least.join(counts, "qid", "left").join(every, "qid", "left")
+    unscored = F.when(F.coalesce("s", F.lit(0.0)) == 0, F.coalesce("every", F.lit(0)) - F.coalesce("scored", F.lit(0))).otherwise(0)
+    return found.select("qid", F.when(F.col("least").isNotNull(), 1 + F.coalesce("ahead", F.lit(0)) + unscored).alias("first_rank"))
+
+
 def evaluate(first: DataFrame) -> DataFrame:
     """One row: number of questions, hit rates at 1, 3 and 5, and mean reciprocal rank."""
 

@@ -53,13 +53,34 @@ def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(retrieval.hybrid(rows, asked, 10)).withColumn("score", F.round("score", 6))
 
 
+def _relevant(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    return rows.join(asked.select("qid", F.col("text").alias("passage")), F.contains(F.col("text"), F.col("passage"))).select("qid", "evidence_id")
+
+
+def _measures(first: DataFrame) -> DataFrame:
+    return retrieval.evaluate(first).select("questions", *[F.round(c, 6).alias(c) for c in ("hit_at_1", "hit_at_3", "hit_at_5", "mrr")])
+
+
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as questions; documents that contain the passage are relevant."""
+    """Benchmark passages as questions; documents that contain the passage are relevant.
+    The lexical leg alone, over its complete ranking."""
     rows, asked = _records(spark, sf_dir), _questions(spark, sf_dir)
-    relevant = rows.join(asked.select("qid", F.col("text").alias("passage")), F.contains(F.col("text"), F.col("passage"))).select("qid", "evidence_id")
-    ranked = retrieval.top(retrieval.lexical_scores(rows, asked), rows, 100)
-    found = retrieval.evaluate(retrieval.first_ranks(ranked, relevant))
-    return found.select("questions", *[F.round(c, 6).alias(c) for c in ("hit_at_1", "hit_at_3", "hit_at_5", "mrr")])
+    return _measures(retrieval.complete_first_ranks(retrieval.lexical_scores(rows, asked), rows, _relevant(rows, asked)))
+
+
+def hybrid_retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``retrieval_eval``, over the complete hybrid ranking of all documents (those without
+    a vector have the dense score 0); questions without a vector are ranked by their terms only."""
+    vectors = _vectors(spark, sf_dir).select("block_id", "vector")
+    rows = _records(spark, sf_dir).join(vectors, "block_id", "left")
+    asked = _questions(spark, sf_dir)
+    relevant = _relevant(rows, asked)
+    asked = asked.join(relevant.select("qid").distinct(), "qid", "left_semi")
+    asked = asked.join(vectors, F.col("qid").cast("string") == F.col("block_id"), "left").select("qid", "text", "vector")
+    both, words = asked.where("vector IS NOT NULL"), asked.where("vector IS NULL")
+    first = retrieval.first_ranks(retrieval.hybrid(rows, both, None), relevant.join(both.select("qid"), "qid", "left_semi"))
+    rest = retrieval.complete_first_ranks(retrieval.lexical_scores(rows, words), rows, relevant.join(words.select("qid"), "qid", "left_semi"))
+    return _measures(first.unionByName(rest))
 
 
 def retrieval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +173,7 @@ _ALL = "SELECT source || ':' || doc_id AS evidence_id, source AS source_id, CAST
 _SOME = _ALL + " AND source IN (" + ", ".join(f"'{s}'" for s in SOURCES) + ")"
 _COSINE = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[])) * list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))"
 
-QUERIES = {f.__name__: f for f in (lexical_topk, restricted_lexical_topk, dense_topk, hybrid_rrf_topk, retrieval_eval, retrieval_records, content_hash, exact_duplicates, keep_first_documents, line_offsets, statements, page_audit, conversation_blocks, thread_summary, embedding_norms, comparable_text)}
+QUERIES = {f.__name__: f for f in (lexical_topk, restricted_lexical_topk, dense_topk, hybrid_rrf_topk, retrieval_eval, hybrid_retrieval_eval, retrieval_records, content_hash, exact_duplicates, keep_first_documents, line_offsets, statements, page_audit, conversation_blocks, thread_summary, embedding_norms, comparable_text)}
 
 ORACLES = {
     "lexical_topk": _lexical(_ALL, 10),
@@ -185,6 +206,27 @@ ORACLES = {
         f AS (SELECT rel.qid, min(top.rank) AS r FROM rel LEFT JOIN top USING (qid, evidence_id) GROUP BY 1)
         SELECT count(*) AS questions, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_at_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0 END), 6) AS hit_at_3,
                round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_at_5, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM f""",
+    "hybrid_retrieval_eval": f"""
+        WITH r AS (SELECT source || ':' || doc_id AS evidence_id, source AS source_id, CAST(doc_id AS VARCHAR) AS block_id, text, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE length(trim(text)) > 0),
+        rel AS (SELECT b.item_id AS qid, r.evidence_id FROM r JOIN benchmark b ON contains(r.text, b.text)),
+        q AS (SELECT item_id AS qid, text, embedding FROM benchmark LEFT JOIN embeddings ON vec_id = item_id WHERE item_id IN (SELECT qid FROM rel)),
+        n AS (SELECT count(*) AS n FROM r),
+        tf AS (SELECT evidence_id, term, count(*) AS tf FROM (SELECT evidence_id, unnest({_TERMS}) AS term FROM r) GROUP BY 1, 2),
+        idf AS (SELECT term, ln((1.0 + (SELECT n FROM n)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
+        w AS (SELECT evidence_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+        nn AS (SELECT evidence_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
+        qt AS (SELECT qid, term, count(*) AS tf FROM (SELECT qid, unnest({_TERMS}) AS term FROM q) GROUP BY 1, 2),
+        qw AS (SELECT qid, term, tf * idf AS w FROM qt JOIN idf USING (term)),
+        qn AS (SELECT qid, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1),
+        s AS (SELECT qid, evidence_id, sum(w.w * qw.w) AS s FROM w JOIN qw USING (term) GROUP BY 1, 2),
+        lex AS (SELECT qid, evidence_id, round(s / (nn.norm * qn.norm), 10) AS score FROM s JOIN nn USING (evidence_id) JOIN qn USING (qid)),
+        both_ AS (SELECT q.qid, q.embedding IS NULL AS words, r.evidence_id, r.source_id, r.block_id, coalesce(lex.score, 0.0) AS l, coalesce(round({_COSINE.format(a='r.embedding', b='q.embedding')}, 10), 0.0) AS d FROM r CROSS JOIN q LEFT JOIN lex ON lex.qid = q.qid AND lex.evidence_id = r.evidence_id),
+        ranks AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY l DESC, source_id, block_id) AS lr, row_number() OVER (PARTITION BY qid ORDER BY d DESC, source_id, block_id) AS dr FROM both_),
+        fused AS (SELECT *, CASE WHEN words THEN -lr ELSE round(1.0 / (60 + lr) + 1.0 / (60 + dr), 12) END AS f FROM ranks),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY f DESC, source_id, block_id) AS rank FROM fused),
+        best AS (SELECT qid, min(rank) AS r FROM ranked JOIN rel USING (qid, evidence_id) GROUP BY 1)
+        SELECT count(*) AS questions, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_at_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0 END), 6) AS hit_at_3,
+               round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_at_5, round(avg(1.0 / r), 6) AS mrr FROM best""",
     "retrieval_records": f"SELECT evidence_id, source_id, block_id, length(text) AS n_chars FROM ({_ALL})",
     "content_hash": "SELECT doc_id, upper(sha256(text)) AS sha256, 'DOC-' || upper(source) || '-' || doc_id AS document_id, 'DOC-' || upper(source) || '-' || doc_id || '-B0001' AS block_id FROM documents",
     "exact_duplicates": "SELECT sha256(text) AS sha256, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",

@@ -99,6 +99,31 @@ def test_hybrid_search_of_a_toy_corpus(spark):
     assert (score.hit_at_1, score.mrr) == (1.0, 1.0)
 
 
+def test_first_ranks_are_of_the_complete_ranking(spark):
+    rows = spark.createDataFrame([(f"S:{i:03}", "S", f"{i:03}", "zebra" if i < 150 else "zebra runs along with many other words" if i == 150 else "nothing") for i in range(160)], "evidence_id string, source_id string, block_id string, text string")
+    asked = spark.createDataFrame([(1, "zebra"), (2, "zebra"), (3, "zebra"), (4, "unknown"), (5, "zebra")], "qid int, text string")
+    expected = spark.createDataFrame([(1, "S:150"), (2, "S:155"), (2, "S:157"), (3, "S:007"), (3, "S:150"), (4, "S:020"), (5, "S:999")], "qid int, evidence_id string")
+    scores = retrieval.lexical_scores(rows, asked)
+    found = {r.qid: r.first_rank for r in retrieval.complete_first_ranks(scores, rows, expected).collect()}
+    assert found == {1: 151, 2: 156, 3: 8, 4: 21, 5: None}
+    ranked = retrieval.full_ranks(scores, rows, asked, "rank")
+    assert found == {r.qid: r.first_rank for r in retrieval.first_ranks(ranked, expected).collect()}
+
+
+def test_retrieval_eval_finds_a_passage_below_rank_100(spark, tmp_path):
+    from factloom.plans import retrieval_queries
+
+    words = "the quick brown fox jumps"
+    docs = [(i, " ".join(reversed(words.split())), "en", "src0", 25) for i in range(120)] + [(120, words + " over a lazy dog" * 50, "en", "src0", 800)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, words)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(0, [1.0, 0.0]), (120, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = retrieval_queries.retrieval_eval(spark, str(tmp_path)).first()
+    assert (found.questions, found.mrr) == (1, round(1 / 121, 6))
+    found = retrieval_queries.hybrid_retrieval_eval(spark, str(tmp_path)).first()
+    assert found.questions == 1 and found.mrr > 1 / 121
+
+
 def test_citations_and_search(spark):
     facts_ = spark.createDataFrame([(1, "risk", "Solar", "late", None), (2, "risk", "Wind", "SOLAR part", "x"), (3, "metric", "solar", "y", "z")], "fact_id int, fact_type string, subject string, statement string, value string")
     assert {r.fact_id for r in answers.search_facts(facts_, "risk", " Solar ").collect()} == {1, 2}
