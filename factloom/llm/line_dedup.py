@@ -46,14 +46,47 @@ def chunked(df: DataFrame, text: str) -> DataFrame:
     return lined.withColumn("_hashes", F.transform("_lines", line_hash)).withColumn("_ends", chunk_ends(F.col("_hashes"))).drop("_hashes")
 
 
-def _pieces() -> Column:
-    """Structs (no, lines, text) of the chunks of a row of chunked()."""
+def _piece(no: Column) -> Column:
+    """The text of a chunk of a row of chunked(), by its number."""
+    start = F.when(no == 0, F.lit(0)).otherwise(F.get("_ends", no - 1) + 1)
+    return F.array_join(F.slice("_lines", start + 1, F.get("_ends", no) - start + 1), "\n")
 
-    def piece(end: Column, no: Column) -> Column:
-        start = F.when(no == 0, F.lit(0)).otherwise(F.get("_ends", no - 1) + 1)
-        return F.struct(no.alias("no"), (end - start + 1).alias("lines"), F.array_join(F.slice("_lines", start + 1, end - start + 1), "\n").alias("text"))
 
-    return F.transform("_ends", piece)
+def _lines_of(no: Column) -> Column:
+    return F.get("_ends", no) - F.when(no == 0, F.lit(-1)).otherwise(F.get("_ends", no - 1))
+
+
+def _repeated(base: DataFrame) -> DataFrame:
+    """For each text (_key, _fp) with chunks that occur more than once: ``_marks``, the
+    number and hash of each and whether it is the first occurrence. No text is moved."""
+    numbers = F.filter(F.sequence(F.lit(0), F.size("_ends") - 1), lambda no: _lines_of(no) >= MIN_LINES)
+    hashed = chunked(base, "_text").select("_key", "_fp", F.explode(F.transform(numbers, lambda no: F.struct(no.alias("no"), F.xxhash64(_piece(no)).alias("h")))).alias("_p"))
+    rows = storage.written(hashed.select("_key", "_fp", F.col("_p.no").alias("_no"), F.col("_p.h").alias("_h")), "hashes")
+    where = F.struct("_key", "_no", "_fp")
+    # written, so that the join has two plain exchanges and may split a hot chunk
+    sums = storage.written(rows.groupBy("_h").agg(F.count("*").alias("_n"), F.min(where).alias("_first")).where("_n > 1").drop("_n"), "repeated")
+    marks = rows.join(sums.hint("merge"), "_h").select("_key", "_fp", F.struct(F.col("_no").alias("no"), F.col("_h").alias("h"), (where == F.col("_first")).alias("first")).alias("_m"))
+    found = storage.written(marks.groupBy("_key", "_fp").agg(F.collect_set("_m").alias("_marks")), "marks")
+    storage.release(base.sparkSession, rows, sums)
+    return found
+
+
+def _removed(base: DataFrame) -> DataFrame:
+    """For each text (_key, _fp) with copies of earlier chunks: their numbers, ``_gone``.
+
+    The texts of repeated chunks, and only those, meet their first occurrence and are compared with it.
+    """
+    marks = _repeated(base)
+    held = chunked(base.join(marks.hint("merge"), ["_key", "_fp"]), "_text")
+    chunk = F.transform("_marks", lambda m: F.struct(m["no"].alias("no"), m["h"].alias("h"), m["first"].alias("first"), _piece(m["no"]).alias("chunk")))
+    texts = storage.written(held.select("_key", "_fp", F.explode(chunk).alias("_c")).select("_key", "_fp", "_c.*"), "chunks")
+    storage.release(base.sparkSession, marks)
+    first = storage.written(texts.where("first").groupBy("h").agg(F.min("chunk").alias("_of")), "first")
+    copies = texts.where("NOT first").join(first.hint("merge"), "h").where(F.col("chunk").cast("binary") == F.col("_of").cast("binary"))
+    gone = storage.written(copies.groupBy("_key", "_fp").agg(F.collect_set("no").alias("_gone")), "gone")
+    storage.release(base.sparkSession, texts, first)
+    storage.release_shuffles(base.sparkSession)
+    return gone
 
 
 def remove_repeated_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", out: str | None = None) -> DataFrame:
@@ -63,28 +96,22 @@ def remove_repeated_chunks(df: DataFrame, key: str = "doc_id", text: str = "text
     The first occurrence of a chunk stays. Rows with a null text or key are
     unchanged, an empty text has one empty line, rows that repeat a key and text
     are all first occurrences together. Columns of ``df`` named like the added ones are replaced.
-    Only repeated chunks and their hashes meet in a shuffle by chunk; the texts
-    are shuffled by hash and by key once each, in joins that can split a hot key.
+    By chunk only hashes and the texts of repeated chunks are shuffled, in joins that can
+    split a hot chunk; whole texts are shuffled by key, once to take the repeated chunks from
+    them and once to cut them. A task holds one text at a time, its lines and their hashes.
     """
     out = out or text
-    base = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_key").isNotNull() & F.col("_text").isNotNull())
-    rows = chunked(base, "_text").select("_key", F.explode(F.filter(_pieces(), lambda p: p["lines"] >= MIN_LINES)).alias("_p"))
-    rows = rows.select("_key", F.col("_p.no").alias("_no"), F.xxhash64("_p.text").alias("_h"), F.col("_p.text").alias("_chunk"))
-    where = F.struct("_key", "_no")
-    # written, so that the join has two plain exchanges and may split a hot chunk
-    repeated = storage.written(rows.groupBy("_h").agg(F.count("*").alias("_n"), F.min(where).alias("_first")).where("_n > 1").drop("_n"), "repeated")
-    candidates = storage.written(rows.join(repeated, "_h"), "chunks")
-    first = storage.written(candidates.where(where == F.col("_first")).groupBy("_h").agg(F.min("_chunk").alias("_of")), "first")
-    copies = candidates.where(where != F.col("_first")).join(first, "_h").where(F.col("_chunk").cast("binary") == F.col("_of").cast("binary"))
-    gone = copies.groupBy("_key").agg(F.collect_set(F.struct(F.col("_no").alias("no"), F.col("_h").alias("h"))).alias("_gone"))
+    usable = F.col("_key").isNotNull() & F.col("_text").isNotNull()
+    base = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(usable).withColumn("_fp", F.xxhash64("_text"))
+    gone = _removed(base)
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     others = [c for c in kept if c != text]
-    whole = df.select(F.struct(*others).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    marked = chunked(whole.join(gone, "_key", "left"), "_text").withColumn("_pieces", F.when(F.col("_gone").isNotNull(), _pieces()))
-    stays = F.filter("_pieces", lambda p: ~F.array_contains(F.col("_gone"), F.struct(p["no"].alias("no"), F.xxhash64(p["text"]).alias("h"))))
-    marked = marked.withColumn("_stay", stays)
-    result = F.when(F.col("_stay").isNotNull(), F.array_join(F.transform("_stay", lambda p: p["text"]), "\n")).otherwise(F.col("_text"))
-    left = F.aggregate("_stay", F.lit(0).cast("int"), lambda n, p: (n + p["lines"]).cast("int"))
+    whole = df.select(F.struct(*others).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_fp", F.xxhash64("_text"))
+    marked = chunked(whole.join(gone.hint("merge"), ["_key", "_fp"], "left"), "_text")
+    numbers = F.sequence(F.lit(0), F.size("_ends") - 1)
+    marked = marked.withColumn("_stay", F.when(F.col("_gone").isNotNull(), F.array_except(numbers, "_gone")))
+    result = F.when(F.col("_stay").isNotNull(), F.array_join(F.transform("_stay", _piece), "\n")).otherwise(F.col("_text"))
+    left = F.aggregate("_stay", F.lit(0), lambda n, no: n + _lines_of(no))
     columns = {c: F.col("_row")[c] for c in others} | ({text: F.col("_text")} if out != text else {})
     columns |= {out: result, "n_lines": F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long"), "n_removed": F.when(F.col("_stay").isNotNull(), F.size("_lines") - left).otherwise(F.lit(0)).cast("long")}
     names = [*[c for c in kept if c != out], out, "n_lines", "n_removed"]
