@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +16,22 @@ from factloom.llm import text_kernels as tk
 BATCH_ROWS = 2000
 
 
+def mapped(rows: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow whose worker, which Spark keeps for later tasks, gives its free memory back."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # not this C library
+
+    return rows.mapInArrow(whole, schema)
+
+
 def map_texts(df: DataFrame, key: str, text: str, columns: str, function: Callable[[tk.TextChunk, pa.Array], Iterator[list]], key_out: str | None = None) -> DataFrame:
     """``function(chunk, keys)`` yields lists of column values (without the key unless it
     gives it itself as the first list). Only the key and the text are read.
@@ -36,7 +53,7 @@ def map_texts(df: DataFrame, key: str, text: str, columns: str, function: Callab
                 for values in function(chunk, own):
                     yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -66,4 +83,4 @@ def map_columns(df: DataFrame, keys: str, text: str, columns: str, function) ->
                 for values in function(chunk, own.slice(chunk.first, len(chunk))):
                     yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)

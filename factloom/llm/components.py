@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm import storage
+from factloom.llm import arrow, storage
 
 
 class UnionFind:
@@ -44,7 +44,7 @@ def forest(edges: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*kept, strict=True), batch.schema.types, strict=True)], names=["a", "b"])
 
     kind = edges.schema["a"].dataType.simpleString()
-    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+    return arrow.mapped(edges.select("a", "b"), run, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:

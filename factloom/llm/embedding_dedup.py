@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm import hnsw, storage
+from factloom.llm import arrow, hnsw, storage
 from factloom.llm.components import UnionFind, components
 from factloom.llm.warc import _system, _write
 
@@ -95,7 +95,7 @@ def build_shards(rows: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), pa.array([table.num_rows], pa.int64())], names=["dim", "shard", "n"])
 
     ordered = rows.select("dim", "shard", "key", "copies", "vector").repartition("dim", "shard").sortWithinPartitions("dim", "shard", "key")
-    return storage.written(ordered.mapInArrow(run, "dim int, shard int, n long"), "shards")
+    return storage.written(arrow.mapped(ordered, run, "dim int, shard int, n long"), "shards")
 
 
 def links_of_block(graph: hnsw.Graph, unit: np.ndarray, queries: np.ndarray, cosine: float, beam: int, audits: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +188,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             b = pa.concat_arrays([pa.nulls(len(at), key_type), pa.array([e[1] for e in edges], key_type)])
             yield pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([counts[at], np.zeros(len(edges), np.int64)]))], names=["a", "b", "n"])
 
-    found = storage.written(asked.mapInArrow(run, f"a {kind}, b {kind}, n long"), "links")
+    found = storage.written(arrow.mapped(asked, run, f"a {kind}, b {kind}, n long"), "links")
     labels = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("_n"))
     whole = classes.join(counts, F.col("rep") == F.col("a"), "left").join(labels, F.col("rep") == F.col("node"), "left")

@@ -32,7 +32,7 @@ WORDS = 5
 PERCENT = 75
 #: A block of a bucket holds about so many texts, or shingles, at most.
 BLOCK_TEXTS = 500
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -160,7 +160,7 @@ def _mixed_buckets(members: DataFrame, labels: DataFrame, sizes: DataFrame) -> D
 def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) found by comparing each group of rows with its sets completely."""
     kind = rows.schema["key"].dataType.simpleString()
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow.BATCH_ROWS))
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_TEXTS))
     full = rows.join(sets, "key").select("group", "side", "key", "mark", "shingles")
     full = full.repartition("group").sortWithinPartitions("group")
 
@@ -191,7 +191,7 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             key = schema.field("key").type
             yield pa.RecordBatch.from_arrays([pa.array(c, key) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return full.mapInArrow(run, f"a {kind}, b {kind}")
+    return arrow.mapped(full, run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
@@ -200,19 +200,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
     Null and empty texts have no shingles and no links. Rows with a null key are not
     compared: their component is null and they are kept. Rows that repeat a key share its links.
+    A task holds the words of one chunk of texts (512 KB, or one longer text with about
+    100 bytes a word), the permutations of 65,536 shingles, and in a block of a bucket the
+    sets of 500 texts or 500,000 shingles a side, or of one longer text.
     """
     spark = df.sparkSession
     signed = storage.written(signed_texts(df, key, text, words, slots, bands), "signatures")
     full = signed.where("key IS NOT NULL AND n_shingles > 0")
     # written, so that joins with it have two plain exchanges and may split a hot class
     classes = storage.written(full.groupBy("class1", "class2").agg(F.min("key").alias("_rep")), "classes")
-    leaders = full.join(classes, ["class1", "class2"]).where(F.col("key") == F.col("_rep")).select("key", "n_shingles", "bands").dropDuplicates(["key"])
+    leaders = full.join(classes, ["class1", "class2"]).where(F.col("key") == F.col("_rep")).dropDuplicates(["key", "class1", "class2"])
     banded = leaders.select("key", F.explode("bands").alias("band"))
     shared = storage.written(banded.groupBy("band").agg(F.min("key").alias("root"), F.count("*").alias("n")).where("n > 1"), "shared")
     members = storage.written(banded.join(shared, "band"), "members")
     stars = members.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()
     wanted = members.select("key").distinct()
     texts = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(wanted, "key", "left_semi")
+    texts = texts.groupBy("key", F.xxhash64("_text").alias("_h")).agg(F.min("_text").alias("_text"))
     sets = storage.written(shingle_sets(texts, words), "sets")
     links = storage.written(confirmed(stars, sets, percent), "links")
     storage.release_shuffles(spark)

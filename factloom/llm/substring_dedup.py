@@ -203,7 +203,7 @@ def _tree_repeats(rows: DataFrame, span: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([table.column("key").take(pa.array(who)).combine_chunks(), table.column("fp").take(pa.array(who)).combine_chunks(), pa.array(start[who] + first, pa.int32()), pa.array(start[who] + last, pa.int32())], names=["key", "fp", "first", "end"])
                 at = end
 
-    return ranged.mapInArrow(run, schema)
+    return arrow.mapped(ranged, run, schema)
 
 
 def _deep_repeats(rows: DataFrame, span: int) -> DataFrame:

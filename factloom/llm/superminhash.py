@@ -14,38 +14,44 @@ import numpy as np
 from factloom.llm import text_kernels as tk
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Elements whose permutations are held at once.
+SLICE = 1 << 16
 
 
 def signatures(elements: np.ndarray, owner: np.ndarray, sets: int, slots: int) -> np.ndarray:
     """Signatures (sets x slots) of sets given by 64-bit elements and the set of each.
-    Slots of an empty set are infinite."""
+    Slots of an empty set are infinite.
+
+    Elements are offered SLICE at a time, so that a task holds SLICE permutations however
+    long a text is; minima of slices are minima of the whole.
+    """
     out = np.full(sets * slots, np.inf)
+    owner = owner.astype(np.int64)
+    for lo in range(0, len(elements), SLICE):
+        _offer(out, elements[lo : lo + SLICE], owner[lo : lo + SLICE], slots)
+    return out.reshape(sets, slots)
+
+
+def _offer(out: np.ndarray, elements: np.ndarray, own: np.ndarray, slots: int) -> None:
+    """Lowers the slots of ``out`` to the values that the elements offer."""
     active = np.arange(len(elements))
-    own = owner.astype(np.int64)
-    order: np.ndarray | None = None
+    low = int(own.min())
+    near = out[low * slots : (int(own.max()) + 1) * slots]
+    own = own - low
+    order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(active), 1))
     for j in range(slots):
-        if not len(active):
-            break
         draw = tk.mix(elements[active] + np.uint64((j + 1) * int(_STEP) % 2**64))
         value = (draw >> np.uint64(12)).astype(np.float64) * 2.0**-52 + j
         k = j + ((draw & np.uint64(0xFFF)) * np.uint64(slots - j) >> np.uint64(12)).astype(np.int64)
-        if order is None:
-            slot = k
-            if slots > 1:
-                order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(active), 1))
-        else:
-            row = np.arange(len(active))
-            slot = order[row, k].astype(np.int64)
-        if order is not None:
-            row = np.arange(len(active))
-            order[row, k] = order[:, j]
-        np.minimum.at(out, own[active] * slots + slot, value)
-        going = out.reshape(sets, slots).max(1) >= j + 1
-        stay = going[own[active]]
+        row = np.arange(len(active))
+        slot = order[row, k].astype(np.int64)
+        order[row, k] = order[:, j]
+        np.minimum.at(near, own[active] * slots + slot, value)
+        stay = (near.reshape(-1, slots).max(1) >= j + 1)[own[active]]
         if not stay.all():
-            active = active[stay]
-            order = order[stay] if order is not None else None
-    return out.reshape(sets, slots)
+            active, order = active[stay], order[stay]
+            if not len(active):
+                break
 
 
 def band_hashes(signature: np.ndarray, bands: int) -> np.ndarray:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 #: Short texts: kernels that keep a row of features for each text stay small.
 CHUNK_TEXTS = 512
 
