@@ -22,9 +22,30 @@ NUMBERED_RECOMMENDATION = r"(?iuU)^(Recommendation\s+(\d+))\s*[:\-–—]\s*(.+)
 PROSE_MARKERS = ["will", "must", "shall", "is", "are", "was", "were", "has", "have", "had", "recommends", "recommended", "approved", "completed"]
 
 
-def _with_starts(pieces: Column) -> Column:
-    """Structs (piece, start) of pieces that make up a text."""
-    return F.transform(pieces, lambda p, i: F.struct(p.alias("piece"), F.length(F.array_join(F.slice(pieces, 1, i), "")).alias("start")))
+def _with_starts(rows: DataFrame, pieces: str, out: str) -> DataFrame:
+    """Adds ``out``: structs (piece, start) of the pieces that make up a text.
+
+    Running sums are taken in runs of about the square root of the number of pieces, and
+    every array that a lambda looks into is a column of its own, so that no
+    expression over the whole text is evaluated again for each piece.
+    """
+    step = F.greatest(F.ceil(F.sqrt(F.size("_len"))).cast("int"), F.lit(1))
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_len") / step).cast("int") - 1), lambda k: F.slice("_len", k * step + 1, step))
+    rows = rows.withColumn("_len", F.transform(pieces, F.length)).withColumn("_runs", runs)
+    rows = rows.withColumn("_sums", F.transform("_runs", _total)).withColumn("_base", F.transform("_sums", lambda _, i: _total(F.slice("_sums", 1, i))))
+    starts = F.flatten(F.zip_with("_runs", "_base", lambda run, base: F.transform(run, lambda _, i: base + _total(F.slice(run, 1, i)))))
+    zipped = F.zip_with(pieces, starts, lambda piece, start: F.struct(piece.alias("piece"), start.alias("start")))
+    return rows.withColumn(out, zipped).drop("_len", "_runs", "_sums", "_base")
+
+
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda a, b: a + b)
+
+
+def _exploded(rows: DataFrame, items: Column, out: str) -> DataFrame:
+    """A row for each item. The outer form, for from the plain one Spark infers a filter on the
+    array's size, and pushes it below the columns that the array is made of, writing them out."""
+    return rows.withColumn(out, F.explode_outer(items)).where(F.col(out).isNotNull())
 
 
 def _trimmed(piece: Column, start: Column) -> tuple[Column, Column]:
@@ -50,9 +71,10 @@ def is_heading_v2(line: Column) -> Column:
 
 def lines(blocks: DataFrame, heading: Callable[[Column], Column] = is_heading, with_pending: bool = False) -> DataFrame:
     """Non-blank physical lines: ``line_number`` (of all lines, from 1), ``text``, ``start``,
-    ``end``, ``heading`` and the heading that is the line just before, if any."""
+    ``end``, ``heading`` and the heading that is the line just before, if any. With
+    ``with_pending`` only lines of prose, each with the headings since the one before it."""
     pieces = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), f"({_BREAK})", "$1" + _MARK), _MARK)
-    rows = blocks.withColumn("_lines", _with_starts(pieces))
+    rows = _with_starts(blocks.withColumn("_pieces", pieces), "_pieces", "_lines")
 
     def line(p: Column, i: Column) -> Column:
         body, start = _trimmed(p["piece"], p["start"])
@@ -67,13 +89,18 @@ def lines(blocks: DataFrame, heading: Callable[[Column], Column] = is_heading, w
 
     rows = rows.withColumn("_kept", F.filter(F.transform("_lines", before), lambda p: F.length(p["text"]) > 0))
 
-    def pending(p: Column, i: Column) -> Column:
-        """The headings since the last line of prose."""
-        last = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), i), lambda k: (k < i) & ~F.get("_kept", k)["heading"])), F.lit(-1))
-        found = F.transform(F.slice("_kept", last + 2, F.greatest(i - last - 1, F.lit(0))), lambda h: F.struct(F.regexp_replace(h["text"], r"(?U)\s*:\z", "").alias("text"), h["start"].alias("start")))
-        return p.withField("pending", found)
+    if with_pending:
+        places = F.filter(F.sequence(F.lit(0), F.size("_kept") - 1), lambda k: (k >= 0) & ~F.get("_kept", F.greatest(k, F.lit(0)))["heading"])
+        rows = rows.withColumn("_prose", F.when(F.size("_kept") > 0, places))
+
+        def pending(at: Column, j: Column) -> Column:
+            """The headings since the last line of prose."""
+            last = F.when(j > 0, F.get("_prose", j - 1)).otherwise(F.lit(-1))
+            found = F.transform(F.slice("_kept", last + 2, at - last - 1), lambda h: F.struct(F.regexp_replace(h["text"], r"(?U)\s*:\z", "").alias("text"), h["start"].alias("start")))
+            return F.get("_kept", at).withField("pending", found)
 
-    rows = rows.withColumn("_line", F.explode(F.transform("_kept", pending) if with_pending else F.col("_kept")))
+        rows = rows.withColumn("_kept", F.transform("_prose", pending))
+    rows = _exploded(rows, F.col("_kept"), "_line")
     kept = [c for c in blocks.columns if c != "text"]
     return rows.select(*kept, "_line.*")
 
@@ -89,7 +116,7 @@ def statements(blocks: DataFrame) -> DataFrame:
         body, start = _trimmed(p["piece"], p["start"])
         return F.struct(body.alias("text"), (F.col("start") + start).alias("start"), (F.col("start") + start + F.length(body)).alias("end"))
 
-    found = prose.withColumn("_parts", parts).withColumn("_part", F.explode(F.transform(_with_starts(F.col("_parts")), part)))
+    found = _exploded(_with_starts(prose.withColumn("_parts", parts), "_parts", "_placed"), F.transform("_placed", part), "_part")
     return found.select("source_id", "block_id", "sequence", "block_type", "line_number", "_part.*", "context", "context_start").where(F.length("text") > 0)
 
 
@@ -108,5 +135,5 @@ def statements_v2(blocks: DataFrame) -> DataFrame:
         body, start = _trimmed(p["piece"], p["start"])
         return F.struct(body.alias("text"), (F.col("start") + start).alias("start"), (F.col("start") + start + F.length(body)).alias("end"))
 
-    found = prose.withColumn("_parts", F.split(marked, _MARK)).withColumn("_part", F.explode(F.transform(_with_starts(F.col("_parts")), part)))
+    found = _exploded(_with_starts(prose.withColumn("_parts", F.split(marked, _MARK)), "_parts", "_placed"), F.transform("_placed", part), "_part")
     return found.select("source_id", "block_id", "sequence", "block_type", "line_number", "_part.*", "context", "context_start", "pending").where(F.length("text") > 0)
