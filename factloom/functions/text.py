@@ -25,6 +25,24 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def collapsed_offsets(text: Column) -> Column:
+    """A struct of the collapsed text and, for each of its characters, the place of the original
+    one from 0; a single space has the place of the word behind it."""
+
+    def places(chars: Column) -> Column:
+        return F.filter(F.transform(chars, lambda c, i: F.when(c.rlike(r"(?U)\A\S\z"), i)), lambda i: i.isNotNull())
+
+    def spread(at: Column) -> Column:
+        return F.flatten(F.transform(at, lambda p, j: F.when((j > 0) & (F.get(at, j - 1) < p - 1), F.array(p, p)).otherwise(F.array(p))))
+
+    return F.struct(strip(F.regexp_replace(text, r"(?U)\s+", " ")).alias("text"), _bound(places(F.split(text, "")), spread).alias("offsets"))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 

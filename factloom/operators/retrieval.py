@@ -72,12 +72,19 @@ def _order(score: str = "score") -> list[Column]:
     return [F.col(score).desc(), F.col("source_id"), F.col("block_id")]
 
 
-def top(scores: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def top(scores: DataFrame, rows: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """The k best records of each query, with their rank. The limit is applied in each task
-    before the shuffle by query."""
-    joined = scores.join(rows.select("evidence_id", "source_id", "block_id"), "evidence_id")
-    ranked = joined.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*_order())))
-    return ranked.where(F.col("rank") <= k).select("qid", "rank", "evidence_id", "score")
+    before the shuffle by query. With ``queries`` (qid), queries with fewer scored records are
+    filled up with records of score 0 in their order, for which the first 2k records suffice."""
+    joined = scores.join(rows.select("evidence_id", "source_id", "block_id"), "evidence_id").select("qid", "evidence_id", "source_id", "block_id", "score")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(*_order())).alias("rank")
+    best = joined.select("*", place).where(F.col("rank") <= k)
+    if queries is not None:
+        first = rows.select("evidence_id", "source_id", "block_id").orderBy("source_id", "block_id").limit(2 * k)
+        other = queries.select("qid").distinct().crossJoin(F.broadcast(first)).join(best.select("qid", "evidence_id"), ["qid", "evidence_id"], "left_anti")
+        every = best.drop("rank").unionByName(other.withColumn("score", F.lit(0.0)))
+        best = every.select("*", place).where(F.col("rank") <= k)
+    return best.select("qid", "rank", "evidence_id", "score")
 
 
 def full_ranks(scores: DataFrame, rows: DataFrame, queries: DataFrame, name: str) -> DataFrame:

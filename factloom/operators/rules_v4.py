@@ -1,18 +1,14 @@
 """The fourth rule engine: commitments of the third with resolved actors and plain values,
 and commitments that only the second engine kept, completed to whole sentences.
 
-Everything but the completion of a cut sentence is an expression on the fact's row,
-joined once with its block and once with its source's trusted actors.
+Everything is an expression on the fact's row, joined once with its block and once with
+its source's trusted actors.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from factloom import schemas
 from factloom.functions import keys, text
@@ -132,52 +128,52 @@ def plain_value(raw: Column) -> tuple[Column, Column]:
     return _upper_first(kept), how
 
 
-_ENDS = re.compile(r"[.!?()\n]")
-_LIST = re.compile(r"(?:\d{1,3}[.)]|[-*•])\s+")
-
-
-def sentence_end(block: str, start: int, end: int) -> int | None:
-    """Where the sentence that starts at ``start`` and is known up to ``end`` ends; None if a list
-    item, a heading or the limit comes first. Periods in numbers, after
-    abbreviations and before other characters end nothing, nor do marks in parentheses."""
-
-    def stops(i: int) -> bool:
-        if block[i] in "!?":
-            return True
-        behind = block[i + 1 : i + 2]
-        word = re.search(r"[A-Za-z][A-Za-z.]*$", block[max(start, i - 16) : i])
-        return not (behind and not behind.isspace()) and not (word and word.group().lower() in ABBREVIATIONS)
-
-    if end > start and block[end - 1] in ".!?" and stops(end - 1):
-        return end
-    depth = block.count("(", start, end) - block.count(")", start, end)
-    for mark in _ENDS.finditer(block, end, min(len(block), start + MOST_SENTENCE)):
-        kind, i = mark.group(), mark.start()
-        if kind == "(":
-            depth += 1
-        elif kind == ")":
-            depth = max(0, depth - 1)
-        elif kind == "\n":
-            line = block[i:].lstrip("\r\n").partition("\n")[0].strip()
-            words = re.findall("[A-Za-z0-9]+", line)
-            titled = line.isupper() or all(w[0].isupper() for w in words)
-            if _LIST.match(line) or (line and len(line) <= 80 and line[-1] not in ".!?" and 1 <= len(words) <= 10 and titled):
-                return None
-        elif depth == 0 and stops(i):
-            return i + 1
-    return None
-
-
-@F.pandas_udf(StringType())
-def _whole_sentence(block: pd.Series, excerpt: pd.Series, raw: pd.Series) -> pd.Series:
-    """The rest of a value's sentence in its block, from the start of the excerpt; null if unsafe."""
-    out = []
-    for b, e, r in zip(block, excerpt, raw, strict=True):
-        at = e.find(r) if isinstance(b, str) and b.count(e) == 1 else -1
-        begin = b.find(e) if at >= 0 else -1
-        end = sentence_end(b, begin + at, begin + at + len(r)) if at >= 0 else None
-        out.append(b[begin:end].rstrip() if end is not None else None)
-    return pd.Series(out, dtype=object)
+# A sentence as one pattern. Possessive runs keep matching linear.
+_ABBREVIATED = r"(?<=(?:\A|[^A-Za-z.])\.{0,3}(?i:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"))\."
+_TITLED = r"(?:[^A-Za-z0-9\n]*+[A-Z][A-Za-z0-9]*+){1,10}+[^A-Za-z0-9\n]*+"
+_CAPITALS = r"(?=[^\n]*\p{Lu})(?:[^A-Za-z0-9\n\p{Ll}]*+[A-Z0-9]++){1,10}+[^A-Za-z0-9\n\p{Ll}]*+"
+_HEADING = r"(?=[^\n]{1,80}(?:\n|\z))(?![^\n]*[.!?][ \t\r]*(?:\n|\z))(?:" + _TITLED + "|" + _CAPITALS + r")(?:\n|\z)"
+_LINE = r"\n(?![\r\n]*(?:[ \t]*(?:\d{1,3}[.)]|[-*•])\s|" + _HEADING + "))"
+_PARENTHESIS = rf"\((?:[^()\n]|{_LINE}|\((?:[^()\n]|{_LINE})*+\))*+\)"
+_RUN = rf"(?:[^.!?(\n]|{_LINE}|{_PARENTHESIS}|\.(?=\S)|{_ABBREVIATED})*+[.!?]"
+_CLOSING = rf"(?:[^()\n]|{_LINE}|{_PARENTHESIS})*+\)"
+_LEAD = 16
+
+
+def completed(known: Column, rest: Column) -> Column:
+    """What of ``rest`` still belongs to the sentence that ``known`` is the begin of; null if a list
+    item, a heading or the limit comes before its end.
+
+    A sentence ends at ``!`` or ``?``, or at a period that neither stands before another character nor
+    ends an abbreviation; marks in parentheses (one pair in another at most, two open ones in
+    ``known``) end nothing.
+    """
+    lead = F.substring(F.concat(F.lit(" " * _LEAD), known), -_LEAD, _LEAD)
+    done = known.rlike(r"[!?]\z") | (known.rlike(r"\.\z") & ~rest.rlike(r"\A\S") & ~known.rlike(_ABBREVIATED + r"\z"))
+    count = lambda mark: F.length(known) - F.length(F.replace(known, F.lit(mark), F.lit("")))
+    depth = F.greatest(count("(") - count(")"), F.lit(0))
+    found = lambda d: F.regexp_extract(F.concat(lead, rest), rf"\A(?s:.{{{_LEAD}}})((?:{_CLOSING}){{{d}}}{_RUN})", 1)
+    end = F.when(depth == 0, found(0)).when(depth == 1, found(1)).when(depth == 2, found(2))
+    fits = (end != "") & (F.length(known) + F.length(end) <= MOST_SENTENCE)
+    return F.when(done, F.lit("")).when(fits, end)
+
+
+def whole_sentence(block: Column, excerpt: Column, raw: Column) -> Column:
+    """The excerpt with its value completed to the end of the sentence in the block; null if that
+    is unsafe, or if the excerpt does not stand exactly once in the block."""
+    once = (F.length(block) - F.length(F.replace(block, excerpt, F.lit("")))) == F.length(excerpt)
+    inside = F.call_function("instr", excerpt, raw)
+    start = F.call_function("instr", block, excerpt) + inside - 1
+    rest = F.substring(block, start + F.length(raw), F.lit(MOST_SENTENCE + 100))
+    whole = F.concat(F.substring(excerpt, F.lit(1), inside - 1), raw, completed(raw, rest))
+    return F.when(once & (inside > 0), F.regexp_replace(whole, r"(?U)\s+\z", ""))
+
+
+def _settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a generator, below which Spark pushes no filter, so that a later filter
+    on them does not write their long expressions out again."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return rows.withColumn("_made", made).select("*", "_made.*").drop("_made")
 
 
 def extract(blocks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -194,16 +190,16 @@ def extract(blocks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFra
     rest = kept.where("predicate <> 'commitment'")
     rows = _resolved(kept.where("predicate = 'commitment'").unionByName(lost).join(texts, ["source_id", "block_id"]).join(actors, "source_id", "left"))
     recovered = F.col("_status") == "recovered"
-    rows = rows.withColumn("_whole", F.when(recovered, _whole_sentence("_block", "text_excerpt", "raw_value")))
+    rows = _settled(rows, _whole=F.when(recovered, whole_sentence(F.col("_block"), F.col("text_excerpt"), F.col("raw_value"))))
     found = F.call_function("instr", F.col("_whole"), F.col("raw_value"))
-    rows = rows.withColumn("_raw", F.when(recovered, text.collapse(F.substring(F.col("_whole"), found, F.length("_whole")))).otherwise(F.col("raw_value")))
+    rows = _settled(rows, _raw=F.when(recovered, text.collapse(F.substring(F.col("_whole"), found, F.length("_whole")))).otherwise(F.col("raw_value")))
     value, how = plain_value(F.col("_raw"))
-    rows = rows.withColumns({"_value": value, "_how": how})
+    rows = _settled(rows, _value=value, _how=how)
     named = ~F.col("_first") & (F.col("_method") == "explicit_statement_actor") & F.col("subject_text").rlike(_I + ORGANISATION) & (F.size(F.split("subject_text", r"\s+")) <= 12) & ~F.col("subject_text").rlike(_I + r",|\b(?:and|or)\b")
     resolved = F.col("_first") & (F.col("_subject") != F.col("subject_text"))
     whole = F.col("_whole").isNotNull() & (F.length("_whole") <= rules.MOST_EVIDENCE) & (F.size(F.split("_raw", " ")) >= 3) & ~F.col("_raw").rlike(_I + CUT_OFF)
     reason = F.when(~(named | resolved), "actor_not_eligible_or_unresolved").when(~whole, "unsafe_or_ambiguous_parent_completion").when(~action_verb(F.col("_value")).isin(VERBS), "ineligible_action").when(F.col("_how") == "unsafe_wrapper_preserved", "unsafe_wrapper")
-    rows = rows.withColumn("_rejected", F.when(recovered, reason))
+    rows = _settled(rows, _rejected=F.when(recovered, reason))
     good = rows.where("_rejected IS NULL")
     rule = F.when(recovered, RULES["recovered"]).when(F.col("_value") != F.col("value_text"), RULES["value"]).otherwise(RULES["actor"])
     made = good.select(*[{"subject_text": F.col("_subject"), "subject_type": F.col("_type"), "raw_value": F.col("_raw"), "value_text": F.col("_value"), "text_excerpt": F.coalesce("_whole", "text_excerpt")}.get(c, F.col(c)).alias(c) for c in columns], rule.alias("rule_id"), F.when(recovered, 2).otherwise(1).alias("_order"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import report_queries, retrieval_queries, rule_queries
+from factloom.plans import contract_queries, report_queries, retrieval_queries, rule_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (retrieval_queries, rule_queries, report_queries)
+_MODULES = (retrieval_queries, rule_queries, report_queries, contract_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

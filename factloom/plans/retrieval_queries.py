@@ -26,13 +26,13 @@ def _shown(ranked: DataFrame) -> DataFrame:
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _records(spark, sf_dir)
-    return _shown(retrieval.top(retrieval.lexical_scores(rows, _questions(spark, sf_dir)), rows, 10))
+    rows, asked = _records(spark, sf_dir), _questions(spark, sf_dir)
+    return _shown(retrieval.top(retrieval.lexical_scores(rows, asked), rows, 10, asked))
 
 
 def restricted_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = retrieval.restrict(_records(spark, sf_dir), SOURCES)
-    return _shown(retrieval.top(retrieval.lexical_scores(rows, _questions(spark, sf_dir)), rows, 5))
+    rows, asked = retrieval.restrict(_records(spark, sf_dir), SOURCES), _questions(spark, sf_dir)
+    return _shown(retrieval.top(retrieval.lexical_scores(rows, asked), rows, 5, asked))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,7 @@ def comparable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 
 
-def _lexical(records: str, k: int) -> str:
+def _lexical(records: str, k: int | None) -> str:
     return f"""
     WITH r AS ({records}),
     q AS (SELECT item_id AS qid, text FROM benchmark),
@@ -165,8 +165,9 @@ def _lexical(records: str, k: int) -> str:
     qn AS (SELECT qid, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1),
     s AS (SELECT qid, evidence_id, sum(w.w * qw.w) AS s FROM w JOIN qw USING (term) GROUP BY 1, 2),
     scored AS (SELECT qid, evidence_id, round(s / (nn.norm * qn.norm), 10) AS score FROM s JOIN nn USING (evidence_id) JOIN qn USING (qid)),
-    ranked AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, source_id, block_id) AS rank, evidence_id, score, source_id, block_id FROM scored JOIN r USING (evidence_id))
-    SELECT qid, rank, evidence_id, round(score, 6) AS score FROM ranked WHERE rank <= {k}"""
+    every AS (SELECT q.qid, r.evidence_id, r.source_id, r.block_id, coalesce(scored.score, 0.0) AS score FROM q CROSS JOIN r LEFT JOIN scored ON scored.qid = q.qid AND scored.evidence_id = r.evidence_id),
+    ranked AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, source_id, block_id) AS rank, evidence_id, score FROM every)
+    SELECT qid, rank, evidence_id, round(score, 6) AS score FROM ranked{f" WHERE rank <= {k}" if k else ""}"""
 
 
 _ALL = "SELECT source || ':' || doc_id AS evidence_id, source AS source_id, CAST(doc_id AS VARCHAR) AS block_id, text FROM documents WHERE length(trim(text)) > 0"
@@ -201,7 +202,7 @@ ORACLES = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY f DESC, source_id, block_id) AS rank FROM fused)
         SELECT qid, rank, evidence_id, round(f, 6) AS score FROM ranked WHERE rank <= 10""",
     "retrieval_eval": f"""
-        WITH top AS ({_lexical(_ALL, 100)}),
+        WITH top AS ({_lexical(_ALL, None)}),
         rel AS (SELECT b.item_id AS qid, d.source || ':' || d.doc_id AS evidence_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
         f AS (SELECT rel.qid, min(top.rank) AS r FROM rel LEFT JOIN top USING (qid, evidence_id) GROUP BY 1)
         SELECT count(*) AS questions, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_at_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0 END), 6) AS hit_at_3,
@@ -236,6 +237,20 @@ ORACLES = {
         o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY block_id ORDER BY n) - length(line) - 1 AS off FROM l),
         t AS (SELECT block_id, n, off, line, regexp_replace(line, '^\s+', '') AS ls, regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', '') AS body FROM o)
         SELECT block_id, n AS line_number, CAST(off + length(line) - length(ls) AS BIGINT) AS start, CAST(off + length(line) - length(ls) + length(body) AS BIGINT) AS "end", md5(body) AS line_md5 FROM t WHERE body <> ''""",
+    "statements": r"""
+        WITH l AS (SELECT source, CAST(doc_id AS VARCHAR) AS block_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents),
+        o AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY block_id ORDER BY n) AS BIGINT) - length(line) - 1 AS off, regexp_replace(line, '^\s+', '') AS ls FROM l),
+        t AS (SELECT *, regexp_replace(ls, '\s+$', '') AS body, off + length(line) - length(ls) AS start FROM o),
+        h AS (SELECT *, regexp_extract_all(body, '[A-Za-z0-9][A-Za-z0-9''&/\-]*') AS words FROM t),
+        g AS (SELECT *, length(body) > 0 AND length(body) < 120 AND (suffix(body, ':') OR NOT regexp_matches(body, '[.!?]$') AND len(words) BETWEEN 1 AND 12 AND (upper(body) = body AND lower(body) <> body OR
+              len(list_filter(words, lambda w: lower(w) IN ('will', 'must', 'shall', 'is', 'are', 'was', 'were', 'has', 'have', 'had', 'recommends', 'recommended', 'approved', 'completed'))) = 0
+              AND len(list_filter(words, lambda w: regexp_matches(w, '^[A-Z]'))) >= greatest(1, len(words) - 1))) AS heading FROM h),
+        c AS (SELECT *, lag(heading) OVER w AS before, lag(start) OVER w AS before_start FROM g WINDOW w AS (PARTITION BY block_id ORDER BY n)),
+        s AS (SELECT *, CASE WHEN regexp_matches(body, '(?i)^Recommendation\s+\d+\s*[:\-–—]\s*.+$') THEN [body] ELSE string_split(regexp_replace(body, '([.!?])([ \t]+)(["''\[(]?[A-Z0-9])', '\1' || chr(1) || '\2\3', 'g'), chr(1)) END AS parts FROM c WHERE body <> '' AND NOT heading),
+        p AS (SELECT source, block_id, n, start, before, before_start, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS k, parts FROM s),
+        e AS (SELECT *, start + coalesce(list_sum(list_transform(parts[1:k - 1], lambda x: length(x))), 0) AS beg, regexp_replace(part, '^\s+', '') AS ps FROM p)
+        SELECT source AS source_id, block_id, 1 AS sequence, 'page_text' AS block_type, n AS line_number, CAST(beg + length(part) - length(ps) AS BIGINT) AS start, CAST(beg + length(part) - length(ps) + length(regexp_replace(ps, '\s+$', '')) AS BIGINT) AS "end",
+               CASE WHEN before THEN before_start END AS context_start FROM e WHERE regexp_replace(ps, '\s+$', '') <> ''""",
     "page_audit": """
         WITH p AS (SELECT source AS document, doc_id, length(text) AS chars FROM documents)
         SELECT document, count(*) AS pages, CAST(sum(chars) AS BIGINT) AS total_chars, min(chars) AS min_chars, max(chars) AS max_chars, round(avg(chars), 2) AS mean_chars,

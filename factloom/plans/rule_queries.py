@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
-from factloom.operators import matching, registry, rules, rules_v2, segmentation
+from factloom.operators import comparison, matching, registry, rules, rules_v2, rules_v3, rules_v4, segmentation
 from factloom.session import table
 
 
@@ -80,20 +80,65 @@ def rule_action_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("block_id", "subject_text", "raw_value", F.element_at("qualifiers", "action_id").alias("action_id"))
 
 
+def _engine_text() -> Column:
+    return _concat("National Office\nwill publish ", F.col("c_name"), " guidance.\nThe council must review it. The council approved a plan.\nSatisfaction rate may be 40% or 60%.")
+
+
 def rule_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules over all templates of nations: counts by predicate."""
-    n = table(spark, sf_dir, "nation")
-    words = _concat("National Office\nwill publish ", F.col("n_name"), " guidance.\nThe council must review it. The council approved a plan.")
-    facts, _ = rules.extract(_blocks(n, F.lit("N"), F.col("n_nationkey"), words))
+    """All rules over all templates of customers: counts by predicate."""
+    c = table(spark, sf_dir, "customer")
+    facts, _ = rules.extract(_blocks(c, F.lit("C"), F.col("c_custkey"), _engine_text()))
     return facts.groupBy("predicate", "confidence").agg(F.count("*").alias("n"), F.count_distinct("candidate_id").alias("ids"))
 
 
 def rule_v2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second engine over templates of nations; equal facts of a source count once."""
-    n = table(spark, sf_dir, "nation")
-    words = _concat("National Office\nwill publish ", F.col("n_name"), " guidance.\nThe council must review it. The council approved a plan.\nSatisfaction rate may be 40% or 60%.")
-    facts, _ = rules_v2.extract(_blocks(n, F.lit("N"), F.col("n_nationkey"), words))
-    return facts.groupBy("predicate", "confidence").agg(F.count("*").alias("n"))
+    """The second engine over templates of customers; equal facts of a source count once."""
+    c = table(spark, sf_dir, "customer")
+    facts, _ = rules_v2.extract(_blocks(c, _concat("C", F.col("c_nationkey")), F.col("c_custkey"), _engine_text()))
+    return facts.groupBy("source_id", "predicate", "confidence").agg(F.count("*").alias("n"))
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two pages and a title for each customer: numbered recommendations, a ratio, a budget, and
+    commitments of named, first-person and generic actors."""
+    c = table(spark, sf_dir, "customer")
+    k, source = F.col("c_custkey"), _concat("C", F.col("c_custkey"))
+    first = _concat(
+        "1. Publish the guidance for ", F.col("c_mktsegment"), " offices. 2. Birds sing. The board has met their commitments against ", k % 7, " of the 7 actions.\nThe council has committed GBP ", k + 1, " million to Harbour Fund ", k,
+        ".\nIt will rain.\nThe harbour council ", k, " plans to open offices.",
+    )
+    second = _concat("Published by the Northern Harbour Authority.\nThe harbour council will now publish guidance ", k, ".\nWe will implement the reform plan of ", F.col("c_name"), " this year.\nThe Harbour Service Board will seek new members for the panel.\nWe will improve.")
+    page = lambda n, words: c.select(source.alias("source_id"), F.lit(f"B{n}").alias("block_id"), F.lit(n).alias("sequence"), F.lit("page_text").alias("block_type"), words.alias("text"), F.lit("page").alias("location_type"), F.lit(str(n)).alias("location_value"))
+    documents = c.select(source.alias("source_id"), _concat("Regional action plan ", k, " - Q1 2024: notes").alias("title"), F.array().cast("array<string>").alias("authors"), F.create_map().cast("map<string,string>").alias("metadata"))
+    return page(1, first).unionByName(page(2, second)), documents
+
+
+def rule_v3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third engine over two pages of each customer."""
+    blocks, documents = _reports(spark, sf_dir)
+    facts, _ = rules_v3.extract(blocks, documents.select("source_id", "title"))
+    return facts.select("source_id", "block_id", "rule_id", "predicate", "subject_text", "raw_value", F.col("value_number").cast("long").alias("amount"), F.element_at("qualifiers", "recommendation_id").alias("number"))
+
+
+def rule_v4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourth engine over the same pages: resolved actors, plain values, recovered commitments."""
+    facts, _, _ = rules_v4.extract(*_reports(spark, sf_dir))
+    return facts.where("predicate = 'commitment'").select("source_id", "block_id", "rule_id", "subject_text", "subject_type", "raw_value", "value_text")
+
+
+def rule_v4_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the fourth engine came to its commitments, counted."""
+    _, _, trace = rules_v4.extract(*_reports(spark, sf_dir))
+    return comparison.trace_counts(trace, ["status", "actor_method", "value_operation", "rejected"])
+
+
+def sentence_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut statements of orders completed to whole sentences."""
+    o = table(spark, sf_dir, "orders")
+    rest = F.when(F.col("o_orderkey") % 4 == 0, " 2.5 million (see p. 4) on Dr. Lee. Next").when(F.col("o_orderkey") % 4 == 1, "\n- item").when(F.col("o_orderkey") % 4 == 2, "\nHEADING HERE\nmore.").otherwise(F.lit(" and\nmore! End"))
+    raw = _concat("will spend ", F.col("o_orderkey"))
+    excerpt = F.concat(F.lit("The office "), raw)
+    return o.select("o_orderkey", rules_v4.whole_sentence(F.concat(F.lit("Intro. "), excerpt, rest), excerpt, raw).alias("whole"))
 
 
 def rule_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +233,7 @@ def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_commitment, rule_requirement, rule_decision, rule_risk, rule_recommendation, rule_budget, rule_metric, rule_action_status, rule_all, rule_v2_all, rule_warnings, period_extract,
+        rule_commitment, rule_requirement, rule_decision, rule_risk, rule_recommendation, rule_budget, rule_metric, rule_action_status, rule_all, rule_v2_all, rule_v3_all, rule_v4_all, rule_v4_trace, sentence_completion, rule_warnings, period_extract,
         money_normalise, metric_slug, strict_match, value_alignment, predicate_counts, prf_metrics, diagnostic_summary, predicate_violations, predicate_canon, duplicate_candidates,
     )
 }
@@ -211,8 +256,27 @@ ORACLES = {
     "rule_budget": "SELECT CAST(o_orderkey AS VARCHAR) AS block_id, 'Delivery programme ' || o_orderkey AS subject_text, 'programme' AS subject_type, CAST(floor(o_totalprice) AS BIGINT) AS amount, 'GBP' AS currency, 'approved' AS status FROM orders",
     "rule_metric": "SELECT CAST(p_partkey AS VARCHAR) AS block_id, 'surveyed users' AS subject_text, CAST(p_size AS BIGINT) AS value, 'surveyed_users_percentage' AS metric_name, 'surveyed users' AS population, '2021-03' AS period FROM part",
     "rule_action_status": "SELECT CAST(o_orderkey AS VARCHAR) AS block_id, 'Action ' || o_orderkey AS subject_text, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'in progress' ELSE 'delayed' END AS raw_value, CAST(o_orderkey AS VARCHAR) AS action_id FROM orders",
-    "rule_all": "SELECT unnest(['commitment', 'requirement', 'decision']) AS predicate, unnest([0.7, 0.9, 0.9])::DOUBLE AS confidence, count(*) AS n, count(*) AS ids FROM nation GROUP BY 1, 2",
-    "rule_v2_all": "SELECT unnest(['commitment', 'requirement', 'decision', 'metric']) AS predicate, unnest([0.7, 0.9, 0.9, 0.5])::DOUBLE AS confidence, unnest([count(*), 1, 1, 2]) AS n FROM nation",
+    "rule_all": "SELECT unnest(['commitment', 'requirement', 'decision']) AS predicate, unnest([0.7, 0.9, 0.9])::DOUBLE AS confidence, count(*) AS n, count(*) AS ids FROM customer GROUP BY 1, 2",
+    "rule_v2_all": "SELECT 'C' || c_nationkey AS source_id, unnest(['commitment', 'requirement', 'decision', 'metric']) AS predicate, unnest([0.7, 0.9, 0.9, 0.5])::DOUBLE AS confidence, unnest([count(DISTINCT c_name), 1, 1, 2]) AS n FROM customer GROUP BY c_nationkey",
+    "rule_v3_all": """
+        WITH c AS (SELECT *, 'C' || c_custkey AS s, c_custkey AS k FROM customer)
+        SELECT s AS source_id, 'B1' AS block_id, 'V03-POLICY-COMMITMENT-PRECISION-002' AS rule_id, 'commitment' AS predicate, 'The harbour council ' || k AS subject_text, 'plans to open offices.' AS raw_value, CAST(NULL AS BIGINT) AS amount, CAST(NULL AS VARCHAR) AS number FROM c
+        UNION ALL SELECT s, 'B1', 'V03-RULE-ACTION-RATIO-001', 'action_status', 'Regional action plan ' || k, 'Commitments met against ' || (k % 7) || ' of the 7 actions.', NULL, NULL FROM c
+        UNION ALL SELECT s, 'B1', 'V03-RULE-BUD-COMMITTED-001', 'budget', 'Harbour Fund ' || k, 'has committed GBP ' || (k + 1) || ' million to Harbour Fund ' || k, (k + 1) * 1000000, NULL FROM c
+        UNION ALL SELECT s, 'B1', 'V03-RULE-REC-NUMBERED-001', 'recommendation', 'Regional action plan ' || k || ' recommendation 1', 'Publish the guidance for ' || c_mktsegment || ' offices.', NULL, '1' FROM c
+        UNION ALL SELECT s, 'B2', 'V03-POLICY-COMMITMENT-PRECISION-002', 'commitment', 'The harbour council', 'will now publish guidance ' || k || '.', NULL, NULL FROM c""",
+    "rule_v4_all": """
+        WITH c AS (SELECT *, 'C' || c_custkey AS s, c_custkey AS k FROM customer)
+        SELECT s AS source_id, 'B1' AS block_id, 'V04-POLICY-COMMITMENT-VALUE-003' AS rule_id, 'The harbour council ' || k AS subject_text, 'organisation' AS subject_type, 'plans to open offices.' AS raw_value, 'Plans to open offices.' AS value_text FROM c
+        UNION ALL SELECT s, 'B2', 'V04-POLICY-COMMITMENT-VALUE-003', 'The harbour council', 'organisation', 'will now publish guidance ' || k || '.', 'Now publish guidance ' || k || '.' FROM c
+        UNION ALL SELECT s, 'B2', 'V04-RULE-COMMITMENT-RECOVERY-004', 'Northern Harbour Authority', 'organisation', 'will implement the reform plan of ' || c_name || ' this year.', 'Implement the reform plan of ' || c_name || ' this year.' FROM c
+        UNION ALL SELECT s, 'B2', 'V04-RULE-COMMITMENT-RECOVERY-004', 'The Harbour Service Board', 'initiative', 'will seek new members for the panel.', 'Seek new members for the panel.' FROM c""",
+    "rule_v4_trace": """
+        SELECT unnest(['status', 'status', 'actor_method', 'actor_method', 'actor_method', 'value_operation', 'value_operation', 'rejected']) AS counter,
+               unnest(['retained', 'recovered', 'preserved_parent_subject', 'role_aware_front_matter', 'explicit_statement_actor', 'affirmative_will_removed', 'intent_or_planning_preserved', 'unsafe_or_ambiguous_parent_completion']) AS name,
+               unnest([2 * n, 3 * n, 2 * n, 2 * n, n, 4 * n, n, n]) AS n FROM (SELECT count(*) AS n FROM customer)""",
+    "sentence_completion": """
+        SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'The office will spend ' || o_orderkey || ' 2.5 million (see p. 4) on Dr. Lee.' WHEN 3 THEN 'The office will spend ' || o_orderkey || ' and' || chr(10) || 'more!' END AS whole FROM orders""",
     "rule_warnings": "SELECT 'abstained_multiple_values' AS code, CAST(p_partkey AS VARCHAR) AS block_id FROM part",
     "period_extract": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS period FROM orders",
     "money_normalise": "SELECT o_orderkey, 'GBP' AS currency, CAST(floor(o_totalprice) * CASE WHEN o_orderkey % 2 = 0 THEN 1000 ELSE 1 END AS BIGINT) AS amount FROM orders",

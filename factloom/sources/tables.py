@@ -29,6 +29,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def jsonl_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, problem) of the lines of JSONL files that are blank or no JSON object. Each file
+    is read as one text, so it is meant for annotation files, not for large tables."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\r?\n\z", "").alias("value"))
+    lines = whole.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    parsed = F.try_parse_json("value")
+    problem = F.when(F.trim("value") == "", "blank_line").when(parsed.isNull(), "invalid_json").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not_an_object")
+    return lines.select("path", (F.col("line") + 1).alias("line"), problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def document_inventory(documents: DataFrame, sources: list[str]) -> DataFrame:
+    """(source_id, files) of the wanted sources that do not have exactly one document."""
+    wanted = documents.sparkSession.createDataFrame([(s,) for s in sources], "source_id string")
+    found = documents.groupBy("source_id").agg(F.count("*").alias("files"))
+    return wanted.join(found, "source_id", "left").select("source_id", F.coalesce("files", F.lit(0)).alias("files")).where("files <> 1")
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
 

@@ -36,11 +36,16 @@ def test_filtered_commitments_come_back_with_a_trusted_actor(found):
     assert "B3" not in facts and "B6" not in facts
 
 
-def test_sentence_ends():
+def test_sentence_ends(spark):
     text = "x will spend 2.5 million (see p. 4) on Dr. Lee and others. Next"
-    assert text[: rules_v4.sentence_end(text, 2, 10)].endswith("others.")
-    assert rules_v4.sentence_end("will do\n1. Item", 0, 7) is None and rules_v4.sentence_end("will do\nHEADING", 0, 7) is None
-    assert rules_v4.sentence_end("will do it", 0, 4) is None and rules_v4.sentence_end("will do it!", 0, 11) == 11
+    cases = [
+        (text[2:10], text[10:], " 2.5 million (see p. 4) on Dr. Lee and others."), ("will do", "\n1. Item", None), ("will do", "\nHEADING", None), ("will", " do it", None), ("will do it!", " x", ""), ("will do it.", "", ""),
+        ("will do it.", "5 x.", "5 x."), ("will ask Dr.", " Lee.", " Lee."), ("will do (as", " said. Here) more. Then", " said. Here) more."), ("will do", "\nand more words.", "\nand more words."), ("will do", "\n\nTitle Line Here\nx.", None),
+        ("will do", "\nTitle Line Here.\nx.", "\nTitle Line Here."), ("will do", " (a (b. c) d) e? f.", " (a (b. c) d) e?"), ("will do", " (open. x.", None), ("will do", " it" + " x" * 300 + ".", None), ("will do", ") it.", ") it."),
+    ]
+    cases[0] = (cases[0][0], cases[0][1], text[10:].removesuffix(" Next"))
+    df = spark.createDataFrame([(a, b) for a, b, _ in cases], "known string, rest string")
+    assert [r[0] for r in df.select(rules_v4.completed(F.col("known"), F.col("rest"))).collect()] == [c for _, _, c in cases]
 
 
 def test_plain_values(spark):
