@@ -1,12 +1,12 @@
 """I-Match document fingerprints (operator 4), in DataFrame functions only.
 
-Document frequencies of hashed terms are counted over all texts; the lexicon is
-the set of hash buckets whose inverse document frequency lies in a band. It is
-kept as a bitmap of fixed size, whatever the corpus. A text's distinct lexicon
-terms are sorted, and the terms that fall into each of several randomised
-subsets of the lexicon are hashed. Subsets come in levels of falling density, so
-that short and long texts both have subsets with a few terms in them: such a
-subset survives an edit that leaves its few terms alone.
+Document frequencies of terms are counted over all texts. The lexicon is all terms
+within a band of inverse document frequency, given by its complement: the terms that are too
+common, of which there are few whatever the corpus. A text's distinct lexicon
+terms are sorted. Each of SUBSETS random draws orders the lexicon into nested subsets, each
+about half of the one before; the text's signature is the hash of its terms in the sparsest
+subset that has any. So a signature covers one or a few terms in short and in long texts
+alike, and survives an edit that leaves these alone. Draws are independent and their subsets overlap.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of hashed terms; the bitmap has BUCKETS / 64 longs.
-BUCKETS = 1 << 22
-#: The band of log(N / df) / log(N): neither terms in very many texts nor terms in one only.
-BAND = (0.25, 0.97)
-#: A subset of level k holds 1 / LEVELS[k] of the lexicon; SUBSETS of them are hashed.
-LEVELS = (16, 64, 256, 1024)
-SUBSETS = 16
+#: The band of log(N / df) / log(N). Its upper end is a term in one text only.
+BAND = (0.25, 1.0)
+#: Random draws of nested lexicon subsets, four from each hash of a term.
+SUBSETS = 32
+_DRAWS = 4
+#: A subset has so many terms of a text at most: the first in the order of its draw.
+MOST_TERMS = 8
 _LETTERS = "[^\\p{L}\\p{N}]+"
 
 
@@ -32,96 +32,99 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t)))
 
 
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - int(math.log2(BUCKETS)))
+def common_terms(df: DataFrame, text: str, band: tuple[float, float] = BAND) -> list[int]:
+    """Hashes of the terms below the band, counted over all rows, sorted.
 
-
-def lexicon(df: DataFrame, text: str, band: tuple[float, float] = BAND) -> list[int]:
-    """The bitmap of buckets in the band, as BUCKETS / 64 longs, counted over all rows."""
+    A term below it is in more than N ** (1 - band[0]) of N texts, so with L distinct terms in a
+    text on average there are at most L * N ** band[0] of them: some 10,000 for a billion texts with
+    the default and a vocabulary like that of a language, and never more than that bound.
+    """
     texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
     total = max(2, texts.count())
-    counts = texts.select(F.explode(F.transform(term_hashes(F.col("_text")), _bucket)).alias("_b")).groupBy("_b").agg(F.count("*").alias("_n"))
+    counts = texts.select(F.explode(term_hashes(F.col("_text"))).alias("_t")).groupBy("_t").agg(F.count("*").alias("_n"))
     share = F.log(F.lit(float(total)) / F.col("_n")) / math.log(total)
-    inside = counts.where((share >= band[0]) & (share <= band[1]))
-    one = F.expr("shiftleft(1L, cast(_b % 64 as int))")
-    words = inside.groupBy(F.shiftright("_b", 6).alias("_w")).agg(F.bit_or(one).alias("_bits"))
-    bitmap = [0] * (BUCKETS // 64)
-    for row in words.collect():  # at most BUCKETS / 64 rows
-        bitmap[row["_w"]] = row["_bits"]
-    return bitmap
+    return sorted(r["_t"] for r in counts.where(share < band[0]).select("_t").collect())
 
 
-def _bitmap(lex: list[int]) -> Column:
-    """The bitmap as a constant array."""
-    return F.split(F.lit(",".join(map(str, lex))), ",").cast("array<bigint>")
+def lexicon_terms(terms: Column, common: list[int]) -> Column:
+    """The terms that are in the lexicon, sorted."""
+    return F.sort_array(F.filter(terms, lambda h: ~h.isin(common)) if common else terms)
 
 
-def lexicon_terms(terms: Column, lex: list[int]) -> Column:
-    """The terms that are in the lexicon, sorted."""
-    bits = _bitmap(lex)
+def _seeded(seed: int):
+    return lambda h: F.xxhash64(h, F.lit(seed))
 
-    def known(h: Column) -> Column:
-        word = F.get(bits, F.shiftrightunsigned(h, 64 - int(math.log2(BUCKETS)) + 6).cast("int"))
-        return F.call_function("getbit", word, (_bucket(h) % 64).cast("int")) == 1
 
-    return F.sort_array(F.filter(terms, known))
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _in_cell(k: int):
-    return lambda s: s["c"] == k
+def _places(hashes: Column, draw: int) -> Column:
+    """The places of hashed terms in one of the four draws of a hash, 48 bits each, sorted."""
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftrightunsigned(F.shiftleft(h, 16 * draw), 16)))
 
 
-def level_hashes(found: Column, level: int) -> tuple[Column, Column]:
-    """The terms that fall into the subsets of one level (to be column ``_near``), and
-    from it the hash of each subset, null if it has no term."""
-    density = LEVELS[level]
+def _sparsest(places: Column) -> Column:
+    """The hash of the sparsest subset: it ends at the power of two above the least place."""
+    end = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.get(places, F.lit(0)))))
+    return _bound(F.struct(F.slice(places, 1, MOST_TERMS).alias("p"), end.alias("end")), lambda s: F.xxhash64(F.filter(s["p"], lambda v: v < s["end"])))
 
-    def cell(h: Column) -> Column:
-        return F.pmod(F.xxhash64(h, F.lit(level)), F.lit(density))
 
-    near = F.filter(F.transform(found, lambda h: F.struct(h.alias("h"), cell(h).alias("c"))), lambda s: s["c"] < SUBSETS)
-    own = [F.transform(F.filter(F.col("_near"), _in_cell(k)), lambda s: s["h"]) for k in range(SUBSETS)]
-    return near, F.array(*[F.when(F.size(a) > 0, F.xxhash64(a)) for a in own])
+def signature(near: Column, every: Column, draw: int) -> Column:
+    """The signature of one draw. ``near`` are the hashes that have a place below ``_limit`` in any draw; if
+    none has one in this draw, which is rare, all are looked at."""
+    return _bound(_places(near, draw), lambda p: F.when(F.get(p, F.lit(0)) < F.col("_limit"), _sparsest(p)).otherwise(_bound(_places(every, draw), _sparsest)))
 
 
-def fingerprint(df: DataFrame, text: str, out: str, lex: list[int]) -> DataFrame:
-    """Adds ``out``: an array of LEVELS x SUBSETS hashes and, last, the hash of all
-    distinct terms. Equal texts have equal arrays; a null text counts as empty."""
-    df = df.withColumn("_terms", term_hashes(F.coalesce(F.col(text), F.lit("")))).withColumn("_found", lexicon_terms(F.col("_terms"), lex))
-    parts = []
-    for level in range(len(LEVELS)):
-        near, hashes = level_hashes(F.col("_found"), level)
-        df = df.withColumn("_near", near).withColumn(f"_level{level}", hashes)
-        parts.append(f"_level{level}")
-    whole = F.array(F.xxhash64(F.sort_array("_terms")))
-    return df.withColumn(out, F.concat(*parts, whole)).drop("_terms", "_found", "_near", *parts)
+def _any_near(h: Column) -> Column:
+    found = F.lit(False)
+    for d in range(_DRAWS):
+        found = found | (h.bitwiseAND(F.col(f"_mask{d}")) == 0)
+    return found
+
+
+def fingerprint(df: DataFrame, text: str, out: str, common: list[int]) -> DataFrame:
+    """Adds ``out``: an array of SUBSETS signatures (null without lexicon terms) and, last, the hash of all
+    distinct terms. Equal texts have equal arrays; a null text counts as empty.
+
+    The sparsest subsets hold the terms of the least places, so the hashes of terms are first thinned to
+    those below a power of two that some 8 to 16 of a text's terms fall below in each draw.
+    """
+    df = df.withColumn("_terms", term_hashes(F.coalesce(F.col(text), F.lit("")))).withColumn("_found", lexicon_terms(F.col("_terms"), common))
+    df = df.withColumn("_bits", F.greatest(F.lit(0), F.least(F.lit(16), 20 - F.length(F.bin(F.size("_found"))))))
+    one, field = F.lit(1).cast("long"), F.call_function("shiftleft", F.lit(0xFFFF).cast("long"), F.col("_bits")).bitwiseAND(F.lit(0xFFFF).cast("long"))
+    df = df.withColumns({"_limit": F.call_function("shiftleft", one, F.col("_bits") + 32)} | {f"_mask{d}": F.shiftleft(field, 16 * (3 - d)) for d in range(_DRAWS)})
+    groups = range(SUBSETS // _DRAWS)
+    df = df.withColumns({f"_hash{g}": F.transform("_found", _seeded(g)) for g in groups})
+    df = df.withColumns({f"_near{g}": F.filter(f"_hash{g}", _any_near) for g in groups})
+    some = F.size("_found") > 0
+    parts = [F.when(some, signature(F.col(f"_near{g}"), F.col(f"_hash{g}"), d)) for g in groups for d in range(_DRAWS)]
+    spent = ["_terms", "_found", "_bits", "_limit", *[f"_mask{d}" for d in range(_DRAWS)], *[f"{c}{g}" for g in groups for c in ("_hash", "_near")]]
+    return df.withColumn(out, F.array(*parts, F.xxhash64(F.sort_array("_terms")))).drop(*spent)
 
 
 def text_of(print_: Column) -> Column:
-    """A fingerprint as text: eight hex digits for each subset, a dash for an empty one."""
+    """A fingerprint as text: eight hex digits for each signature, a dash for none."""
     return F.array_join(F.transform(print_, lambda h: F.when(h.isNull(), F.lit("-")).otherwise(F.lower(F.substring(F.lpad(F.hex(h), 16, "0"), 1, 8)))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the share of equal subsets among those that either text has terms in, at
-    the sparsest level that has at least half of its subsets so; else at the densest
-    level. Without any such subset, whether all distinct terms are equal. 0 if either is null."""
-    result = F.when(F.get(a, F.lit(len(LEVELS) * SUBSETS)) == F.get(b, F.lit(len(LEVELS) * SUBSETS)), 1.0).otherwise(0.0)
-    same = result
-    for level in range(len(LEVELS)):
-        pairs = F.zip_with(F.slice(a, level * SUBSETS + 1, SUBSETS), F.slice(b, level * SUBSETS + 1, SUBSETS), lambda x, y: F.when(x.isNull() & y.isNull(), F.lit(0)).when(x == y, F.lit(2)).otherwise(F.lit(1)))
-        used = F.size(F.filter(pairs, lambda p: p > 0))
-        equal = F.size(F.filter(pairs, lambda p: F.coalesce(p, F.lit(1)) == 2))
-        least = 1 if level == 0 else SUBSETS // 2
-        result = F.when(used >= least, equal / used).otherwise(result)
-    return F.coalesce(F.when(same == 1.0, F.lit(1.0)).otherwise(result), F.lit(0.0))
-
-
-def buckets_of(df: DataFrame, key: str, rows_each: int = 500, most: int = 16384) -> Column:
-    """A column that numbers ranges of the key with about equally many rows, found from
-    approximate quantiles. Looked up in two steps of at most 128 comparisons."""
-    n, low = df.agg(F.count(key), F.min(key)).first()
-    number = int(min(most, max(1, n // rows_each)))
+    """0 to 1: with the share s of draws whose signatures are equal, an estimate of the share of
+    lexicon terms in both among those in either, the common measure 2s / (1 + s) of how far two sets
+    agree. 1 if all distinct terms are equal, 0 if either is null."""
+    equal = F.size(F.filter(F.zip_with(F.slice(a, 1, SUBSETS), F.slice(b, 1, SUBSETS), lambda x, y: F.coalesce(x == y, F.lit(False))), lambda e: e))
+    share = equal / F.lit(float(SUBSETS))
+    whole = F.get(a, F.lit(SUBSETS)) == F.get(b, F.lit(SUBSETS))
+    return F.when(a.isNull() | b.isNull(), F.lit(0.0)).when(whole, F.lit(1.0)).otherwise(2 * share / (1 + share))
+
+
+def buckets_of(df: DataFrame, key: str, rows_each: int = 500, fine: int = 16384, rows_most: int = 50_000) -> Column:
+    """A column that numbers ranges of a numeric key with about equally many rows, found from
+    approximate quantiles: of ``rows_each`` rows up to ``fine`` ranges, then larger, never of more than
+    ``rows_most``. Looked up in two steps of about the square root of their number."""
+    n = df.agg(F.count(key)).first()[0]
+    number = int(max(1, min(fine, n // rows_each), n // rows_most))
     if not n or number < 2:
         return F.lit(0).cast("long")
     points = df.agg(F.percentile_approx(key, [k / number for k in range(1, number)], max(10_000, 4 * number))).first()[0]
@@ -142,7 +145,7 @@ def next_rows(df: DataFrame, key: str, ties: list[str]) -> tuple[DataFrame, Wind
     range has to see another, and no task more than a range."""
     ranged = df.withColumn("_b", buckets_of(df, key)).withColumn("_ghost", F.lit(False))
     firsts = ranged.groupBy("_b").agg(F.min(F.struct(key, *ties)).alias("_first"))
-    order = Window.orderBy("_b")  # at most 16,384 ranges
+    order = Window.orderBy("_b")  # a row for each range
     firsts = firsts.select("_b", "_first", F.lag("_b").over(order).alias("_before"), F.max("_b").over(Window.partitionBy()).alias("_last"))
     firsts = firsts.select(F.col("_b").alias("_own"), "_first", F.coalesce("_before", "_last").alias("_to"))
     ghosts = ranged.join(F.broadcast(firsts), (F.col("_b") == F.col("_own")) & (F.struct(key, *ties) == F.col("_first")))
@@ -157,16 +160,18 @@ def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -
     (or all) of the next row's text, by ascending key; after the last row comes the
     first. A null text counts as empty, a null key sorts first, rows of
     equal keys are ordered by a hash of their text. A single row follows itself. Other columns are not read.
+    The key is an integer. A row holds the hashes of its text's distinct terms nine times over: about
+    100 bytes a term, so some MB for a text of 50,000 different words.
     """
     own = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
-    lex = lexicon(own, "_text")
+    common = common_terms(own, "_text")
     rows, order = next_rows(own, key, ["_tie"])
     rows = rows.withColumn("_next", F.lead("_text").over(order))
     size = F.length("_text")
     cut = F.floor(size / 4).cast("int")
     rows = rows.withColumn("n_chars", size.cast("long")).withColumn("_edited", F.concat(F.substring(F.col("_text"), F.lit(1), size - cut), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), cut)))
     rows = rows.select(key, "_tie", "_b", "_ghost", "_text", "_edited", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"))
-    rows = fingerprint(fingerprint(rows, "_text", "_print", lex).drop("_text"), "_edited", "_print2", lex).drop("_edited")
+    rows = fingerprint(fingerprint(rows, "_text", "_print", common).drop("_text"), "_edited", "_print2", common).drop("_edited")
     rows = rows.withColumn("_following", F.lead("_print").over(order)).where(~F.col("_ghost"))
     return rows.select(
         key, "n_chars", "edited_sha256", text_of(F.col("_print")).alias("fingerprint"), text_of(F.col("_print2")).alias("edited_fingerprint"),
