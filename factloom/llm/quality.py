@@ -29,6 +29,8 @@ FEATURES = DENSE + (1 << _WORD_BITS)
 
 #: Documented bound of the fit: about so many labelled rows of each class.
 SAMPLE_PER_CLASS = 4000
+#: Documented bound of the fit: of a sampled text with more indicators, so many chosen by a hash are learned from.
+MOST_INDICATORS = 4096
 
 
 def _shape_classes() -> np.ndarray:
@@ -189,6 +191,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, mix: float = 0.9) -> Model:
     return Model(*weights(np.ones(len(rows), bool)), slope, shift)
 
 
+def _bounded(row: np.ndarray, most: int = MOST_INDICATORS) -> np.ndarray:
+    """The row's indicators, or ``most`` of them drawn by a hash that differs from row to row."""
+    if len(row) <= most:
+        return row
+    salt = np.uint64(int(row.sum()))
+    return np.sort(row[np.argpartition(tk.mix(row.astype(np.uint64) + tk.mix(np.array([salt]))), most)[:most]])
+
+
 def held_out(key: str) -> Column:
     """True for rows that are never learned from; a null key is held out too."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(True))
@@ -199,7 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     Rows whose label or key is null, and held-out rows, are not used; a key with
     several labels has their rounded mean. Only the sampled keys are broadcast,
-    which ``per_class`` bounds.
+    which ``per_class`` bounds; the indicators that reach the driver are bounded by
+    ``per_class`` and MOST_INDICATORS, some 130 MB at most.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
     counts = {r["_label"]: r["n"] for r in marks.groupBy("_label").agg(F.count("*").alias("n")).collect()}  # two rows
@@ -211,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def run(chunk, keys):
         dense, of, feature = indicators(chunk)
         bounds = np.searchsorted(of, np.arange(len(chunk) + 1))
-        rows = [np.concatenate([np.flatnonzero(d), feature[a:b]]) for d, a, b in zip(dense, bounds[:-1], bounds[1:], strict=True)]
+        rows = [_bounded(np.concatenate([np.flatnonzero(d), feature[a:b]])) for d, a, b in zip(dense, bounds[:-1], bounds[1:], strict=True)]
         offsets = np.zeros(len(rows) + 1, np.int64)
         np.cumsum([len(r) for r in rows], out=offsets[1:])
         yield [keys.field("_key"), keys.field("_label"), arrow.list_array(np.concatenate(rows), offsets, pa.int32())]
@@ -228,7 +239,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``score`` (0 to 1, higher: class 1 likelier) of every whole text; null counts as
-    empty, repeated rows get equal scores, and other columns are not read."""
+    empty, repeated rows get equal scores, and other columns are not read. A task holds one
+    chunk (512 KB of texts, or one longer text with about 100 bytes for each of its own)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(chunk, keys):
@@ -243,10 +255,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return scored.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def score_rows(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every row and column of ``df`` with ``score`` (a column of that name is replaced)."""
+def score_rows(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """Every row and column of ``df`` with the score as ``out`` (a column of that name is replaced)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in df.columns if c not in (text, "score")]
+    others = [c for c in df.columns if c not in (text, out)]
     packed = df.select(F.struct(F.struct(*others).alias("row"), F.col(text).isNull().alias("null")).alias("_keys"), F.col(text).alias("_text"))
 
     def run(chunk, keys):
@@ -255,4 +267,4 @@ def score_rows(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         yield [*(row.field(c) for c in others), texts, shared.value.scores(chunk)]
 
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in others)
-    return arrow.map_columns(packed, "_keys", "_text", f"{fields}`{text}` string, score double", run).select(*[c for c in df.columns if c != "score"], "score")
+    return arrow.map_columns(packed, "_keys", "_text", f"{fields}`{text}` string, `{out}` double", run).select(*[c for c in df.columns if c != out], out)
