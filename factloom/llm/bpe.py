@@ -179,53 +179,98 @@ def merge_segments(symbols: np.ndarray, offsets: np.ndarray, pairs: PairTable) -
     return out, out_offsets
 
 
+def _equal(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether a[a_starts[i]:][:lengths[i]] and b[b_starts[i]:][:lengths[i]] are equal, for each i."""
+    differ = np.flatnonzero(a[tk.ragged_index(a_starts, lengths)] != b[tk.ragged_index(b_starts, lengths)])
+    out = np.ones(len(lengths), bool)
+    if len(differ):
+        out[np.searchsorted(np.cumsum(lengths), differ, "right")] = False
+    return out
+
+
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.all, self.size = np.zeros(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.all):
+            self.all = np.concatenate([self.all, np.zeros(max(need, 2 * len(self.all)) - len(self.all), self.all.dtype)])
+        self.all[self.size : need] = values
+        self.size = need
+
+
 class SegmentEncoder:
-    """Encodes segments through a bounded cache from segment hash to ids.
+    """Encodes segments through a bounded cache of segments and their ids.
 
-    ``encode_new`` takes a list of distinct segments (bytes) and returns ragged
-    ids. The cache is dropped when it is full, which changes no result.
+    Segments are looked up by a hash and compared byte for byte with what the cache
+    holds; those that differ from it are encoded by themselves. ``encode_new`` takes a list of
+    segments (bytes) and returns ragged ids. The cache is dropped when it is full, which changes
+    no result. Its hashes stand in sorted runs of falling size, which are merged as they grow.
     """
 
-    def __init__(self, encode_new, most: int = 1_000_000):
-        self.encode_new, self.most = encode_new, most
+    def __init__(self, encode_new, most: int = 1_000_000, most_bytes: int = 32 << 20):
+        self.encode_new, self.most, self.most_bytes = encode_new, most, most_bytes
         self._reset()
 
     def _reset(self) -> None:
-        self.known, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.size = np.zeros(1 << 16, np.int32), 0
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.starts, self.counts, self.begins, self.lengths = (_Grown(np.int64) for _ in range(4))
+        self.ids, self.raw = _Grown(np.int32), _Grown(np.uint8)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash's segment in the cache, -1 for none."""
+        out = np.full(len(hashes), -1, np.int64)
+        for known, number in self.runs:
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            out = np.where(known[at] == hashes, number[at], out)
+        return out
+
+    def _keep(self, hashes: np.ndarray, texts: list[bytes], ids: np.ndarray, offsets: np.ndarray) -> None:
+        number = self.starts.size + np.arange(len(texts))
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts.add(self.ids.size + offsets[:-1])
+        self.counts.add(np.diff(offsets))
+        self.begins.add(self.raw.size + np.cumsum(sizes) - sizes)
+        self.lengths.add(sizes)
+        self.ids.add(ids)
+        self.raw.add(np.frombuffer(b"".join(texts), np.uint8))
+        run = (hashes, number)
+        while self.runs and len(self.runs[-1][0]) <= 2 * len(run[0]):
+            known, own = self.runs.pop()
+            both = np.concatenate([known, run[0]])
+            order = np.argsort(both, kind="stable")
+            run = (both[order], np.concatenate([own, run[1]])[order])
+        self.runs.append(run)
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ragged ids of all segments in order, and the number of ids of each."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        if len(self.known) > self.most:
+        if self.starts.size > self.most or self.raw.size > self.most_bytes:
             self._reset()
         hashes, first, inverse = np.unique(tk.segment_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, hashes)
-        there = np.zeros(len(hashes), bool)
-        inside = at < len(self.known)
-        there[inside] = self.known[at[inside]] == hashes[inside]
-        if not there.all():
-            new = np.flatnonzero(~there)
-            raw = data.tobytes()
+        found = self._find(hashes)
+        new = np.flatnonzero(found < 0)
+        raw = data.tobytes()
+        if len(new):
             texts = [raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            ids, offsets = self.encode_new(texts)
-            need = self.size + len(ids)
-            if need > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(need, 2 * len(self.ids)) - len(self.ids), np.int32)])
-            self.ids[self.size : need] = ids
-            base = len(self.starts)
-            self.starts = np.concatenate([self.starts, offsets[:-1] + self.size])
-            self.counts = np.concatenate([self.counts, np.diff(offsets)])
-            self.size = need
-            places = at[new]
-            self.known = np.insert(self.known, places, hashes[new])
-            self.index = np.insert(self.index, places, base + np.arange(len(new)))
-            at = np.searchsorted(self.known, hashes)
-        which = self.index[at][inverse]
-        counts = self.counts[which]
-        return self.ids[tk.ragged_index(self.starts[which], counts)], counts
+            found[new] = self.starts.size + np.arange(len(new))
+            self._keep(hashes[new], texts, *self.encode_new(texts))
+        which = found[inverse]
+        lengths = ends - starts
+        same = lengths == self.lengths.all[which]
+        at = np.flatnonzero(same)
+        same[at] = _equal(data, starts[at], self.raw.all, self.begins.all[which[at]], lengths[at])
+        begin, counts, ids = self.starts.all[which], self.counts.all[which], self.ids.all
+        odd = np.flatnonzero(~same)
+        if len(odd):  # another segment has this hash
+            own, offsets = self.encode_new([raw[s:e] for s, e in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
+            begin[odd], counts[odd] = self.ids.size + offsets[:-1], np.diff(offsets)
+            ids = np.concatenate([ids[: self.ids.size], own])
+        return ids[tk.ragged_index(begin, counts)], counts
 
 
 # ------------------------------------------------------------------ pre-tokens

@@ -138,3 +138,22 @@ def test_packing_of_a_table(spark, words):
             at += length
         assert at <= 4096
     assert packing.tokenise_and_pack(df.limit(0), "doc_id", "text", WORDS).count() == 0
+
+
+def test_equal_hashes_do_not_mix_up_segments(reference, monkeypatch):
+    monkeypatch.setattr(tk, "segment_hashes", lambda data, starts, ends: ((ends - starts) % 3).astype(np.uint64))
+    encoder, rng = bpe.ByteLevelEncoder(RANKS), random.Random(9)
+    for _ in range(3):
+        texts = EDGES + ["".join(rng.choice("ab c'sé1") for _ in range(80)) for _ in range(20)]
+        for text, ids in zip(texts, encoded(encoder, texts), strict=True):
+            assert ids == reference.encode_ordinary(text)
+
+
+def test_the_cache_is_dropped_when_full(reference):
+    encoder, rng = bpe.ByteLevelEncoder(RANKS), random.Random(10)
+    encoder.segments.most = 30
+    for _ in range(5):
+        texts = ["".join(rng.choice("abcde fgh") for _ in range(60)) for _ in range(20)]
+        for text, ids in zip(texts, encoded(encoder, texts), strict=True):
+            assert ids == reference.encode_ordinary(text)
+    assert len(encoder.segments.runs) <= 8
