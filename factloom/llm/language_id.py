@@ -24,6 +24,8 @@ from factloom.llm.quality import held_out
 BUCKETS = 1 << 14
 #: Documented bound of the fit: about so many documents of each language.
 SAMPLE_PER_LANGUAGE = 1000
+#: Documented bound of the fit: so many languages, those of the most documents, are learned.
+MOST_LANGUAGES = 256
 UNKNOWN = "und"
 
 
@@ -145,7 +147,7 @@ def document_frequencies(docs: DataFrame, key: str, text: str) -> tuple[np.ndarr
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], texts), pa.int64())], names=["bucket", "n"])
 
-    sums = docs.select(F.col(text).cast("string")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = arrow.mapped(docs.select(F.col(text).cast("string")), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out, texts = np.zeros(BUCKETS, np.int64), 0
     for bucket, n in sums.toPandas().itertuples(index=False):  # bounded by BUCKETS rows
         if bucket < 0:
@@ -156,21 +158,21 @@ def document_frequencies(docs: DataFrame, key: str, text: str) -> tuple[np.ndarr
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fits on about ``per_language`` documents of each language at most, chosen by a hash
-    of the key; document frequencies are of all training documents. Held-out rows and
-    rows whose language, key or text is null are not used."""
+    """Fits on about ``per_language`` documents of each of the MOST_LANGUAGES commonest languages
+    at most, chosen by a hash of the key; document frequencies are of all training documents.
+    Held-out rows and rows whose language, key or text is null are not used. A sampled text
+    has BUCKETS counts at most, however long it is."""
     usable = docs.select(key, text, lang).where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
-    counts = {r[lang]: r["n"] for r in usable.groupBy(lang).agg(F.count("*").alias("n")).collect()}  # a row per language
+    commonest = usable.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(MOST_LANGUAGES)
+    counts = {r[lang]: r["n"] for r in commonest.collect()}
     languages = sorted(counts)
     frequency, texts = document_frequencies(usable, key, text)
     idf = np.where(frequency > 0, np.log((1 + texts) / (1 + frequency)) + 1, 0.0)
     if not languages:
         return Model([UNKNOWN], idf, np.zeros((BUCKETS, 1)), np.zeros(1), 1.0)
     grain = 1 << 40
-    limit = F.lit(0)
-    for name in languages:
-        limit = F.when(F.col(lang) == name, F.lit(int(grain * min(1, per_language / counts[name])))).otherwise(limit)
-    sample = usable.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(grain)) < limit)
+    limit = F.create_map(*[F.lit(x) for name in languages for x in (name, int(grain * min(1, per_language / counts[name])))])
+    sample = usable.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(grain)) < F.try_element_at(limit, F.col(lang)))
 
     def run(chunk, keys):
         counted, lettered = term_counts(chunk)
@@ -202,7 +204,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``lang_pred`` and ``score`` (its calibrated probability) of every whole text. A
-    text that is null or has no letter is ``und`` with score 0."""
+    text that is null or has no letter is ``und`` with score 0; repeated rows get equal results
+    and other columns are not read. A task holds the counts of 512 texts, or one long text's code points."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(chunk, keys):

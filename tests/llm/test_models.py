@@ -105,3 +105,36 @@ def test_elastic_net_leaves_zero_weights():
     rows = [(np.array([0]), np.array([1.0])), (np.array([1]), np.array([1.0]))] * 20
     weight, _ = language_id.follow_the_regularised_leader(rows, np.array([0, 1] * 20), 2, lasso=0.5)
     assert np.count_nonzero(weight[2:]) == 0 and weight[0, 0] > 0 > weight[0, 1]
+
+
+def test_many_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    rng = random.Random(2)
+    rows = [(i, sentence(rng, ("en", "de")[i % 2], 12), ("en", "de")[i % 2]) for i in range(80)] + [(100 + i, f"word{i} more", f"l{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.train(docs).languages == ["de", "en"]
+
+
+def test_sampled_rows_of_features_are_bounded():
+    row = np.arange(0, 60_000, 3)
+    kept = quality._bounded(row, 100)
+    assert len(kept) == 100 and set(kept) <= set(row) and (np.diff(kept) > 0).all()
+    assert (quality._bounded(row[:50], 100) == row[:50]).all()
+    assert set(quality._bounded(row[:-1], 100)) != set(kept)
+
+
+def brute_indicators(text):
+    """The n-gram indicators of one text in plain Python, without hashing: what must be told apart."""
+    words = [w.lower() for w in text.split()]
+    return set(words) | set(zip(words, words[1:], strict=False))
+
+
+def test_word_indicators_are_those_of_a_plain_count():
+    texts = ["one two two three", "", "Three one TWO one two"]
+    (chunk,) = tk.text_chunks(pa.array(texts))
+    dense, of, feature = quality.indicators(chunk)
+    sets = [set(feature[of == i].tolist()) for i in range(3)]
+    plain = [brute_indicators(t) for t in texts]
+    assert [len(s) for s in sets] == [len(p) for p in plain]
+    assert len(sets[0] & sets[2]) == len(plain[0] & plain[2])
+    assert dense[1].sum() == 0
