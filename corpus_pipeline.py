@@ -2,11 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before
 kept, and is written as Parquet and read again for the next one. All but the
-last return the columns of ``documents``; ``n_chars`` follows the text.
+last return the columns of their input, whatever others it has beside ``doc_id`` and ``text``;
+``n_chars``, if there is one, follows the text. Null ids and texts, empty and repeated rows
+go through as the operators' docstrings say.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,34 +18,38 @@ from factloom.llm import line_dedup, minhash, packing, quality, storage, substri
 from factloom.llm.vocabularies import vocabulary
 from factloom.session import importable
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def _aside(docs: DataFrame, names: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stage's rows with the columns of ``docs``; own columns named like those that it adds are kept out of its way."""
+    renamed = {c: f"_own_{c}" for c in docs.columns if c in names}
+    found = stage(docs.withColumnsRenamed(renamed)).drop(*names)
+    return found.withColumnsRenamed({v: k for k, v in renamed.items()}).select(*docs.columns)
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier scores below 0.5."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score_rows(docs.select(*COLUMNS), quality.train(docs, labels), "text")
-    return scored.where("score >= 0.5").select(*COLUMNS)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _aside(docs, ("_score",), lambda d: quality.score_rows(d, model, "text", "_score").where("_score >= 0.5"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts multi-line chunks that occurred before from the texts."""
-    return _documents(line_dedup.remove_repeated_chunks(docs.select(*COLUMNS)))
+    return _measured(_aside(docs, ("n_lines", "n_removed"), line_dedup.remove_repeated_chunks))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near duplicates."""
     copies = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts 50-word windows that a document of smaller id has too from the texts."""
-    return _documents(substring_dedup.remove_repeats(docs.select(*COLUMNS)))
+    return _measured(_aside(docs, ("n_words", "n_removed"), substring_dedup.remove_repeats))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
