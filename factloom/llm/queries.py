@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from factloom.llm import byte_bpe, embedding_dedup, imatch, language_id, line_dedup, minhash, packing, quality, substring_dedup, warc
 from factloom.llm.vocabularies import vocabulary
 from factloom.session import table
@@ -73,7 +72,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {
+    return {
         f.__name__: f
         for f in (
             op1_quality,
@@ -88,8 +87,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_best_fit_packing,
         )
     }
-    found["pipeline"] = corpus_pipeline.run
-    return found
 
 
 def oracle_sql() -> dict[str, str]:

@@ -268,3 +268,62 @@ def test_components_of_paths_and_hubs(spark):
             union.join(a, b)
     found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {n: union.find(n) for e in edges if e[0] is not None and e[0] != e[1] for n in e}
+
+
+def test_suffix_trees_have_exact_common_prefixes():
+    rng = random.Random(12)
+    texts = [[rng.randrange(3) for _ in range(rng.randint(1, 60))] for _ in range(12)]
+    words = [w for t in texts for w in t]
+    left = np.array([len(t) - i for t in texts for i in range(len(t))])
+    suffix = [tuple(words[i : i + int(left[i])]) for i in range(len(words))]
+    order, common = substring_dedup.suffix_tree(np.array(words, np.uint64), left, 20)
+    for k in range(1, len(order)):
+        a, b = suffix[order[k - 1]], suffix[order[k]]
+        n = next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+        assert a[:20] <= b[:20] and (common[k] == n if n < 20 else common[k] >= 20)
+
+
+def test_a_hot_passage_goes_through_chains(spark):
+    rng = random.Random(13)
+    word = lambda: f"u{rng.randrange(10**9)}"
+    passage = [word() for _ in range(90)]
+    rows = [(i, " ".join([word() for _ in range(rng.randint(0, 30))] + passage[rng.randint(0, 3) :] + [word() for _ in range(20)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df, group=20).collect()}
+    first, expected = {}, {}
+    for i, t in rows:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) < i:
+                gone |= set(range(k, k + 50))
+        expected[i] = len(gone)
+    assert found == expected and sum(n >= 87 for n in found.values()) > 290
+
+
+LONG = " ".join(f"w{i * i % 10007}" for i in range(150_000))  # about 900 KB
+
+
+def test_very_long_texts_go_through_every_dedup(spark):
+    rows = [(1, LONG), (2, LONG + " end"), (3, LONG.replace(" ", "\n")), (4, LONG.replace(" ", "\n") + "\nlast"), (5, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert near == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+    lines = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.remove_repeated_chunks(df).collect()}
+    assert lines[1] == (1, 0) and lines[4][0] == 150_001 and lines[4][1] > 100_000 and lines[5] == (1, 0)
+    gone = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect()}
+    assert gone[1][1] == 0 or gone[1][0] == 150_000
+    assert gone[2] == (150_001, 150_000) and gone[3] == (150_000, 150_000) and gone[5] == (1, 0)
+
+
+def test_texts_that_share_a_key_are_all_compared(spark):
+    one, two = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(5, one), (5, two), (5, two), (7, one + " x"), (8, two + " x"), (9, two + " y")]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in found} == {5} and len(found) == 6
+
+
+def test_rows_that_repeat_a_key_keep_their_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(found) == 6
+    assert {r.vec_id: r.component_id for r in found}[2] == 1 and {r.vec_id: r.n_links for r in found}[4] == 0

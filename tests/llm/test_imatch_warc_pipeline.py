@@ -242,7 +242,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
     passage, lines = [word() for _ in range(70)], [" ".join(word() for _ in range(6)) for _ in range(12)]
     texts = ["\n".join(" ".join(word() for _ in range(rng.randint(5, 30))) for _ in range(rng.randint(1, 8))) for _ in range(60)]
     texts += [t + " tail" for t in texts[:10]] + texts[:5]
-    texts += [" ".join([word(), *passage, word()]) for _ in range(8)] + ["\n".join([word(), *lines, word()]) for _ in range(8)]
+    texts += [" ".join([*(word() for _ in range(60)), *passage, *(word() for _ in range(60))]) for _ in range(8)] + ["\n".join([word(), *lines, word()]) for _ in range(8)]
     texts += ["", None, "one", " ".join(word() for _ in range(60_000))]
     rng.shuffle(texts)
     rows = list(enumerate(texts))
