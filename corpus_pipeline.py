@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import line_dedup, minhash, packing, quality, storage, substring_dedup
 from factloom.llm.vocabularies import vocabulary
-from factloom.session import importable
+from factloom.session import spread, table
 
 
 def _aside(docs: DataFrame, names: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -71,8 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``, each on the written result of the one before."""
-    importable(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = storage.written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

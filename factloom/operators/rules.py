@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions import keys, numbers, text
+from factloom.functions import frames, keys, numbers, text
 from factloom.operators import segmentation
 
 VERSION = "rules-v0.1"
@@ -282,12 +282,12 @@ def outcomes(statements: DataFrame, predicates: list[str] | None = None, matcher
     """One row for each statement and rule that matched: candidate fields, or ``warning``.
 
     Rows multiply first, by a filter of each rule's pattern; what a rule finds, its
-    subject, and the checks follow in projections of their own, each on the columns before.
+    subject, and the checks follow in steps of their own, each on the settled columns before.
     """
     chosen, inventory = matchers or MATCHERS, inventory or RULES
     found = {p: chosen[p]() for p in (predicates or chosen)}
-    rows = statements.withColumn("predicate", F.explode(F.array_compact(F.array(*[F.when(m.when, p) for p, m in found.items()]))))
-    rows = rows.withColumns({
+    rows = frames.exploded(statements, F.array(*[F.when(m.when, p) for p, m in found.items()]), "predicate")
+    rows = frames.settled(rows, {
         "_found": _by_rule(found, lambda m: m.subject, "string"),
         "raw_value": _by_rule(found, lambda m: m.raw, "string"),
         "value_type": _by_rule(found, lambda m: m.value_type, "string"),
@@ -305,7 +305,7 @@ def outcomes(statements: DataFrame, predicates: list[str] | None = None, matcher
     else:
         rows = rows.withColumn("_from", F.lit(None).cast("int"))
     own = F.col("_found").isNotNull()
-    rows = rows.withColumns({
+    rows = frames.settled(rows, {
         "subject_text": F.when(own, trim(F.col("_found"))).otherwise(F.col("context")),
         "confidence": F.coalesce("_confidence", F.when(own, 0.9).otherwise(0.7)),
         "evidence_start": F.when(F.col("_from").isNotNull(), F.col("_from")).when(own, F.col("start")).otherwise(F.col("context_start")).cast("int"),
@@ -325,7 +325,7 @@ def outcomes(statements: DataFrame, predicates: list[str] | None = None, matcher
     names = sorted({q for m in found.values() for q in m.qualifiers})
     empty = F.array().cast("array<struct<key:string,value:string>>")
     pairs = empty if not names else F.array(*[F.struct(F.lit(q).alias("key"), _by_rule(found, lambda m, q=q: m.qualifiers[q]() if q in m.qualifiers else None, "string").alias("value")) for q in names])
-    rows = rows.withColumns({
+    rows = frames.settled(rows, {
         "warning": F.coalesce("_early", problem, late),
         "subject_type": F.coalesce("_kind", "_type"),
         "qualifiers": F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import schemas
-from factloom.functions import keys, text
+from factloom.functions import frames, keys, text
 from factloom.operators import rules, rules_v2, rules_v3
 
 VERSION = "rules-v0.4"
@@ -94,7 +94,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
         .when(government & ~state, "unresolved")
         .otherwise(F.col("method"))
     )
-    rows = rows.withColumns({"_method": method, "_first": first})
+    rows = frames.settled(rows, {"_method": method, "_first": first})
     trusted = F.col("_method").isin("authors_or_senders", "authoring_metadata", "role_aware_front_matter")
     return rows.withColumns({"_subject": F.when(trusted, F.col("actor")).otherwise(F.col("subject_text")), "_type": F.when(trusted, "organisation").otherwise(F.col("subject_type"))})
 
@@ -169,13 +169,6 @@ def whole_sentence(block: Column, excerpt: Column, raw: Column) -> Column:
     return F.when(once & (inside > 0), F.regexp_replace(whole, r"(?U)\s+\z", ""))
 
 
-def _settled(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns behind a generator, below which Spark pushes no filter, so that a later filter
-    on them does not write their long expressions out again."""
-    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-    return rows.withColumn("_made", made).select("*", "_made.*").drop("_made")
-
-
 def extract(blocks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Facts, warnings and the trace of commitments: how each one's actor and value were made.
     ``documents``: source_id, title, authors array<string>, metadata map<string,string>."""
@@ -190,16 +183,16 @@ def extract(blocks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFra
     rest = kept.where("predicate <> 'commitment'")
     rows = _resolved(kept.where("predicate = 'commitment'").unionByName(lost).join(texts, ["source_id", "block_id"]).join(actors, "source_id", "left"))
     recovered = F.col("_status") == "recovered"
-    rows = _settled(rows, _whole=F.when(recovered, whole_sentence(F.col("_block"), F.col("text_excerpt"), F.col("raw_value"))))
+    rows = frames.settled(rows, {"_whole": F.when(recovered, whole_sentence(F.col("_block"), F.col("text_excerpt"), F.col("raw_value")))})
     found = F.call_function("instr", F.col("_whole"), F.col("raw_value"))
-    rows = _settled(rows, _raw=F.when(recovered, text.collapse(F.substring(F.col("_whole"), found, F.length("_whole")))).otherwise(F.col("raw_value")))
+    rows = frames.settled(rows, {"_raw": F.when(recovered, text.collapse(F.substring(F.col("_whole"), found, F.length("_whole")))).otherwise(F.col("raw_value"))})
     value, how = plain_value(F.col("_raw"))
-    rows = _settled(rows, _value=value, _how=how)
+    rows = frames.settled(rows, {"_value": value, "_how": how})
     named = ~F.col("_first") & (F.col("_method") == "explicit_statement_actor") & F.col("subject_text").rlike(_I + ORGANISATION) & (F.size(F.split("subject_text", r"\s+")) <= 12) & ~F.col("subject_text").rlike(_I + r",|\b(?:and|or)\b")
     resolved = F.col("_first") & (F.col("_subject") != F.col("subject_text"))
     whole = F.col("_whole").isNotNull() & (F.length("_whole") <= rules.MOST_EVIDENCE) & (F.size(F.split("_raw", " ")) >= 3) & ~F.col("_raw").rlike(_I + CUT_OFF)
     reason = F.when(~(named | resolved), "actor_not_eligible_or_unresolved").when(~whole, "unsafe_or_ambiguous_parent_completion").when(~action_verb(F.col("_value")).isin(VERBS), "ineligible_action").when(F.col("_how") == "unsafe_wrapper_preserved", "unsafe_wrapper")
-    rows = _settled(rows, _rejected=F.when(recovered, reason))
+    rows = frames.settled(rows, {"_rejected": F.when(recovered, reason)})
     good = rows.where("_rejected IS NULL")
     rule = F.when(recovered, RULES["recovered"]).when(F.col("_value") != F.col("value_text"), RULES["value"]).otherwise(RULES["actor"])
     made = good.select(*[{"subject_text": F.col("_subject"), "subject_type": F.col("_type"), "raw_value": F.col("_raw"), "value_text": F.col("_value"), "text_excerpt": F.coalesce("_whole", "text_excerpt")}.get(c, F.col(c)).alias(c) for c in columns], rule.alias("rule_id"), F.when(recovered, 2).otherwise(1).alias("_order"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import schemas
-from factloom.functions import text
+from factloom.functions import frames, text
 
 _BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
 _MARK = "\u0001"
@@ -42,12 +42,6 @@ def _total(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0), lambda a, b: a + b)
 
 
-def _exploded(rows: DataFrame, items: Column, out: str) -> DataFrame:
-    """A row for each item. The outer form, for from the plain one Spark infers a filter on the
-    array's size, and pushes it below the columns that the array is made of, writing them out."""
-    return rows.withColumn(out, F.explode_outer(items)).where(F.col(out).isNotNull())
-
-
 def _trimmed(piece: Column, start: Column) -> tuple[Column, Column]:
     body = F.regexp_replace(piece, r"(?U)\s+\z", "")
     lead = F.length(body) - F.length(F.regexp_replace(body, r"(?U)\A\s+", ""))
@@ -100,7 +94,7 @@ def lines(blocks: DataFrame, heading: Callable[[Column], Column] = is_heading, w
             return F.get("_kept", at).withField("pending", found)
 
         rows = rows.withColumn("_kept", F.transform("_prose", pending))
-    rows = _exploded(rows, F.col("_kept"), "_line")
+    rows = frames.exploded(rows, F.col("_kept"), "_line")
     kept = [c for c in blocks.columns if c != "text"]
     return rows.select(*kept, "_line.*")
 
@@ -116,7 +110,7 @@ def statements(blocks: DataFrame) -> DataFrame:
         body, start = _trimmed(p["piece"], p["start"])
         return F.struct(body.alias("text"), (F.col("start") + start).alias("start"), (F.col("start") + start + F.length(body)).alias("end"))
 
-    found = _exploded(_with_starts(prose.withColumn("_parts", parts), "_parts", "_placed"), F.transform("_placed", part), "_part")
+    found = frames.exploded(_with_starts(prose.withColumn("_parts", parts), "_parts", "_placed"), F.transform("_placed", part), "_part")
     return found.select("source_id", "block_id", "sequence", "block_type", "line_number", "_part.*", "context", "context_start").where(F.length("text") > 0)
 
 
@@ -135,5 +129,5 @@ def statements_v2(blocks: DataFrame) -> DataFrame:
         body, start = _trimmed(p["piece"], p["start"])
         return F.struct(body.alias("text"), (F.col("start") + start).alias("start"), (F.col("start") + start + F.length(body)).alias("end"))
 
-    found = _exploded(_with_starts(prose.withColumn("_parts", F.split(marked, _MARK)), "_parts", "_placed"), F.transform("_placed", part), "_part")
+    found = frames.exploded(_with_starts(prose.withColumn("_parts", F.split(marked, _MARK)), "_parts", "_placed"), F.transform("_placed", part), "_part")
     return found.select("source_id", "block_id", "sequence", "block_type", "line_number", "_part.*", "context", "context_start", "pending").where(F.length("text") > 0)

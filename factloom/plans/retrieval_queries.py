@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from factloom.functions import keys, numbers, text
 from factloom.operators import reports, retrieval, segmentation
-from factloom.session import table
+from factloom.session import spread, table
 
 SOURCES = ["src0", "src1", "src2", "src3"]
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return retrieval.records(docs.select(F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("block_id"), "text"))
 
 
@@ -104,13 +104,13 @@ def keep_first_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("block_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("block_id"), "text")
     rows = segmentation.lines(docs)
     return rows.select("block_id", F.col("line_number").cast("long").alias("line_number"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("text").alias("line_md5"))
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("block_id"), F.lit(1).alias("sequence"), F.lit("page_text").alias("block_type"), "text")
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("block_id"), F.lit(1).alias("sequence"), F.lit("page_text").alias("block_type"), "text")
     return segmentation.statements(docs).drop("text", "context")
 
 

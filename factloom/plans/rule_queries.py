@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
 from factloom.operators import comparison, matching, registry, rules, rules_v2, rules_v3, rules_v4, segmentation
-from factloom.session import table
+from factloom.session import spread, table
 
 
 def _blocks(rows: DataFrame, source: Column, number: Column, words: Column) -> DataFrame:
-    return rows.select(source.alias("source_id"), number.cast("string").alias("block_id"), F.lit(1).alias("sequence"), F.lit("page_text").alias("block_type"), words.alias("text"), F.lit("page").alias("location_type"), F.lit("1").alias("location_value"))
+    return spread(rows).select(source.alias("source_id"), number.cast("string").alias("block_id"), F.lit(1).alias("sequence"), F.lit("page_text").alias("block_type"), words.alias("text"), F.lit("page").alias("location_type"), F.lit("1").alias("location_value"))
 
 
 def _found(blocks: DataFrame, predicate: str) -> DataFrame:
@@ -101,7 +101,7 @@ def rule_v2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two pages and a title for each customer: numbered recommendations, a ratio, a budget, and
     commitments of named, first-person and generic actors."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     k, source = F.col("c_custkey"), _concat("C", F.col("c_custkey"))
     first = _concat(
         "1. Publish the guidance for ", F.col("c_mktsegment"), " offices. 2. Birds sing. The board has met their commitments against ", k % 7, " of the 7 actions.\nThe council has committed GBP ", k + 1, " million to Harbour Fund ", k,

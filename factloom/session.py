@@ -30,3 +30,10 @@ def importable(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows out to as many tasks as there are cores where the table comes in fewer pieces, for work that
+    costs far more than moving a small table. Tables in enough pieces, as large ones are, stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
