@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from factloom.llm import byte_bpe, embedding_dedup, imatch, language_id, line_dedup, minhash, packing, quality, substring_dedup, warc
 from factloom.llm.vocabularies import vocabulary
-from factloom.session import table
+from factloom.session import spread, table
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores the quality of every document."""
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,12 +28,12 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicts the language of every document."""
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    return language_id.identify(_documents(spark, sf_dir))
 
 
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints every document and its edited text."""
-    return imatch.compare_with_edits(table(spark, sf_dir, "documents"))
+    return imatch.compare_with_edits(_documents(spark, sf_dir))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,31 +47,31 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document by a byte-level vocabulary."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return byte_bpe.digests(byte_bpe.encode(docs, "doc_id", "text", vocabulary("byte_bpe_multi_50k.tiktoken"), decoded=True), "doc_id")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups near-duplicate documents."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes repeated multi-line chunks from every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     found = line_dedup.remove_repeated_chunks(docs)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes 50-word windows that an earlier document has too."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     return substring_dedup.digests(substring_dedup.remove_repeats(docs))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs every document into sequences of at most 4,096 tokens."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return packing.tokenise_and_pack(docs, "doc_id", "text", vocabulary("word_bpe_49k.json"))
 
 
