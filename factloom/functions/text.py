@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -74,6 +75,28 @@ def comparable(text: Column) -> Column:
     return F.when(text.rlike(r"\A\p{ASCII}*\z"), plain).otherwise(_comparable(text))
 
 
+def _structural(value):
+    if isinstance(value, dict):
+        return {k: _structural(value[k]) for k in sorted(value)}
+    if isinstance(value, list):
+        return [_structural(v) for v in value]
+    return comparable_text(value) if isinstance(value, str) else value
+
+
+@F.pandas_udf(StringType())
+def structural(values: pd.Series) -> pd.Series:
+    """JSON texts in the form in which values are compared: names sorted, texts in comparison form, at any
+    depth; null for what is no JSON."""
+
+    def plain(value: str) -> str | None:
+        try:
+            return json.dumps(_structural(json.loads(value)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return values.map(plain, na_action="ignore")
+
+
 def terms(text: Column) -> Column:
     """Lower-cased runs of two or more letters, digits and underscores."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))

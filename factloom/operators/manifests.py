@@ -195,6 +195,33 @@ def _error_name(error_class: Column) -> Column:
     return F.regexp_replace(text.error_code(error_class), "_error$", "") if error_class is not None else error_class
 
 
+def cache_records(replies: DataFrame) -> DataFrame:
+    """Self-hashed cache records of replies (request_sha256, configuration, response, attempts, cost, at):
+    a name from the identity, the canonical JSON, and its digest."""
+    identity = F.to_json(F.struct("configuration", "request_sha256"), {"ignoreNullFields": "false"})
+    body = F.struct("at", "attempts", "configuration", F.col("cost").cast("string").alias("cost"), "request_sha256", "response", keys.sha256_upper(F.col("response")).alias("response_sha256"))
+    rows = replies.withColumns({"name": keys.sha256_upper(identity), "record": F.to_json(body, {"ignoreNullFields": "false"})})
+    return rows.select("name", "record", keys.sha256_upper(F.col("record")).alias("record_sha256"))
+
+
+_RECORD = "at string, attempts int, configuration string, cost string, request_sha256 string, response string, response_sha256 string"
+
+
+def read_cache_records(records: DataFrame) -> DataFrame:
+    """The fields of cache records, with ``problem``: a record that is not what its digest says, not canonical,
+    not named by its identity, or whose response is another."""
+    rows = records.withColumn("_r", F.from_json("record", _RECORD))
+    r = F.col("_r")
+    name = keys.sha256_upper(F.to_json(F.struct(r["configuration"].alias("configuration"), r["request_sha256"].alias("request_sha256")), {"ignoreNullFields": "false"}))
+    problem = (
+        F.when(~F.col("record_sha256").eqNullSafe(keys.sha256_upper(F.col("record"))), "cache_hash_mismatch")
+        .when(r.isNull() | ~F.col("record").eqNullSafe(F.to_json(r, {"ignoreNullFields": "false"})), "cache_record_invalid")
+        .when(~F.col("name").eqNullSafe(name), "cache_path_escape")
+        .when(~r["response_sha256"].eqNullSafe(keys.sha256_upper(r["response"])), "cache_record_invalid")
+    )
+    return rows.select("name", "_r.*", problem.alias("problem"))
+
+
 def provenance(rows: DataFrame) -> DataFrame:
     """A self-hashed record of each request that was run."""
     fields = ["request_id", "request_sha256", "cache", "attempts", "error_class", "recorded_at"]

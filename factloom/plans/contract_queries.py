@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import keys, numbers, text
-from factloom.operators import agents, comparison, goldset, manifests, matching, outputs, registry, reports, validation
+from factloom.operators import agents, comparison, evaluation, goldset, manifests, matching, outputs, registry, reports, validation
 from factloom.plans.rule_queries import _facts
 from factloom.session import table
 
@@ -502,6 +502,63 @@ def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", keys.value_key(kind, F.col("o_orderpriority"), number.cast("decimal(38,9)"), F.lit("gbp")).alias("value_key"))
 
 
+def structural_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested values in comparison form."""
+    o = table(spark, sf_dir, "orders")
+    words = _text('{"z": ["  ', F.col("o_orderpriority"), '.", 1, null], "a": {"d": true, "c": "', F.col("o_orderstatus"), '  X"}}')
+    return o.select("o_orderkey", text.structural(words).alias("plain"))
+
+
+def cache_record_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache records written and read back, some of them changed on the way."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(_text("R", _key()).alias("request_sha256"), F.lit("m-1").alias("configuration"), F.col("o_orderpriority").alias("response"), F.lit(1).alias("attempts"), F.lit("0.5").cast("decimal(38,9)").alias("cost"), F.lit("2026-01-01T00:00:00Z").alias("at"))
+    records = manifests.cache_records(rows)
+    n = F.get_json_object("record", "$.request_sha256").substr(2, 20).cast("long") % 5
+    changed = F.when(n == 1, F.concat("record", F.lit(" "))).when(n == 3, F.replace("record", F.get_json_object("record", "$.response"), F.lit("other"))).otherwise(F.col("record"))
+    records = records.withColumn("_new", changed).withColumns({"name": F.when(n == 2, F.lit("../x")).otherwise(F.col("name")), "record_sha256": F.when(n == 4, F.lit("0")).otherwise(keys.sha256_upper(F.col("_new")))})
+    found = manifests.read_cache_records(records.withColumn("record", F.col("_new")).drop("_new"))
+    return found.groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+def _run_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.substring_index(F.col("candidate_id"), "-", -1).cast("long")
+    return _facts(spark, sf_dir, False).withColumns({"review_status": F.when(n % 6 == 0, "required").otherwise(F.lit("not_required")), "evidence_status": F.when(n % 9 == 0, "ambiguous").otherwise(F.lit("supported"))})
+
+
+def rule_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    predicate = F.element_at(F.array(F.lit("commitment"), F.lit("budget"), F.lit("risk"), F.lit("poem")), (_key() % 4 + 1).cast("int"))
+    rule = evaluation.rule_of(predicate, F.when(_key() % 8 == 0, 0.9).otherwise(F.lit(0.7)))
+    return o.select(F.coalesce(rule, F.lit("none")).alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates, gold = _run_facts(spark, sf_dir), _facts(spark, sf_dir, True)
+    repeats = matching.reproducibility(candidates.select("source_id", F.lit("a").alias("d")).distinct(), candidates.where("source_id <> 'SRC2'").select("source_id", F.lit("a").alias("d")).distinct(), "source_id", "d")
+    found = evaluation.complete(evaluation.report(candidates, gold, matching.strict_matches(candidates, gold)), repeats)
+    return found.select(*[F.round(c, 6).alias(c) if c in ("precision", "recall", "f1") else c for c in found.columns])
+
+
+def reproduction_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second pass without one order, against fixed numbers of which none can hold."""
+    first, gold = _run_facts(spark, sf_dir), _facts(spark, sf_dir, True)
+    second = first.where("candidate_id <> 'K-0000000001'")
+    found = evaluation.reproduction(first, second, gold, {"candidates": -1}, ["source_id", "subject_text", "predicate", "raw_value"])
+    return found.select("measure", "first", "second", "expected", "passed")
+
+
+def predicate_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates, gold = _run_facts(spark, sf_dir), _facts(spark, sf_dir, True)
+    found = evaluation.rates(matching.predicate_counts(candidates, gold, matching.strict_matches(candidates, gold)), "predicate")
+    return found.select("predicate", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def target_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = table(spark, sf_dir, "orders").agg((F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("share"), F.lit(None).cast("double").alias("nothing"))
+    return evaluation.quality_targets(report, {"some": ("share", 0.0), "all": ("share", 1.0), "missing": ("nothing", 0.5)}).withColumn("value", F.round("value", 6))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -509,6 +566,7 @@ QUERIES = {
         nearest_in_block, pair_scores, nearest_candidates, failure_categories, evidence_checks, candidate_trace, transformation_flags, trace_counters, attempt_inventory, case_references, manifest_reconciliation,
         metric_fractions, process_gates, run_parity, nested_spans, routing_facts, agent_policy, agent_limits, attempt_limits, predicate_schema, route_blocks, route_problems, request_identities, request_measures,
         identity_drift, repeat_choice, invocation_inventory, provenance_report, text_forms, collapsed_offsets, date_checks, stable_identities, hash_check, block_check, dangling_evidence, canonical_values,
+        structural_values, cache_record_check, rule_attribution, evaluation_report, reproduction_bundle, predicate_rates, target_check,
     )
 }
 
@@ -677,4 +735,28 @@ ORACLES = {
     "canonical_values": """
         WITH v AS (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS f FROM orders), p AS (SELECT *, (f // 10) || CASE WHEN f % 10 = 0 THEN '' ELSE '.' || (f % 10) END AS plain FROM v)
         SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'money|' || plain || '|GBP' WHEN 1 THEN 'number|' || plain WHEN 2 THEN 'date|' || o_orderpriority ELSE 'string|' || o_orderpriority END AS value_key FROM p""",
+    "structural_values": """SELECT o_orderkey, '{"a":{"c":"' || lower(o_orderstatus) || ' x","d":true},"z":["' || lower(o_orderpriority) || '",1,null]}' AS plain FROM orders""",
+    "cache_record_check": """
+        WITH c AS (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'none' WHEN 2 THEN 'cache_path_escape' WHEN 4 THEN 'cache_hash_mismatch' ELSE 'cache_record_invalid' END AS problem FROM orders) SELECT problem, count(*) AS n FROM c GROUP BY 1""",
+    "rule_attribution": "SELECT CASE WHEN o_orderkey % 8 = 0 THEN 'V02-RULE-COM-EXPLICIT-001' WHEN o_orderkey % 4 = 0 THEN 'V02-RULE-COM-WEAK-002' WHEN o_orderkey % 4 = 1 THEN 'V02-RULE-BUD-001' WHEN o_orderkey % 4 = 2 THEN 'V02-RULE-RISK-001' ELSE 'none' END AS rule_id, count(*) AS n FROM orders GROUP BY 1",
+    "evaluation_report": """
+        WITH k AS (SELECT o_orderkey AS n, o_custkey AS c, o_orderkey % 11 <> 0 AS own, o_orderkey % 7 <> 0 AS gold FROM orders),
+        t AS (SELECT count(*) FILTER (WHERE own AND gold AND n % 5 <> 0) AS tp, count(*) FILTER (WHERE own) AS own, count(*) FILTER (WHERE gold) AS gold, count(*) FILTER (WHERE own AND gold) AS both_ FROM k)
+        SELECT own AS candidates, (SELECT count(*) FROM k WHERE own AND n % 6 = 0) AS review_required, (SELECT count(*) FROM k WHERE own AND n % 9 = 0) AS ambiguous_evidence, both_ AS aligned, tp AS aligned_values, 0 AS duplicates,
+               tp AS true_positive, own - tp AS false_positive, gold - tp AS false_negative, round(tp / own, 6) AS precision, round(tp / gold, 6) AS recall, round(2 * tp / (own + gold), 6) AS f1,
+               (SELECT count(DISTINCT c % 5) FROM k WHERE own AND c % 5 <> 2) AS reproduced, (SELECT count(DISTINCT c % 5) FROM k WHERE own) AS sources, (SELECT count(*) = 0 FROM k WHERE own AND c % 5 = 2) AS complete FROM t""",
+    "reproduction_bundle": """
+        WITH k AS (SELECT o_orderkey AS n, o_orderkey <> 1 AS again FROM orders WHERE o_orderkey % 11 <> 0),
+        m AS (SELECT unnest([struct_pack(measure := 'candidates', first := count(*), second := count(*) FILTER (WHERE again)), struct_pack(measure := 'review_required', first := count(*) FILTER (WHERE n % 6 = 0), second := count(*) FILTER (WHERE again AND n % 6 = 0)),
+            struct_pack(measure := 'ambiguous_evidence', first := count(*) FILTER (WHERE n % 9 = 0), second := count(*) FILTER (WHERE again AND n % 9 = 0)),
+            struct_pack(measure := 'strict_matches', first := count(*) FILTER (WHERE n % 7 <> 0 AND n % 5 <> 0), second := count(*) FILTER (WHERE again AND n % 7 <> 0 AND n % 5 <> 0)),
+            struct_pack(measure := 'own_meanings', first := count(*) FILTER (WHERE NOT again), second := CAST(0 AS BIGINT))], recursive := true) FROM k)
+        SELECT measure, first, second, CASE WHEN measure = 'candidates' THEN CAST(-1 AS BIGINT) END AS expected, first = second AND measure <> 'candidates' AND (measure <> 'own_meanings' OR first = 0) AS passed FROM m""",
+    "predicate_rates": """
+        WITH k AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'metric' ELSE 'finding' END AS predicate, o_orderkey % 11 <> 0 AS own, o_orderkey % 7 <> 0 AS gold, o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AS tp FROM orders),
+        t AS (SELECT predicate, count(*) FILTER (WHERE tp) AS tp, count(*) FILTER (WHERE own) AS own, count(*) FILTER (WHERE gold) AS gold FROM k GROUP BY 1)
+        SELECT predicate, round(tp / own, 6) AS precision, round(tp / gold, 6) AS recall, round(2 * tp / (own + gold), 6) AS f1 FROM t""",
+    "target_check": """
+        WITH s AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) AS v FROM orders)
+        SELECT 'some' AS target, round(v, 6) AS value, 0.0::DOUBLE AS least, true AS reached FROM s UNION ALL SELECT 'all', round(v, 6), 1.0::DOUBLE, v >= 1 FROM s UNION ALL SELECT 'missing', NULL, 0.5::DOUBLE, false""",
 }

@@ -232,6 +232,9 @@ ORACLES = {
     "content_hash": "SELECT doc_id, upper(sha256(text)) AS sha256, 'DOC-' || upper(source) || '-' || doc_id AS document_id, 'DOC-' || upper(source) || '-' || doc_id || '-B0001' AS block_id FROM documents",
     "exact_duplicates": "SELECT sha256(text) AS sha256, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "keep_first_documents": "SELECT min(doc_id) AS doc_id, sha256(text) AS sha256 FROM documents GROUP BY 2",
+    "comparable_text": r"""
+        WITH f AS (SELECT doc_id, regexp_replace(trim(regexp_replace(translate(replace(lower(text), 'ß', 'ss'), '‘’‚‛“”„‟‐‑‒–—―−', repeat(chr(39), 4) || repeat(chr(34), 4) || '-------'), '\s+', ' ', 'g')), '\s*[.!?]$', '') AS form FROM documents)
+        SELECT min(doc_id) AS first, count(*) AS n FROM f GROUP BY form""",
     "line_offsets": r"""
         WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS block_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents),
         o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY block_id ORDER BY n) - length(line) - 1 AS off FROM l),
