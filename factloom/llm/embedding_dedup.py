@@ -2,12 +2,13 @@
 
 Vectors of equal components are one class, represented by its smallest key.
 Representatives are dealt into shards by a hash; each shard builds a graph and
-writes it to the shared folder. Every representative then queries every shard in
-blocks. A query whose beam is full of links is compared with the shard exactly. A block
-audits the others: for some of them the links in the shard are found exactly, and while
-the graph has too few of the links of any one, the rest of the block searches again
-with a beam twice as wide (at last, when a beam would hold the shard, by exact
-comparison). Links are verified by the cosine in double precision and counted where
+writes it to the shared folder with its vectors. Every representative then queries every
+shard, in blocks: what is dealt out is which block asks which shard, and a task reads the
+block's vectors from where its shard was written. A query whose beam is full of links is compared
+with the shard exactly. A block audits the others: for some of them the links in the shard
+are found exactly, and while the graph has too few of the links of any one, the rest of the
+block goes on from its beams with twice as wide ones (at last, when a beam would hold the
+shard, by exact comparison). Links are verified by the cosine in double precision and counted where
 they are found; each block sends on a spanning forest of its links only, and the
 forests are united into components.
 """
@@ -31,6 +32,8 @@ SHARDS = 8
 #: More shards are used where one would hold more vectors than this.
 SHARD_ROWS = 100_000
 BLOCK_ROWS = 1024
+#: A task asks one shard for about so many blocks, so that it loads that shard once for them.
+TASK_BLOCKS = 4
 BEAM = 64
 AUDITS = 128
 #: Least share of its links that the graph finds for each audited query.
@@ -48,17 +51,30 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-@lru_cache(maxsize=2)
-def _shard(folder: str, name: str) -> tuple[hnsw.Graph, np.ndarray, np.ndarray, np.ndarray]:
-    """Graph, keys, copies and double-precision unit vectors of a shard."""
+@lru_cache(maxsize=64)
+def _keys(folder: str, name: str) -> tuple[pa.Array, np.ndarray]:
+    """Keys and copies of a shard."""
     system, base = _system(folder)
-    with system.open_input_stream(f"{base}/{name}", compression=None) as file:
-        data = file.read()
-    graph_size = int.from_bytes(data[:8], "little")
-    graph = hnsw.Graph.load(data[8 : 8 + graph_size])
-    with pa.ipc.open_stream(data[8 + graph_size :]) as reader:
+    with system.open_input_stream(f"{base}/{name}.keys", compression=None) as file, pa.ipc.open_stream(file) as reader:
         table = reader.read_all().combine_chunks()
-    return graph, table.column("key").to_numpy(zero_copy_only=False), table.column("copies").to_numpy(), _unit(_matrix(table.column("vector").combine_chunks()))
+    return table.column("key").combine_chunks(), table.column("copies").to_numpy()
+
+
+def _vectors(folder: str, name: str, dim: int, lo: int, hi: int) -> np.ndarray:
+    """Double-precision unit vectors of rows [lo, hi) of a shard, by one range read."""
+    system, base = _system(folder)
+    with system.open_input_file(f"{base}/{name}.vectors") as file:
+        file.seek(lo * dim * 8)
+        return np.frombuffer(file.read((hi - lo) * dim * 8), np.float64).reshape(hi - lo, dim)
+
+
+@lru_cache(maxsize=2)
+def _shard(folder: str, name: str, dim: int) -> tuple[hnsw.Graph, np.ndarray]:
+    """Graph and vectors of a shard."""
+    system, base = _system(folder)
+    with system.open_input_stream(f"{base}/{name}.graph", compression=None) as file:
+        graph = hnsw.Graph.load(file.read())
+    return graph, _vectors(folder, name, dim, 0, len(graph.vectors))
 
 
 def _whole_groups(batches, columns: int):
@@ -82,16 +98,18 @@ def _whole_groups(batches, columns: int):
 
 
 def build_shards(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes a graph for each (dim, shard) of rows (dim, shard, key, copies, vector)."""
+    """Writes graph, vectors and keys of each (dim, shard) of rows (dim, shard, key, copies, vector)."""
 
     def run(batches):
         for (dim, shard), table in _whole_groups(batches, 2):
-            table = table.select(["key", "copies", "vector"])
-            graph = hnsw.Graph(_unit(_matrix(table.column("vector").combine_chunks())).astype(np.float32)).dump()
+            unit = _unit(_matrix(table.column("vector").combine_chunks()))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as writer:
-                writer.write_table(table)
-            _write(folder, f"{dim}-{shard}", [len(graph).to_bytes(8, "little"), graph, sink.getvalue()])
+            own = table.select(["key", "copies"])
+            with pa.ipc.new_stream(sink, own.schema) as writer:
+                writer.write_table(own)
+            _write(folder, f"{dim}-{shard}.keys", [sink.getvalue()])
+            _write(folder, f"{dim}-{shard}.vectors", [np.ascontiguousarray(unit).tobytes()])
+            _write(folder, f"{dim}-{shard}.graph", [hnsw.Graph(unit.astype(np.float32)).dump()])
             yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), pa.array([table.num_rows], pa.int64())], names=["dim", "shard", "n"])
 
     ordered = rows.select("dim", "shard", "key", "copies", "vector").repartition("dim", "shard").sortWithinPartitions("dim", "shard", "key")
@@ -123,16 +141,16 @@ def links_of_block(graph: hnsw.Graph, unit: np.ndarray, queries: np.ndarray, cos
         return np.concatenate([q for q, _ in found]), np.concatenate([node for _, node in found])
 
     random = np.random.default_rng(len(queries))
-    found, todo = [], np.arange(len(queries))
+    found, todo, node = [], np.arange(len(queries)), None
     while len(todo) and beam < n:
-        node, sim = graph.search(queries[todo], beam)
+        node, sim = graph.search(queries[todo], beam, node)
         near = sim >= slack
         full = near.all(1)  # a beam of links only may have left some out
         found.append(exact(todo[full]))
         q, at = np.nonzero(near & ~full[:, None])
-        node = node[q, at]
-        good = verified(todo[q], node)
-        q, node = q[good], node[good]
+        hit = node[q, at]
+        good = verified(todo[q], hit)
+        q, hit = q[good], hit[good]
         counts = np.bincount(q, minlength=len(todo))
         linked = np.flatnonzero(~full & (counts > 1))
         sample = np.unique(np.concatenate([random.permutation(np.flatnonzero(~full))[:audits], random.permutation(linked)[:audits]]))
@@ -141,9 +159,9 @@ def links_of_block(graph: hnsw.Graph, unit: np.ndarray, queries: np.ndarray, cos
         rest = ~full
         rest[sample] = False
         if (counts[sample] >= recall * there).all():
-            found.append((todo[q[rest[q]]], node[rest[q]]))
+            found.append((todo[q[rest[q]]], hit[rest[q]]))
             return joined(found)
-        todo, beam = todo[rest], 2 * beam
+        todo, node, beam = todo[rest], node[rest], 2 * beam
     found.append(exact(todo))
     return joined(found)
 
@@ -154,7 +172,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     Vectors that are null, empty, zero or have null or non-finite components have no
     links, vectors of different lengths none with each other, and rows with a null key are not
-    compared (their component is null, they are kept).
+    compared (their component is null, they are kept). Rows that repeat a key and a vector link with
+    each other like other equal vectors. A task
+    holds two shards at most, of SHARD_ROWS vectors each, and one block.
     """
     spark = df.sparkSession
     base = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
@@ -162,31 +182,36 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     usable = F.col("vector").isNotNull() & F.col("key").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
     good = base.where(usable).withColumn("vector", F.transform("vector", lambda x: x + 0.0))
     classes = storage.written(good.groupBy("vector").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "classes")
-    number = max(shards, -(-classes.count() // SHARD_ROWS))
-    blocks = max(1, classes.count() // BLOCK_ROWS)
+    classes_count = classes.count()
+    number, parts = max(shards, -(-classes_count // SHARD_ROWS)), max(1, classes_count // (BLOCK_ROWS * TASK_BLOCKS))
     reps = classes.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("rep"), F.lit(number)).cast("int").alias("shard"), F.col("rep").alias("key"), "copies", "vector")
     folder = storage.scratch(spark, "graphs")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     made = build_shards(reps, folder)
-    asked = reps.select("dim", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(blocks)).cast("int").alias("block"), "key", "vector").join(made.select("dim", F.col("shard").alias("target")), "dim")
-    asked = asked.select("dim", "target", "block", "key", "vector").repartition("dim", "target", "block").sortWithinPartitions("dim", "target", "block", "key")
+    asked = made.select("dim", F.col("shard").alias("source"), "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK_ROWS).cast("long"))).alias("lo"))
+    asked = asked.join(made.select("dim", F.col("shard").alias("target")), "dim").withColumn("part", F.pmod(F.xxhash64("source", "lo"), F.lit(parts)))
+    asked = asked.select("dim", "target", "part", "source", "lo", F.least(F.col("lo") + BLOCK_ROWS, "n").alias("hi"))
+    # the rows are few and small, but each is much work: by number, so that they are not put together again
+    asked = asked.repartition(min(number * parts, 50_000), "dim", "target", "part").sortWithinPartitions("dim", "target", "source", "lo")
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
-        for (dim, target, _), table in _whole_groups(batches, 3):
-            graph, keys, copies, unit = _shard(folder, f"{dim}-{target}")
-            own = table.column("key").to_numpy()
-            q, node = links_of_block(graph, unit, _unit(_matrix(table.column("vector").combine_chunks())), cosine, beam, AUDITS, recall)
-            other = own[q] != keys[node]
-            q, node = q[other], node[other]
-            counts = np.bincount(q, weights=copies[node], minlength=len(own)).astype(np.int64)
-            at = np.flatnonzero(counts)
-            sets = UnionFind()
-            edges = [(a, b) for a, b in zip(own[q].tolist(), keys[node].tolist(), strict=True) if sets.union(a, b)]
-            key_type = table.schema.field("key").type
-            a = pa.concat_arrays([pc.cast(pa.array(own[at]), key_type), pa.array([e[0] for e in edges], key_type)])
-            b = pa.concat_arrays([pa.nulls(len(at), key_type), pa.array([e[1] for e in edges], key_type)])
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([counts[at], np.zeros(len(edges), np.int64)]))], names=["a", "b", "n"])
+        for batch in batches:
+            for dim, target, _, source, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                graph, unit = _shard(folder, f"{dim}-{target}", dim)
+                all_keys, copies = _keys(folder, f"{dim}-{target}")
+                own = _keys(folder, f"{dim}-{source}")[0].slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                keys = all_keys.to_numpy(zero_copy_only=False)
+                q, node = links_of_block(graph, unit, _vectors(folder, f"{dim}-{source}", dim, lo, hi), cosine, beam, AUDITS, recall)
+                other = own[q] != keys[node]
+                q, node = q[other], node[other]
+                counts = np.bincount(q, weights=copies[node], minlength=len(own)).astype(np.int64)
+                at = np.flatnonzero(counts)
+                sets = UnionFind()
+                edges = [(a, b) for a, b in zip(own[q].tolist(), keys[node].tolist(), strict=True) if sets.union(a, b)]
+                a = pa.concat_arrays([pc.cast(pa.array(own[at]), all_keys.type), pa.array([e[0] for e in edges], all_keys.type)])
+                b = pa.concat_arrays([pa.nulls(len(at), all_keys.type), pa.array([e[1] for e in edges], all_keys.type)])
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([counts[at], np.zeros(len(edges), np.int64)]))], names=["a", "b", "n"])
 
     found = storage.written(arrow.mapped(asked, run, f"a {kind}, b {kind}, n long"), "links")
     labels = components(found.where("b IS NOT NULL").select("a", "b"))

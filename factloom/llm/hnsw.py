@@ -153,12 +153,14 @@ class Graph:
             scores[lo : lo + step] = np.take_along_axis(sim, order, 1)
         return out, scores
 
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes and similarities (n_queries x beam) met by a descent from the top layer."""
+    def search(self, queries: np.ndarray, beam: int, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes and similarities (n_queries x beam) met from the nodes ``near`` to each query (-1: none), which
+        a narrower beam found, or else by a descent from the top layer."""
         queries = np.ascontiguousarray(queries, np.float32)
-        near = np.full((len(queries), 1), self.entry, np.int64)
-        for k in range(len(self.layers) - 1, 0, -1):
-            near, _ = self._walk(k, queries, near, 8)
+        if near is None:
+            near = np.full((len(queries), 1), self.entry, np.int64)
+            for k in range(len(self.layers) - 1, 0, -1):
+                near, _ = self._walk(k, queries, near, 8)
         return self._walk(0, queries, near, beam)
 
     def dump(self) -> bytes:
