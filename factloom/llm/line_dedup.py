@@ -61,14 +61,12 @@ def _repeated(base: DataFrame) -> DataFrame:
     number and hash of each and whether it is the first occurrence. No text is moved."""
     numbers = F.filter(F.sequence(F.lit(0), F.size("_ends") - 1), lambda no: _lines_of(no) >= MIN_LINES)
     hashed = chunked(base, "_text").select("_key", "_fp", F.explode(F.transform(numbers, lambda no: F.struct(no.alias("no"), F.xxhash64(_piece(no)).alias("h")))).alias("_p"))
-    rows = storage.written(hashed.select("_key", "_fp", F.col("_p.no").alias("_no"), F.col("_p.h").alias("_h")), "hashes")
+    rows = hashed.select("_key", "_fp", F.col("_p.no").alias("_no"), F.col("_p.h").alias("_h"))
     where = F.struct("_key", "_no", "_fp")
     # written, so that the join has two plain exchanges and may split a hot chunk
     sums = storage.written(rows.groupBy("_h").agg(F.count("*").alias("_n"), F.min(where).alias("_first")).where("_n > 1").drop("_n"), "repeated")
     marks = rows.join(sums.hint("merge"), "_h").select("_key", "_fp", F.struct(F.col("_no").alias("no"), F.col("_h").alias("h"), (where == F.col("_first")).alias("first")).alias("_m"))
-    found = storage.written(marks.groupBy("_key", "_fp").agg(F.collect_set("_m").alias("_marks")), "marks")
-    storage.release(base.sparkSession, rows, sums)
-    return found
+    return marks.groupBy("_key", "_fp").agg(F.collect_set("_m").alias("_marks"))
 
 
 def _removed(base: DataFrame) -> DataFrame:
@@ -80,7 +78,6 @@ def _removed(base: DataFrame) -> DataFrame:
     held = chunked(base.join(marks.hint("merge"), ["_key", "_fp"]), "_text")
     chunk = F.transform("_marks", lambda m: F.struct(m["no"].alias("no"), m["h"].alias("h"), m["first"].alias("first"), _piece(m["no"]).alias("chunk")))
     texts = storage.written(held.select("_key", "_fp", F.explode(chunk).alias("_c")).select("_key", "_fp", "_c.*"), "chunks")
-    storage.release(base.sparkSession, marks)
     first = storage.written(texts.where("first").groupBy("h").agg(F.min("chunk").alias("_of")), "first")
     copies = texts.where("NOT first").join(first.hint("merge"), "h").where(F.col("chunk").cast("binary") == F.col("_of").cast("binary"))
     gone = storage.written(copies.groupBy("_key", "_fp").agg(F.collect_set("no").alias("_gone")), "gone")
