@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import byte_bpe, embedding_dedup, imatch, language_id, line_dedup, minhash, packing, quality, substring_dedup, warc
+from factloom.llm import byte_bpe, chat, divergence, embedding_dedup, imatch, language_id, line_dedup, minhash, packing, quality, retention, substring_dedup, warc
 from factloom.llm.vocabularies import vocabulary
 from factloom.session import spread, table
 
@@ -75,6 +75,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.tokenise_and_pack(docs, "doc_id", "text", vocabulary("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compares every source's use of terms with the other sources' and its language's."""
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+def op12_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retention of clients by cohort, as known at two times."""
+    return retention.matrix(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"))
+
+
+#: A conversation beside those of the table, whose texts look like marks of templates.
+_MARKS = [(-7, turn, role, r"\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds every conversation's events, formats it, and reads the formatted texts back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.createDataFrame(_MARKS, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.render(chat.conversation_log(rows.unionByName(marks))), in_order=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -89,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_line_dedup,
             op9_substring_dedup,
             op10_best_fit_packing,
+            op11_source_divergence,
+            op12_cohort_retention,
+            op13_chat_format,
         )
     }
 
@@ -103,4 +127,7 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN first <> page_id THEN first END AS refers_to
             FROM p LEFT JOIN f USING (d)""",
         "op8_line_dedup": line_dedup.ORACLE,
+        "op11_source_divergence": divergence.ORACLE,
+        "op12_cohort_retention": retention.ORACLE,
+        "op13_chat_format": chat.ORACLE,
     }

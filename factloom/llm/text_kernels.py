@@ -91,11 +91,11 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[TextChunk
         at = end
 
 
-def words(chunk: TextChunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of maximal runs of bytes other than 0x20 and 0x09-0x0D, and
-    the offsets of each text's words in them."""
+def words(chunk: TextChunk, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of bytes other than 0x20 and 0x09-0x0D (or those marked in
+    ``between``), and the offsets of each text's words in them."""
     data, offsets = chunk.data, chunk.offsets
-    space = _SPACE[data]
+    space = between[data]
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     before = np.empty_like(space)
