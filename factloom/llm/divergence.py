@@ -140,12 +140,10 @@ def wide(terms: DataFrame, langs: DataFrame) -> DataFrame:
 
 
 def pair_sums(vectors: DataFrame) -> DataFrame:
-    """(lang, pair, value): the sum of all terms' contributions to each pair of places, whose number
-    is first * sources + second."""
-    p = F.col("p")
-    of_pair = lambda a, i: F.transform(p, lambda b, j: F.struct((i * F.size(p) + j).alias("pair"), _gap(a, b).alias("value")))
-    emitted = vectors.select("lang", F.explode(F.flatten(F.transform(p, of_pair))).alias("c"))
-    return emitted.groupBy("lang", "c.pair").agg(F.sum("c.value").alias("value"))
+    """(lang, i, j, value): the sum of all terms' contributions to each pair of places."""
+    each = vectors.select("lang", "p", F.posexplode("p").alias("i", "own"))
+    emitted = each.select("lang", "i", F.posexplode(F.transform("p", lambda q: _gap(F.col("own"), q))).alias("j", "value"))
+    return emitted.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_TEXTS, top: int = TOP_TERMS) -> DataFrame:
@@ -165,11 +163,8 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     terms = storage.written(kept_terms(docs, text, lang, source, least), "terms")
     langs = storage.written(languages(docs, terms, lang, source), "languages")
     vectors = wide(terms, langs)
-    size = F.size("sources")
-    name = lambda k: F.get("sources", k.cast("int"))["source"]
-    pairs = langs.select("lang", "sources", F.explode(F.sequence(F.lit(0), size * size - 1)).alias("pair"))
-    pairs = pairs.select("lang", "pair", name(F.floor(F.col("pair") / size)).alias("source"), name(F.col("pair") % size).alias("item")).where("source <> item")
-    pairs = pairs.join(pair_sums(vectors), ["lang", "pair"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
+    pairs = langs.select("lang", "sources", F.posexplode("sources.source").alias("i", "source")).select("lang", "i", "source", F.posexplode("sources.source").alias("j", "item")).where("i <> j")
+    pairs = pairs.join(pair_sums(vectors), ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
     own = F.transform("sources", lambda s, k: F.struct(s["source"].alias("source"), F.get("n", k).alias("n"), F.get("p", k).alias("p")))
     used = vectors.select("lang", "term", "q", F.explode(F.filter(own, lambda x: (x["n"] > 0) & (x["p"] > F.col("q")))).alias("own"))
     used = used.select("lang", "own.source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(F.col("own.p"), F.col("q")).alias("value"))
