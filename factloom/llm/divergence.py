@@ -140,10 +140,27 @@ def wide(terms: DataFrame, langs: DataFrame) -> DataFrame:
 
 
 def pair_sums(vectors: DataFrame) -> DataFrame:
-    """(lang, i, j, value): the sum of all terms' contributions to each pair of places."""
-    each = vectors.select("lang", "p", F.posexplode("p").alias("i", "own"))
-    emitted = each.select("lang", "i", F.posexplode(F.transform("p", lambda q: _gap(F.col("own"), q))).alias("j", "value"))
-    return emitted.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+    """(lang, i, j, there, seen, back, lone): sums over the terms that source i has. ``there`` is the sum of i's gaps
+    from j, of ``seen`` terms; ``back`` that of j's gaps from i, of the ``lone`` terms that j does not have. So a
+    term contributes for the sources that have it, and a pair's other terms are all alike."""
+    held = F.filter(F.transform("p", lambda p, i: F.struct(i.alias("i"), p.alias("p"), F.get("n", i).alias("n"))), lambda x: x["n"] > 0)
+    each = vectors.select("lang", "n", "p", F.explode(held).alias("own"))
+    own = F.col("own.p")
+    gaps = F.zip_with("p", "n", lambda q, n: F.struct(_gap(own, q).alias("there"), F.when(n == 0, _gap(q, own)).alias("back")))
+    emitted = each.select("lang", F.col("own.i").alias("i"), F.posexplode(gaps).alias("j", "c"))
+    return emitted.groupBy("lang", "i", "j").agg(F.sum("c.there").alias("there"), F.count("*").alias("seen"), F.sum("c.back").alias("back"), F.count("c.back").alias("lone"))
+
+
+def pair_values(langs: DataFrame, sums: DataFrame) -> DataFrame:
+    """(lang, source, item, value) of every two sources of a language. Terms that neither has have the least
+    share in both."""
+    least = lambda s: _share(F.lit(0), F.greatest(s["total"], F.lit(1)))
+    rows = langs.select("lang", "terms", "sources", F.posexplode("sources").alias("i", "s")).select("lang", "terms", "i", "s", F.posexplode("sources").alias("j", "o")).where("i <> j")
+    rows = rows.select("lang", "terms", "i", "j", F.col("s.source").alias("source"), F.col("o.source").alias("item"), _gap(least(F.col("s")), least(F.col("o"))).alias("apart"))
+    back = sums.select("lang", F.col("j").alias("i"), F.col("i").alias("j"), F.col("back").alias("_back"), F.col("lone").alias("_lone"))
+    found = rows.join(sums.select("lang", "i", "j", "there", "seen"), ["lang", "i", "j"], "left").join(back, ["lang", "i", "j"], "left").na.fill(0, ["there", "seen", "_back", "_lone"])
+    rest = (F.col("terms") - F.col("seen") - F.col("_lone")) * F.col("apart")
+    return found.select("lang", "source", "item", (F.col("there") + F.col("_back") + F.when(F.col("terms") > F.col("seen") + F.col("_lone"), rest).otherwise(0)).alias("value"))
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_TEXTS, top: int = TOP_TERMS) -> DataFrame:
@@ -163,8 +180,8 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     terms = storage.written(kept_terms(docs, text, lang, source, least), "terms")
     langs = storage.written(languages(docs, terms, lang, source), "languages")
     vectors = wide(terms, langs)
-    pairs = langs.select("lang", "sources", F.posexplode("sources.source").alias("i", "source")).select("lang", "i", "source", F.posexplode("sources.source").alias("j", "item")).where("i <> j")
-    pairs = pairs.join(pair_sums(vectors), ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
+    sums = storage.written(pair_sums(vectors), "sums")  # of all pairs of sources, which the result has too
+    pairs = pair_values(langs, sums).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     own = F.transform("sources", lambda s, k: F.struct(s["source"].alias("source"), F.get("n", k).alias("n"), F.get("p", k).alias("p")))
     used = vectors.select("lang", "term", "q", F.explode(F.filter(own, lambda x: (x["n"] > 0) & (x["p"] > F.col("q")))).alias("own"))
     used = used.select("lang", "own.source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(F.col("own.p"), F.col("q")).alias("value"))
