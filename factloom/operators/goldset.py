@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
-from factloom.operators import registry, reports
+from factloom.operators import containment, registry, reports
 
 # What can be wrong with a gold fact or case, in this order.
 PROBLEMS = [
@@ -66,12 +66,13 @@ def case_problems(cases: DataFrame, split: DataFrame, blocks: DataFrame) -> Data
 
 def leaks(gold: DataFrame, documents: DataFrame) -> DataFrame:
     """(annotation_id, document, what): held-out ids, and held-out values of 40 characters or
-    more, that stand in public documents (document, text), which are few and broadcast when small."""
-    held = gold.where("split = 'held_out'").select("annotation_id", "raw_value")
-    named = F.contains(F.col("text"), F.col("annotation_id"))
-    valued = (F.length("raw_value") >= LONG_VALUE) & F.contains(F.col("text"), F.col("raw_value"))
-    rows = held.join(documents.select("document", "text"), named | valued)
-    return rows.select("annotation_id", "document", F.explode(F.array_compact(F.array(F.when(named, "annotation_id"), F.when(valued, "raw_value")))).alias("what"))
+    more, that stand in public documents (document, text). Both are looked up by their rarest inner words."""
+    held = gold.where("split = 'held_out'")
+    ids = held.select("annotation_id", F.lit("annotation_id").alias("what"), F.col("annotation_id").alias("passage"))
+    values = held.where(F.length("raw_value") >= LONG_VALUE).select("annotation_id", F.lit("raw_value").alias("what"), F.col("raw_value").alias("passage"))
+    passages = ids.unionByName(values).select(F.struct("annotation_id", "what").alias("passage_id"), "passage")
+    found = containment.containing(documents.select(F.col("document").alias("text_id"), "text"), passages)
+    return found.select("passage_id.annotation_id", F.col("text_id").alias("document"), "passage_id.what")
 
 
 def counted(rows: DataFrame, column: str) -> DataFrame:

@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
+from factloom.operators import lexical_index
+from factloom.storage import written
 
-DIGITS = 10
+DIGITS = lexical_index.DIGITS
 RRF_K = 60
+#: Rows of a question are joined to what is known of the question in so many pieces.
+PIECES = 64
 
 
 def records(blocks: DataFrame) -> DataFrame:
@@ -87,11 +91,42 @@ def top(scores: DataFrame, rows: DataFrame, k: int, queries: DataFrame | None =
     return best.select("qid", "rank", "evidence_id", "score")
 
 
+def of_question(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (qid, evidence_id, ...) with what is known of each question (qid, ...). A question's rows are as
+    many as the records, so they are joined in pieces, not by qid alone."""
+    pieces = known.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    return rows.withColumn("_piece", F.pmod(F.xxhash64("evidence_id"), F.lit(PIECES)).cast("int")).join(pieces, ["qid", "_piece"]).drop("_piece")
+
+
+def positions(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The place of each row among those of its qid, from 1, without a window over a question's rows.
+
+    Rows are dealt out by ranges of (qid, order) and sorted in each task, which gives each a place in its
+    partition. The partitions' sizes, a number each, say where a partition begins among all rows, and
+    the least place of a question where the question does; the difference is joined back by partition
+    and question.
+    """
+    spark = rows.sparkSession
+    columns = rows.columns
+    dealt = rows.repartitionByRange(F.col("qid"), *order).sortWithinPartitions("qid", *order)
+    number = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
+    dealt = written(dealt.select("*", F.shiftright(number, 33).alias("_part"), (number.bitwiseAND(F.lit((1 << 33) - 1))).alias("_at")), "positions")
+    sizes, before, total = dealt.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect(), [], 0
+    for row in sizes:
+        before.append((row["_part"], total))
+        total += row["n"]
+    offsets = spark.createDataFrame(before, "_part long, _before long")
+    first = dealt.groupBy("_part", "qid").agg(F.min("_at").alias("_first")).join(offsets, "_part")
+    begins = first.groupBy("qid").agg(F.min(F.col("_first") + F.col("_before")).alias("_begin"))
+    shifts = first.join(begins, "qid").select("_part", "qid", (F.col("_before") - F.col("_begin") + 1).alias("_shift"))
+    return dealt.join(shifts, ["_part", "qid"]).select(*columns, (F.col("_at") + F.col("_shift")).alias(name))
+
+
 def full_ranks(scores: DataFrame, rows: DataFrame, queries: DataFrame, name: str) -> DataFrame:
     """Ranks of all records for each query; records without a score count as 0."""
     every = rows.select("evidence_id", "source_id", "block_id").crossJoin(queries.select("qid"))
     joined = every.join(scores, ["qid", "evidence_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return joined.select("qid", "evidence_id", "source_id", "block_id", F.row_number().over(Window.partitionBy("qid").orderBy(*_order())).alias(name))
+    return positions(joined, _order(), name).select("qid", "evidence_id", "source_id", "block_id", name)
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, k: int | None = 10, constant: int = RRF_K) -> DataFrame:
@@ -99,8 +134,10 @@ def fuse(lexical: DataFrame, dense: DataFrame, k: int | None = 10, constant: int
     both = lexical.join(dense.select("qid", "evidence_id", "dense_rank"), ["qid", "evidence_id"])
     score = 1 / (F.lit(constant) + F.col("lexical_rank")) + 1 / (F.lit(constant) + F.col("dense_rank"))
     scored = both.withColumn("score", F.round(score, 12))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*_order())))
-    ranked = ranked if k is None else ranked.where(F.col("rank") <= k)
+    if k is None:
+        return positions(scored, _order(), "rank").select("qid", "rank", "evidence_id", "score")
+    # limited in each task before the exchange
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*_order()))).where(F.col("rank") <= k)
     return ranked.select("qid", "rank", "evidence_id", "score")
 
 
@@ -119,23 +156,38 @@ def first_ranks(ranked: DataFrame, expected: DataFrame) -> DataFrame:
 
 def complete_first_ranks(scores: DataFrame, rows: DataFrame, expected: DataFrame) -> DataFrame:
     """``first_ranks`` over the complete ranking of all records (those without a score count as
-    0), which is not made: the records before the best expected one are counted."""
+    0), which is not made: the records before the best expected one are counted. ``scores`` may leave
+    out records that come behind the best expected one."""
     named = rows.select("evidence_id", "source_id", "block_id")
     expected = expected.select("qid", "evidence_id").distinct()
-    at = F.struct("source_id", "block_id")
-    least = expected.join(named, "evidence_id", "left").groupBy("qid").agg(F.min(F.when(F.col("source_id").isNotNull(), at)).alias("least"))
-    # for a best record without a score: all records before it, less those with a score
-    every = named.crossJoin(least).groupBy("qid").agg(F.count_if(at < F.col("least")).alias("every"))
-    place = F.struct((0 - F.col("score")).alias("s"), "source_id", "block_id")
-    marked = scores.join(named, "evidence_id").join(expected.withColumn("hit", F.lit(True)), ["qid", "evidence_id"], "left").select("qid", place.alias("place"), "hit")
-    marked = marked.withColumn("best", F.min(F.when(F.col("hit"), F.col("place"))).over(Window.partitionBy("qid"))).join(least, "qid")
-    zero = F.struct(F.lit(0.0).alias("s"), F.col("least.source_id").alias("source_id"), F.col("least.block_id").alias("block_id"))
-    best = F.least("best", F.when(F.col("least").isNotNull(), zero))
-    before = F.struct("place.source_id", "place.block_id") < F.struct("least.source_id", "least.block_id")
-    counts = marked.groupBy("qid").agg(F.count_if(F.col("place") < best).alias("ahead"), F.count_if(before).alias("scored"), F.min("best.s").alias("s"))
-    found = least.join(counts, "qid", "left").join(every, "qid", "left")
-    unscored = F.when(F.coalesce("s", F.lit(0.0)) == 0, F.coalesce("every", F.lit(0)) - F.coalesce("scored", F.lit(0))).otherwise(0)
-    return found.select("qid", F.when(F.col("least").isNotNull(), 1 + F.coalesce("ahead", F.lit(0)) + unscored).alias("first_rank"))
+    place = F.struct((0 - F.coalesce("score", F.lit(0.0))).alias("s"), "source_id", "block_id")
+    hits = expected.join(named, "evidence_id").join(scores, ["qid", "evidence_id"], "left")
+    best = written(hits.groupBy("qid").agg(F.min(place).alias("best")), "best")
+    ahead = of_question(scores.join(named, "evidence_id"), best)
+    at, least = F.struct("source_id", "block_id"), F.struct("best.source_id", "best.block_id")
+    counts = ahead.groupBy("qid").agg(F.count_if(place < F.col("best")).alias("ahead"), F.count_if(at < least).alias("scored"))
+    # of a best record without a score: all records before it, less those with a score
+    every = named.crossJoin(best.where("best.s = 0").select("qid", least.alias("least"))).groupBy("qid").agg(F.count_if(at < F.col("least")).alias("every"))
+    found = best.join(counts, "qid", "left").join(every, "qid", "left").na.fill(0, ["ahead", "scored", "every"])
+    unscored = F.when(F.col("best.s") == 0, F.col("every") - F.col("scored")).otherwise(0)
+    ranked = found.select("qid", (1 + F.col("ahead") + unscored).alias("first_rank"))
+    return expected.select("qid").distinct().join(ranked, "qid", "left")
+
+
+def lexical_topk(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``top`` of all lexical scores, of which only those are made that can be among the best."""
+    index = lexical_index.build(rows)
+    return top(written(lexical_index.candidates(index, queries, k), "scores"), index.records, k, queries)
+
+
+def lexical_first_ranks(rows: DataFrame, queries: DataFrame, expected: DataFrame) -> DataFrame:
+    """``complete_first_ranks`` of the lexical scores: the scores of the expected records say what is to be counted."""
+    index = lexical_index.build(rows)
+    asked = lexical_index.ask(index, queries)
+    held = lexical_index.blocks(index, asked)
+    pairs = expected.select("qid", "evidence_id").distinct()
+    own = written(pairs.join(lexical_index.exact(index, asked, pairs), ["qid", "evidence_id"], "left").groupBy("qid").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("least")), "least")
+    return complete_first_ranks(written(lexical_index.at_least(index, asked, held, own), "scores"), index.records, expected)
 
 
 def evaluate(first: DataFrame) -> DataFrame:

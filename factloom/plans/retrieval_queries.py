@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom import storage
 from factloom.functions import keys, numbers, text
-from factloom.operators import reports, retrieval, segmentation
+from factloom.operators import containment, goldset, reports, retrieval, segmentation
 from factloom.session import spread, table
 
 SOURCES = ["src0", "src1", "src2", "src3"]
@@ -27,12 +28,12 @@ def _shown(ranked: DataFrame) -> DataFrame:
 
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, asked = _records(spark, sf_dir), _questions(spark, sf_dir)
-    return _shown(retrieval.top(retrieval.lexical_scores(rows, asked), rows, 10, asked))
+    return _shown(retrieval.lexical_topk(rows, asked, 10))
 
 
 def restricted_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, asked = retrieval.restrict(_records(spark, sf_dir), SOURCES), _questions(spark, sf_dir)
-    return _shown(retrieval.top(retrieval.lexical_scores(rows, asked), rows, 5, asked))
+    return _shown(retrieval.lexical_topk(rows, asked, 5))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,8 @@ def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _relevant(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    return rows.join(asked.select("qid", F.col("text").alias("passage")), F.contains(F.col("text"), F.col("passage"))).select("qid", "evidence_id")
+    found = containment.containing(rows.select(F.col("evidence_id").alias("text_id"), "text"), asked.select(F.col("qid").alias("passage_id"), F.col("text").alias("passage")))
+    return found.select(F.col("passage_id").alias("qid"), F.col("text_id").alias("evidence_id"))
 
 
 def _measures(first: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as questions; documents that contain the passage are relevant.
     The lexical leg alone, over its complete ranking."""
     rows, asked = _records(spark, sf_dir), _questions(spark, sf_dir)
-    return _measures(retrieval.complete_first_ranks(retrieval.lexical_scores(rows, asked), rows, _relevant(rows, asked)))
+    return _measures(retrieval.lexical_first_ranks(rows, asked, storage.written(_relevant(rows, asked), "relevant")))
 
 
 def hybrid_retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,15 +76,22 @@ def hybrid_retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir).select("block_id", "vector")
     rows = _records(spark, sf_dir).join(vectors, "block_id", "left")
     asked = _questions(spark, sf_dir)
-    relevant = _relevant(rows, asked)
+    relevant = storage.written(_relevant(rows, asked), "relevant")
     asked = asked.join(relevant.select("qid").distinct(), "qid", "left_semi")
     asked = asked.join(vectors, F.col("qid").cast("string") == F.col("block_id"), "left").select("qid", "text", "vector")
     both, words = asked.where("vector IS NOT NULL"), asked.where("vector IS NULL")
     first = retrieval.first_ranks(retrieval.hybrid(rows, both, None), relevant.join(both.select("qid"), "qid", "left_semi"))
-    rest = retrieval.complete_first_ranks(retrieval.lexical_scores(rows, words), rows, relevant.join(words.select("qid"), "qid", "left_semi"))
+    rest = retrieval.lexical_first_ranks(rows, words, relevant.join(words.select("qid"), "qid", "left_semi"))
     return _measures(first.unionByName(rest))
 
 
+def passage_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as held-out values: which documents have them, or name their ids."""
+    gold = table(spark, sf_dir, "benchmark").select(F.format_string("PG-V01-S001-%03d", "item_id").alias("annotation_id"), F.lit("held_out").alias("split"), F.col("text").alias("raw_value"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("document"), "text")
+    return goldset.leaks(gold, docs)
+
+
 def retrieval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).select("evidence_id", "source_id", "block_id", F.length("text").cast("long").alias("n_chars"))
 
@@ -174,7 +183,7 @@ _ALL = "SELECT source || ':' || doc_id AS evidence_id, source AS source_id, CAST
 _SOME = _ALL + " AND source IN (" + ", ".join(f"'{s}'" for s in SOURCES) + ")"
 _COSINE = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[])) * list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))"
 
-QUERIES = {f.__name__: f for f in (lexical_topk, restricted_lexical_topk, dense_topk, hybrid_rrf_topk, retrieval_eval, hybrid_retrieval_eval, retrieval_records, content_hash, exact_duplicates, keep_first_documents, line_offsets, statements, page_audit, conversation_blocks, thread_summary, embedding_norms, comparable_text)}
+QUERIES = {f.__name__: f for f in (lexical_topk, restricted_lexical_topk, dense_topk, hybrid_rrf_topk, retrieval_eval, hybrid_retrieval_eval, passage_leaks, retrieval_records, content_hash, exact_duplicates, keep_first_documents, line_offsets, statements, page_audit, conversation_blocks, thread_summary, embedding_norms, comparable_text)}
 
 ORACLES = {
     "lexical_topk": _lexical(_ALL, 10),
@@ -228,6 +237,9 @@ ORACLES = {
         best AS (SELECT qid, min(rank) AS r FROM ranked JOIN rel USING (qid, evidence_id) GROUP BY 1)
         SELECT count(*) AS questions, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_at_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0 END), 6) AS hit_at_3,
                round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS hit_at_5, round(avg(1.0 / r), 6) AS mrr FROM best""",
+    "passage_leaks": """
+        SELECT 'PG-V01-S001-' || lpad(CAST(item_id AS VARCHAR), 3, '0') AS annotation_id, doc_id AS document, 'raw_value' AS what FROM documents d JOIN benchmark b ON length(b.text) >= 40 AND contains(d.text, b.text)
+        UNION ALL SELECT 'PG-V01-S001-' || lpad(CAST(item_id AS VARCHAR), 3, '0'), doc_id, 'annotation_id' FROM documents d JOIN benchmark b ON contains(d.text, 'PG-V01-S001-' || lpad(CAST(item_id AS VARCHAR), 3, '0'))""",
     "retrieval_records": f"SELECT evidence_id, source_id, block_id, length(text) AS n_chars FROM ({_ALL})",
     "content_hash": "SELECT doc_id, upper(sha256(text)) AS sha256, 'DOC-' || upper(source) || '-' || doc_id AS document_id, 'DOC-' || upper(source) || '-' || doc_id || '-B0001' AS block_id FROM documents",
     "exact_duplicates": "SELECT sha256(text) AS sha256, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",

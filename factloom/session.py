@@ -37,3 +37,9 @@ def spread(rows: DataFrame) -> DataFrame:
     costs far more than moving a small table. Tables in enough pieces, as large ones are, stay as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by keys in as many partitions as shuffles have, which adaptive execution leaves as they are: for
+    steps whose work is large for the size of their rows."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
