@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import keys, numbers, text
-from factloom.operators import matching
+from factloom.operators import matching, nearest
 
 # Fixed values.
 AMBIGUOUS_METRIC = "ambiguous_metric_value_relationship"
@@ -66,12 +66,13 @@ def review_packet(cases: DataFrame, facts: DataFrame) -> DataFrame:
 def nearest_in_block(gold: DataFrame, facts: DataFrame) -> DataFrame:
     """For each annotation the fact of its source, predicate and evidence block with the fewest
     differences, ties by id; none: an empty list of differences."""
-    c = matching.keyed(facts).select("source_id", "predicate", "candidate_id", F.explode("block_ids").alias("_block"), "_subject", "subject_type", "value_type", "_value", F.col("qualifiers").alias("_cq"), F.col("subject_text").alias("closest_subject"))
-    g = matching.keyed(gold).select("source_id", "predicate", "annotation_id", F.col("evidence_block_id").alias("_block"), *[F.col(x).alias(y) for x, y in (("_subject", "_gsubject"), ("subject_type", "_gsubject_type"), ("value_type", "_gvalue_type"), ("_value", "_gvalue"), ("qualifiers", "_gq"))])
-    rows = g.join(c, ["source_id", "predicate", "_block"], "left").withColumn("mismatch_fields", F.when(F.col("candidate_id").isNotNull(), matching._differences()).otherwise(F.array().cast("array<string>")))
+    c, g = matching.keyed(facts), matching.keyed(gold)
+    cited = c.select("source_id", "predicate", "candidate_id", F.explode(F.array_distinct("block_ids")).alias("_block"), *nearest.FIELDS, "qualifiers")
+    pairs = nearest.few_nearest(cited, g.withColumnRenamed("evidence_block_id", "_block"), ["source_id", "predicate", "_block"], 1)
+    rows = matching.facts_with(pairs, c, g).withColumn("mismatch_fields", F.when(F.col("candidate_id").isNotNull(), matching._differences()).otherwise(F.array().cast("array<string>")))
     order = Window.partitionBy("annotation_id").orderBy(F.size("mismatch_fields"), "candidate_id")
     first = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return first.select("annotation_id", F.col("candidate_id").alias("closest_candidate_id"), "closest_subject", "mismatch_fields")
+    return first.select("annotation_id", F.col("candidate_id").alias("closest_candidate_id"), F.col("subject_text").alias("closest_subject"), "mismatch_fields")
 
 
 def pair_reasons(rows: DataFrame) -> DataFrame:
@@ -92,11 +93,9 @@ def pair_reasons(rows: DataFrame) -> DataFrame:
 
 def closest_by_score(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     """For each unmatched annotation all candidates of its source and predicate that agree in the most respects."""
-    c = matching.keyed(candidates).select("source_id", "predicate", "candidate_id", "_subject", "subject_type", "value_type", "_value", F.col("qualifiers").alias("_cq"))
-    g = matching.keyed(gold).select("source_id", "predicate", "annotation_id", *[F.col(x).alias(y) for x, y in (("_subject", "_gsubject"), ("subject_type", "_gsubject_type"), ("value_type", "_gvalue_type"), ("_value", "_gvalue"), ("qualifiers", "_gq"))])
-    rows = pair_reasons(g.join(c, ["source_id", "predicate"]))
-    best = rows.withColumn("_best", F.max("score").over(Window.partitionBy("annotation_id"))).where("score = _best")
-    return best.select("annotation_id", "candidate_id", "score", "reasons")
+    c, g = matching.keyed(candidates), matching.keyed(gold)
+    rows = pair_reasons(matching.facts_with(nearest.all_nearest(c, g, ["source_id", "predicate"]), c, g).where("candidate_id IS NOT NULL"))
+    return rows.select("annotation_id", "candidate_id", "score", "reasons")
 
 
 def trace_with_matches(trace: DataFrame, matches: DataFrame, key: str = "candidate_id") -> DataFrame:

@@ -7,11 +7,12 @@ candidate_id, gold has annotation_id.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import keys, numbers, text
+from factloom.operators import greedy, nearest
+from factloom.storage import written
 
 _BASE = ["source_id", "_subject", "subject_type", "predicate", "value_type"]
 
@@ -32,35 +33,14 @@ def pairs(candidates: DataFrame, gold: DataFrame, strict: bool) -> DataFrame:
 
 def strict_matches(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     """One-to-one pairs: gold groups of equal qualifiers take candidates in the order of their
-    keys, each the k-th of those left for its k-th annotation.
-
-    Base keys that have one gold group are paired by ordinals alone; only keys whose groups
-    share candidates are walked in order, inside one group of one base key.
-    """
+    keys, each the k-th of those left for its k-th annotation. That is a greedy walk over the
+    pairs in order of group, annotation and candidate."""
     on = [*_BASE, "_value"]
-    found = pairs(candidates, gold, strict=True)
-    groups = found.groupBy(*on).agg(F.count_distinct("_group").alias("_groups"))
-    found = found.join(groups, on)
-    simple = found.where("_groups = 1")
-    nth = lambda c: F.dense_rank().over(Window.partitionBy(*on).orderBy(c))
-    simple = simple.withColumns({"_c": nth("candidate_id"), "_g": nth("annotation_id")}).where("_c = _g")
-    columns = ["source_id", "candidate_id", "annotation_id", "predicate"]
-    schema = "source_id string, candidate_id string, annotation_id string, predicate string, extra array<string>"
     extras = F.array_sort(F.array_except(F.map_keys("_cq"), F.map_keys("_gq"))).alias("extra")
-
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        out = []
-        for _, group in sorted(pdf.groupby("_group"), key=lambda x: x[0]):
-            free = sorted(set(group["candidate_id"]) - used)
-            for candidate, annotation in zip(free, sorted(set(group["annotation_id"])), strict=False):
-                used.add(candidate)
-                row = group[(group["candidate_id"] == candidate) & (group["annotation_id"] == annotation)].iloc[0]
-                out.append((row["source_id"], candidate, annotation, row["predicate"], list(row["extra"])))
-        return pd.DataFrame(out, columns=[*columns, "extra"])
-
-    shared = found.where("_groups > 1").select(*on, "candidate_id", "annotation_id", "_group", extras)
-    return simple.select(*columns, extras).unionByName(shared.groupBy(*on).applyInPandas(walk, schema))
+    found = written(pairs(candidates, gold, strict=True).select(F.struct(*on).alias("k"), F.struct("_group", "annotation_id").alias("l"), F.col("candidate_id").alias("r"), extras), "strict")
+    kept = greedy.one_to_one(found.select("k", F.lit(0).alias("t"), "l", "r"))
+    rows = kept.join(found.dropDuplicates(["k", "l", "r"]), ["k", "l", "r"])
+    return rows.select("k.source_id", F.col("r").alias("candidate_id"), "l.annotation_id", "k.predicate", "extra")
 
 
 def with_evidence_checks(matches: DataFrame, cited: DataFrame, gold: DataFrame) -> DataFrame:
@@ -81,29 +61,17 @@ def with_evidence_checks(matches: DataFrame, cited: DataFrame, gold: DataFrame)
 def value_alignment(candidates: DataFrame, gold: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """Greedy one-to-one pairs without the value in the key: pairs whose evidence block agrees
     first, then those of equal raw value, then by ids. ``blocks``: (candidate_id, annotation_id)
-    of pairs with an evidence block in common. Base keys are independent groups."""
+    of pairs with an evidence block in common."""
     found = pairs(candidates, gold, strict=False)
     found = found.withColumn("_raw", text.comparable(F.col("_craw")) == text.comparable(F.col("_graw"))).withColumn("normalized_value_match", F.col("_cvalue") == F.col("_gvalue"))
     if blocks is not None:
         found = found.join(blocks.select("candidate_id", "annotation_id", F.lit(True).alias("_block")).distinct(), ["candidate_id", "annotation_id"], "left")
     else:
         found = found.withColumn("_block", F.lit(None).cast("boolean"))
-    found = found.withColumn("_block", F.coalesce("_block", F.lit(False))).select(*_BASE, "candidate_id", "annotation_id", "_block", "_raw", "normalized_value_match")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_block", "_raw", "candidate_id", "annotation_id"], ascending=[False, False, True, True])
-        candidates_, annotations, kept = set(), set(), []
-        for i, c, a in zip(pdf.index, pdf["candidate_id"], pdf["annotation_id"], strict=True):
-            if c not in candidates_ and a not in annotations:
-                candidates_.add(c), annotations.add(a), kept.append(i)
-        return pdf.loc[kept, ["source_id", "candidate_id", "annotation_id", "predicate", "normalized_value_match"]]
-
-    columns = ["source_id", "candidate_id", "annotation_id", "predicate", "normalized_value_match"]
-    sizes = found.groupBy(*_BASE).agg(F.count("*").alias("_pairs"))
-    sized = found.join(sizes, _BASE)
-    # a key with one pair has nothing to choose from and stays in the JVM
-    chosen = sized.where("_pairs > 1").drop("_pairs").groupBy(*_BASE).applyInPandas(greedy, "source_id string, candidate_id string, annotation_id string, predicate string, normalized_value_match boolean")
-    return sized.where("_pairs = 1").select(*columns).unionByName(chosen)
+    other = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), 0).otherwise(1)
+    found = written(found.select(F.struct(*_BASE).alias("k"), (2 * other("_block") + other("_raw")).alias("t"), F.col("candidate_id").alias("l"), F.col("annotation_id").alias("r"), "normalized_value_match"), "aligned")
+    rows = greedy.one_to_one(found.drop("normalized_value_match")).join(found.drop("t").dropDuplicates(["k", "l", "r"]), ["k", "l", "r"])
+    return rows.select("k.source_id", F.col("l").alias("candidate_id"), F.col("r").alias("annotation_id"), "k.predicate", "normalized_value_match")
 
 
 def predicate_counts(candidates: DataFrame, gold: DataFrame, matches: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -141,12 +109,19 @@ def _differences() -> Column:
     return F.array_compact(F.array(*[F.when(t, n) for t, n in zip(tests, MISMATCHES, strict=True)]))
 
 
+def facts_with(pairs: DataFrame, candidates: DataFrame, gold: DataFrame) -> DataFrame:
+    """Pairs (annotation_id, candidate_id) with the comparison forms of both (keyed); all annotations stay."""
+    c = candidates.select("candidate_id", "_subject", "subject_type", "value_type", "_value", F.col("qualifiers").alias("_cq"), "subject_text")
+    g = gold.select("annotation_id", *[F.col(x).alias(y) for x, y in (("_subject", "_gsubject"), ("subject_type", "_gsubject_type"), ("value_type", "_gvalue_type"), ("_value", "_gvalue"), ("qualifiers", "_gq"))])
+    return g.join(pairs, "annotation_id", "left").join(c, "candidate_id", "left")
+
+
 def closest(candidates: DataFrame, gold: DataFrame, most: int = 3) -> DataFrame:
     """For each annotation the ``most`` candidates of its source and predicate with the fewest
     differences, ties by id; with the reasons and the failure category of the best."""
-    c = keyed(candidates).select("source_id", "predicate", "candidate_id", "_subject", "subject_type", "value_type", "_value", F.col("qualifiers").alias("_cq"))
-    g = keyed(gold).select("source_id", "predicate", "annotation_id", *[F.col(x).alias(y) for x, y in (("_subject", "_gsubject"), ("subject_type", "_gsubject_type"), ("value_type", "_gvalue_type"), ("_value", "_gvalue"), ("qualifiers", "_gq"))])
-    rows = g.join(c, ["source_id", "predicate"], "left").withColumn("reasons", F.when(F.col("candidate_id").isNotNull(), _differences()))
+    c, g = keyed(candidates), keyed(gold)
+    rows = facts_with(nearest.few_nearest(c, g, ["source_id", "predicate"], most), c, g)
+    rows = rows.withColumn("reasons", F.when(F.col("candidate_id").isNotNull(), _differences()))
     rows = rows.withColumn("mismatches", F.size("reasons"))
     order = Window.partitionBy("annotation_id").orderBy("mismatches", "candidate_id")
     ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import keys
+from factloom.operators import ordinals
+from factloom.storage import written
 
 MOST_BYTES = 200_000
 
@@ -20,27 +22,36 @@ def block_identity(blocks: DataFrame) -> DataFrame:
 
 def pack_blocks(blocks: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """``request`` numbers blocks of a source greedily in sequence, so that each request has at
-    most ``most`` bytes of text; ``oversize`` marks a block that alone has more.
+    most ``most`` bytes of text; ``oversize`` marks a block that alone has more. A block without text has 0 bytes.
 
-    Packing is sequential within a source; a source is streamed in order, never held whole.
+    Nothing walks through a source: running sums are made over ranges of its blocks; where a request ends that
+    would begin at a block is looked up in them, for all blocks in one sort; and the blocks
+    where requests do begin are found from the first one by jumps of 1, 2, 4, ... requests.
     """
-    rows = blocks.select("source_id", "block_id", "sequence", F.octet_length("text").cast("long").alias("bytes"))
-    ordered = rows.repartition("source_id").sortWithinPartitions("source_id", "sequence", "block_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, request, used = None, 0, 0
-        for pdf in batches:
-            numbers = []
-            for s, size in zip(pdf["source_id"], pdf["bytes"].fillna(0), strict=True):
-                if s != source:
-                    source, request, used = s, 1, 0
-                elif used and used + size > most:
-                    request, used = request + 1, 0
-                used += size
-                numbers.append(request)
-            yield pdf.assign(request=numbers, oversize=pdf["bytes"].fillna(0) > most)
-
-    return ordered.mapInPandas(run, "source_id string, block_id string, sequence long, bytes long, request int, oversize boolean")
+    rows = blocks.select(F.struct("source_id").alias("source_id"), "block_id", F.col("sequence").cast("long").alias("sequence"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    placed = written(ordinals.running_sums(rows, ["source_id"], [F.col("sequence"), F.col("block_id")], "bytes", "at", "upto"), "blocks")
+    before = F.col("upto") - F.col("bytes")
+    # among sums and bounds in order, what stands before the bound of block i are i bounds and the blocks that fit
+    marks = placed.select("source_id", F.col("upto").alias("sum"), F.lit(0).alias("bound"), "at").unionByName(placed.select("source_id", (before + most).alias("sum"), F.lit(1).alias("bound"), "at"))
+    merged = ordinals.positions(marks, ["source_id"], [F.col("sum"), F.col("bound"), F.col("at")], "place").where("bound = 1").select("source_id", "at", (F.col("place") - F.col("at") + 1).alias("beyond"))
+    fits = placed.select("source_id", F.col("at").alias("beyond"), F.col("upto").alias("_upto"), F.col("bytes").alias("_bytes"))
+    # blocks without bytes go with the large block behind them
+    alone = (F.col("_upto") - F.col("_bytes") - before) == 0
+    ends = placed.join(merged, ["source_id", "at"]).join(fits, ["source_id", "beyond"], "left").select("source_id", "at", (F.col("beyond") + F.when(F.coalesce(alone, F.lit(False)), 1).otherwise(0)).alias("next"))
+    ends = written(ends, "ends")
+    starts = written(ends.where("at = 1").select("source_id", "at", F.lit(1).alias("request")), "starts")
+    jump, size = ends, 1
+    while True:
+        landed = starts.join(jump, ["source_id", "at"]).select("source_id", F.col("next").alias("at"), (F.col("request") + size).alias("request"))
+        landed = written(landed.join(ends.select("source_id", "at"), ["source_id", "at"], "left_semi"), "starts")
+        if landed.isEmpty():
+            break
+        starts = starts.unionByName(landed)
+        twice = jump.join(jump.select("source_id", F.col("at").alias("next"), F.col("next").alias("_next")), ["source_id", "next"])
+        jump, size = written(twice.select("source_id", "at", F.col("_next").alias("next")), "jumps"), 2 * size
+    spans = starts.join(ends, ["source_id", "at"]).select("source_id", "request", F.explode(F.sequence("at", F.col("next") - 1)).alias("at"))
+    found = placed.join(spans, ["source_id", "at"])
+    return found.select("source_id.source_id", "block_id", "sequence", "bytes", "request", (F.col("bytes") > most).alias("oversize"))
 
 
 def requests(blocks: DataFrame, packed: DataFrame, instructions: str, contract: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
-from factloom.operators import lexical_index
+from factloom.operators import lexical_index, ordinals
 from factloom.storage import written
 
 DIGITS = lexical_index.DIGITS
@@ -98,35 +98,11 @@ def of_question(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.withColumn("_piece", F.pmod(F.xxhash64("evidence_id"), F.lit(PIECES)).cast("int")).join(pieces, ["qid", "_piece"]).drop("_piece")
 
 
-def positions(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """The place of each row among those of its qid, from 1, without a window over a question's rows.
-
-    Rows are dealt out by ranges of (qid, order) and sorted in each task, which gives each a place in its
-    partition. The partitions' sizes, a number each, say where a partition begins among all rows, and
-    the least place of a question where the question does; the difference is joined back by partition
-    and question.
-    """
-    spark = rows.sparkSession
-    columns = rows.columns
-    dealt = rows.repartitionByRange(F.col("qid"), *order).sortWithinPartitions("qid", *order)
-    number = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
-    dealt = written(dealt.select("*", F.shiftright(number, 33).alias("_part"), (number.bitwiseAND(F.lit((1 << 33) - 1))).alias("_at")), "positions")
-    sizes, before, total = dealt.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect(), [], 0
-    for row in sizes:
-        before.append((row["_part"], total))
-        total += row["n"]
-    offsets = spark.createDataFrame(before, "_part long, _before long")
-    first = dealt.groupBy("_part", "qid").agg(F.min("_at").alias("_first")).join(offsets, "_part")
-    begins = first.groupBy("qid").agg(F.min(F.col("_first") + F.col("_before")).alias("_begin"))
-    shifts = first.join(begins, "qid").select("_part", "qid", (F.col("_before") - F.col("_begin") + 1).alias("_shift"))
-    return dealt.join(shifts, ["_part", "qid"]).select(*columns, (F.col("_at") + F.col("_shift")).alias(name))
-
-
 def full_ranks(scores: DataFrame, rows: DataFrame, queries: DataFrame, name: str) -> DataFrame:
     """Ranks of all records for each query; records without a score count as 0."""
     every = rows.select("evidence_id", "source_id", "block_id").crossJoin(queries.select("qid"))
     joined = every.join(scores, ["qid", "evidence_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return positions(joined, _order(), name).select("qid", "evidence_id", "source_id", "block_id", name)
+    return ordinals.positions(joined, ["qid"], _order(), name).select("qid", "evidence_id", "source_id", "block_id", name)
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, k: int | None = 10, constant: int = RRF_K) -> DataFrame:
@@ -135,7 +111,7 @@ def fuse(lexical: DataFrame, dense: DataFrame, k: int | None = 10, constant: int
     score = 1 / (F.lit(constant) + F.col("lexical_rank")) + 1 / (F.lit(constant) + F.col("dense_rank"))
     scored = both.withColumn("score", F.round(score, 12))
     if k is None:
-        return positions(scored, _order(), "rank").select("qid", "rank", "evidence_id", "score")
+        return ordinals.positions(scored, ["qid"], _order(), "rank").select("qid", "rank", "evidence_id", "score")
     # limited in each task before the exchange
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*_order()))).where(F.col("rank") <= k)
     return ranked.select("qid", "rank", "evidence_id", "score")

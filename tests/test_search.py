@@ -2,7 +2,7 @@ import random
 import re
 import sys
 
-from factloom.operators import containment, goldset, lexical_index, retrieval
+from factloom.operators import containment, goldset, lexical_index, ordinals, retrieval
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -70,9 +70,9 @@ def test_positions_equal_a_window(spark):
     rows = spark.range(3000).select((F.col("id") % 7).alias("qid"), F.concat(F.lit("e"), "id").alias("evidence_id"), F.pmod(F.xxhash64("id"), F.lit(20)).alias("score"), F.lit("s").alias("source_id"), F.col("id").cast("string").alias("block_id"))
     rows = rows.unionByName(rows.limit(1).withColumn("qid", F.lit(99)))
     want = rows.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(*retrieval._order())))
-    got = retrieval.positions(rows, retrieval._order(), "n")
+    got = ordinals.positions(rows, ["qid"], retrieval._order(), "n")
     assert got.exceptAll(want.select(got.columns).withColumn("n", F.col("n").cast("long"))).count() == 0 and got.count() == rows.count()
-    assert retrieval.positions(rows.limit(0), retrieval._order(), "n").count() == 0
+    assert ordinals.positions(rows.limit(0), ["qid"], retrieval._order(), "n").count() == 0
 
 
 def test_complete_ranks_use_no_window_over_a_question(spark):
