@@ -16,15 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.functions.frames import settled
 from factloom.session import dealt
 from factloom.storage import written
 
 #: Score digits; scores are rounded, so that the order of partial sums cannot swap near-ties.
 DIGITS = 10
 #: Postings of a block, at most about.
-BLOCK = 4096
-#: Blocks of a term differ by a factor of two in impact for so many steps.
-STEPS = 4
+BLOCK = 2048
+#: So many levels of impact to a factor of two.
+STEPS = 2
 #: Records looked at first for each of the best ones asked for, to learn what these score at least.
 FIRST = 6
 #: Part of a score that is split into limits. What is left over a record must reach with the blocks that are read.
@@ -47,15 +48,21 @@ def _counts(records: DataFrame) -> DataFrame:
     return records.select("evidence_id", F.explode("counts").alias("c")).select("evidence_id", "c.term", "c.tf")
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """Records with the counts of their terms, made inside each text: runs of its sorted terms."""
+    rows = settled(rows, {"_sorted": F.sort_array(text.terms(F.col("text")))})
+    size = F.size("_sorted")
+    begins = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)))
+    rows = settled(rows, {"_begins": F.when(size > 0, begins).otherwise(F.array().cast("array<int>"))})
+    run = lambda i, k: F.struct(F.get("_sorted", i).alias("term"), (F.coalesce(F.get("_begins", k + 1), size) - i).alias("tf"))
+    return rows.select("evidence_id", "source_id", "block_id", F.transform("_begins", run).alias("counts"))
+
+
 def build(rows: DataFrame) -> Index:
-    """The index of records (evidence_id, source_id, block_id, text). One exchange of the texts counts the terms of each record
-    in place; only (term, n) rows, summed in each task, are exchanged for the vocabulary."""
-    key = ["evidence_id", "source_id", "block_id"]
-    found = dealt(rows.select(*key, "text"), "evidence_id").select(*key, F.explode_outer(text.terms(F.col("text"))).alias("term"))
-    tf = found.groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    # records without a term stay, for they count
-    packed = tf.groupBy(*key).agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("counts"))
-    records = written(packed, "records")
+    """The index of records (evidence_id, source_id, block_id, text), whose ids name one row each. Nothing of the
+    texts is exchanged; (term, n) rows, summed in each task, are for the vocabulary, and the postings once
+    for the norms, unless the vocabulary is small enough for Spark to broadcast."""
+    records = written(counted(rows), "records")
     n = records.count()
     terms = written(_counts(records).groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1), "terms")
     weight = F.col("tf") * F.col("idf")
@@ -114,13 +121,18 @@ def kept_heads(split: DataFrame, held: DataFrame) -> DataFrame:
 
 def at_least(index: Index, asked: DataFrame, held: DataFrame, least: DataFrame) -> DataFrame:
     """(qid, evidence_id, score) of all records that share a term with a question and have at least its score
-    ``least`` (qid, least); questions without one are not answered."""
-    kept = dealt(kept_heads(limits(asked, held, least), held), "term", "level", "part")
-    read = kept.join(held.select("term", "level", "part", "postings"), ["term", "level", "part"])
-    read = read.select("qid", "y", "limit", "rest", "least", F.explode("postings").alias("p"))
-    found = read.groupBy("qid", F.col("p.evidence_id").alias("evidence_id")).agg(F.sum(F.col("y") * F.col("p.x")).alias("s"), F.sum("limit").alias("own"), F.max("rest").alias("rest"), F.max("least").alias("least"))
-    # the terms whose blocks were not read give less than their limits
-    able = found.where(F.col("s") + F.col("rest") - F.col("own") >= F.col("least") - SLACK).select("qid", "evidence_id")
+    ``least`` (qid, least); questions without one are not answered.
+
+    A block is read once for all questions that keep it. All blocks of a record have one ``part``, so that
+    records are summed where the blocks of their part are, and only what may be good enough goes on.
+    """
+    need = F.col("least") - F.col("rest")  # the terms whose blocks are not read give less than their limits
+    by = F.collect_list(F.struct("qid", "y", "limit", need.alias("need"))).alias("by")
+    kept = kept_heads(limits(asked, held, least), held).groupBy("term", "level", "part").agg(by)
+    read = dealt(held.select("term", "level", "part", "postings").join(kept, ["term", "level", "part"]), "part")
+    each = read.select("part", "by", F.explode("postings").alias("p")).select("part", "p", F.explode("by").alias("q"))
+    found = each.groupBy("part", F.col("q.qid").alias("qid"), F.col("p.evidence_id").alias("evidence_id")).agg(F.sum(F.col("q.y") * F.col("p.x") - F.col("q.limit")).alias("over"), F.max("q.need").alias("need"))
+    able = found.where(F.col("over") >= F.col("need") - SLACK).select("qid", "evidence_id")
     return exact(index, asked, able).join(least, "qid").where(F.col("score") >= F.col("least") - SLACK).drop("least")
 
 
