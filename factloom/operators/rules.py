@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import frames, keys, numbers, text
 from factloom.operators import segmentation
+from factloom.storage import written
 
 VERSION = "rules-v0.1"
 MOST_EVIDENCE = 240
@@ -287,6 +288,8 @@ def outcomes(statements: DataFrame, predicates: list[str] | None = None, matcher
     chosen, inventory = matchers or MATCHERS, inventory or RULES
     found = {p: chosen[p]() for p in (predicates or chosen)}
     rows = frames.exploded(statements, F.array(*[F.when(m.when, p) for p, m in found.items()]), "predicate")
+    if len(found) > 1:  # so many patterns do not fit into one compiled stage
+        rows = written(rows, "matched")
     rows = frames.settled(rows, {
         "_found": _by_rule(found, lambda m: m.subject, "string"),
         "raw_value": _by_rule(found, lambda m: m.raw, "string"),
@@ -311,6 +314,8 @@ def outcomes(statements: DataFrame, predicates: list[str] | None = None, matcher
         "evidence_start": F.when(F.col("_from").isNotNull(), F.col("_from")).when(own, F.col("start")).otherwise(F.col("context_start")).cast("int"),
         "value_text": F.when(F.col("value_type").isin("string", "status"), text.collapse(F.col("raw_value"))),
     })
+    if len(found) > 1:
+        rows = written(rows, "found")
     kinds = _by_rule(found, lambda m: m.kind, "string")
     types = None
     for name in found:
@@ -379,6 +384,8 @@ def warnings(rows: DataFrame) -> DataFrame:
 
 
 def extract(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Facts and warnings of blocks."""
-    rows = candidates(outcomes(segmentation.statements(blocks)), blocks)
+    """Facts and warnings of blocks. Statements and what the rules make of them are written, so that each
+    pattern is matched once, whatever reads the results."""
+    statements = written(segmentation.statements(blocks), "statements")
+    rows = written(candidates(outcomes(statements), blocks), "outcomes")
     return facts(rows), warnings(rows)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from factloom.functions import keys, numbers, text
 from factloom.operators import registry, rules, segmentation
 from factloom.operators.rules import Match, _count, _group, _has, _t
+from factloom.storage import written
 
 VERSION = "rules-v0.2"
 _I = "(?iuU)"
@@ -231,11 +232,12 @@ def outcomes(statements: DataFrame, predicates: list[str] | None = None) -> Data
 def extract(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Facts and warnings. Of facts equal in source, subject, predicate, value and qualifiers the
     first by sequence, start and rule stays; then those that break their predicate's contract go."""
-    rows = rules.candidates(outcomes(segmentation.statements_v2(blocks)), blocks)
+    statements = written(segmentation.statements_v2(blocks), "statements")
+    rows = written(rules.candidates(outcomes(statements), blocks), "outcomes")
     made = rules.facts(rows, VERSION)
     same = Window.partitionBy("source_id", "_subject", "subject_type", "predicate", "value_key", "_qualifiers").orderBy("sequence", "start", "priority", "subject_text", "candidate_id")
     made = made.withColumns({"_subject": text.comparable(F.col("subject_text")), "_qualifiers": keys.qualifier_key(F.col("qualifiers"))})
-    made = made.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n", "_subject", "_qualifiers")
+    made = written(made.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n", "_subject", "_qualifiers"), "facts")
     broken = registry.contract_violations(made).select("candidate_id").distinct()
     kept = made.join(broken, "candidate_id", "left_anti")
     dropped = made.join(broken, "candidate_id").select("source_id", F.concat_ws(":", F.lit("abstained_incompatible_predicate_contract"), "block_id", F.concat_ws("-", "start", "end"), "rule_id").alias("warning"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from factloom import schemas
 from factloom.functions import keys, numbers, text
 from factloom.operators import rules, rules_v2
+from factloom.storage import written
 
 VERSION = "rules-v0.3"
 _I = "(?iuU)"
@@ -106,13 +107,13 @@ def additions(blocks: DataFrame, titles: DataFrame) -> DataFrame:
     return rows.withColumn("_f", F.explode(F.array_compact(found))).select("source_id", "block_id", "sequence", "location_type", "location_value", "_f.*", F.lit(0.9).alias("confidence"), F.lit("supported").alias("evidence_status"), F.lit("not_required").alias("review_status"))
 
 
-def extract(blocks: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+def extract(blocks: DataFrame, titles: DataFrame, second: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Facts and warnings. Of facts equal in source, subject, predicate, value and qualifiers the
-    second engine's come first, then by sequence and id."""
-    before, warnings = rules_v2.extract(blocks)
+    second engine's come first, then by sequence and id. ``second``: its results, if they are there already."""
+    before, warnings = second or rules_v2.extract(blocks)
     rule = F.when(F.col("predicate") == "commitment", RULES["commitment"]).otherwise(RULES["other"])
     kept = before.where(keep_commitment()).withColumn("rule_id", rule)
-    new = additions(blocks, titles)
+    new = written(additions(blocks, titles), "additions")
     made = kept.select(*new.columns, F.lit(0).alias("_new")).unionByName(new.withColumn("_new", F.lit(1)))
     made = made.withColumns({"value_key": rules.value_of(), "_subject": F.lower(text.collapse(F.col("subject_text"))), "_qualifiers": keys.qualifier_key(F.col("qualifiers"))})
     made = made.withColumn("evidence_id", keys.stable_id("V03-EVID-", F.col("source_id"), F.col("block_id"), F.col("text_excerpt")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from factloom import schemas
 from factloom.functions import frames, keys, text
 from factloom.operators import rules, rules_v2, rules_v3
+from factloom.storage import written
 
 VERSION = "rules-v0.4"
 _I = "(?iuU)"
@@ -172,8 +173,10 @@ def whole_sentence(block: Column, excerpt: Column, raw: Column) -> Column:
 def extract(blocks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Facts, warnings and the trace of commitments: how each one's actor and value were made.
     ``documents``: source_id, title, authors array<string>, metadata map<string,string>."""
-    third, warnings = rules_v3.extract(blocks, documents.select("source_id", "title"))
-    second, _ = rules_v2.extract(blocks)
+    found = rules_v2.extract(blocks)
+    second = written(found[0], "second")
+    third, warnings = rules_v3.extract(blocks, documents.select("source_id", "title"), (second, found[1]))
+    third = written(third, "third")
     columns = ["source_id", "block_id", "sequence", "location_type", "location_value", "subject_text", "subject_type", "predicate", "raw_value", "value_type", "value_text", "value_number", "value_currency", "qualifiers", "confidence", "evidence_status", "review_status", "text_excerpt", "candidate_id"]
     texts = blocks.select("source_id", "block_id", F.col("text").alias("_block"))
     actors = trusted_actors(documents, blocks)
@@ -183,6 +186,7 @@ def extract(blocks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFra
     rest = kept.where("predicate <> 'commitment'")
     rows = _resolved(kept.where("predicate = 'commitment'").unionByName(lost).join(texts, ["source_id", "block_id"]).join(actors, "source_id", "left"))
     recovered = F.col("_status") == "recovered"
+    rows = written(rows, "resolved")
     rows = frames.settled(rows, {"_whole": F.when(recovered, whole_sentence(F.col("_block"), F.col("text_excerpt"), F.col("raw_value")))})
     found = F.call_function("instr", F.col("_whole"), F.col("raw_value"))
     rows = frames.settled(rows, {"_raw": F.when(recovered, text.collapse(F.substring(F.col("_whole"), found, F.length("_whole")))).otherwise(F.col("raw_value"))})
@@ -192,7 +196,7 @@ def extract(blocks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFra
     resolved = F.col("_first") & (F.col("_subject") != F.col("subject_text"))
     whole = F.col("_whole").isNotNull() & (F.length("_whole") <= rules.MOST_EVIDENCE) & (F.size(F.split("_raw", " ")) >= 3) & ~F.col("_raw").rlike(_I + CUT_OFF)
     reason = F.when(~(named | resolved), "actor_not_eligible_or_unresolved").when(~whole, "unsafe_or_ambiguous_parent_completion").when(~action_verb(F.col("_value")).isin(VERBS), "ineligible_action").when(F.col("_how") == "unsafe_wrapper_preserved", "unsafe_wrapper")
-    rows = frames.settled(rows, {"_rejected": F.when(recovered, reason)})
+    rows = written(frames.settled(rows, {"_rejected": F.when(recovered, reason)}), "commitments")
     good = rows.where("_rejected IS NULL")
     rule = F.when(recovered, RULES["recovered"]).when(F.col("_value") != F.col("value_text"), RULES["value"]).otherwise(RULES["actor"])
     made = good.select(*[{"subject_text": F.col("_subject"), "subject_type": F.col("_type"), "raw_value": F.col("_raw"), "value_text": F.col("_value"), "text_excerpt": F.coalesce("_whole", "text_excerpt")}.get(c, F.col(c)).alias(c) for c in columns], rule.alias("rule_id"), F.when(recovered, 2).otherwise(1).alias("_order"))
