@@ -67,6 +67,16 @@ def stretches(text: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, np.append(first[1:], len(part)) - 1
 
 
+def _tally(text: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text and partition that occur together, and how often."""
+    order = np.lexsort((part, text))
+    text, part = text[order], part[order]
+    new = np.ones(len(part), bool)
+    new[1:] = (part[1:] != part[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    return text[first], part[first], np.diff(np.append(first, len(part))).astype(np.int32)
+
+
 def suffix_tree(hashes: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array of word sequences and, for each of its entries, the longest common
     prefix in words with the entry before it (exact below ``depth``, at least ``depth`` beyond). ``left``: the
@@ -147,8 +157,9 @@ def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def _shared_partitions(texts: DataFrame, span: int, prefixes: tuple[int, ...], group: int) -> DataFrame:
     """For each text fingerprint the partitions that another text has too: structs (level,
-    part, large), where a large one has more than ``group`` stretches of different texts. Large partitions
-    of a level are split again at the next."""
+    part, large), where a large one has more than ``group`` stretches, of which copies of a text count once and
+    a text that passes through the partition several times counts each of them. Large partitions of a
+    level are split again at the next."""
     spark = texts.sparkSession
 
     def split(level: int):
@@ -162,22 +173,23 @@ def _shared_partitions(texts: DataFrame, span: int, prefixes: tuple[int, ...], g
                 flat, of = _lists(keys.field("above"))
                 kept = np.flatnonzero(_inside(above, text, flat.to_numpy().view(np.uint64), of))
                 first = kept[stretches(text[kept], part[kept])[0]] if len(kept) else kept
-            yield [_signed(part[first]), keys.field("fp").take(pa.array(text[first]))]
+            who, own, n = _tally(text[first], part[first])
+            yield [_signed(own), keys.field("fp").take(pa.array(who)), n]
 
         return run
 
     docs = texts.select(F.struct(F.col("_fp").alias("fp"), F.array().cast("array<bigint>").alias("above")).alias("_keys"), "_text")
     levels = []
     for level in range(len(prefixes)):
-        found = storage.written(arrow.map_columns(docs, "_keys", "_text", "part long, fp long", split(level)), "partitions")
-        sums = found.groupBy("part").agg(F.min("fp").alias("_a"), F.max("fp").alias("_b"), F.count("*").alias("_n")).where("_a <> _b")
+        found = storage.written(arrow.map_columns(docs, "_keys", "_text", "part long, fp long, n int", split(level)), "partitions")
+        sums = found.groupBy("part").agg(F.min("fp").alias("_a"), F.max("fp").alias("_b"), F.sum("n").alias("_n")).where("_a <> _b")
         # written, so that the joins with it have two plain exchanges and may split a hot partition
         sums = storage.written(sums.select("part", "_n"), "shared")
         big = sums.where(F.col("_n") > group)
         if big.isEmpty():
             shared = sums.select("part", F.lit(False).alias("large"))
-        else:  # copies of one text count once
-            several = found.join(big.select("part"), "part").distinct().groupBy("part").agg(F.count("*").alias("_m"))
+        else:  # copies of one text have the same stretches and count once
+            several = found.join(big.select("part"), "part").distinct().groupBy("part").agg(F.sum("n").alias("_m"))
             shared = storage.written(sums.join(several, "part", "left").select("part", F.coalesce(F.col("_m") > group, F.lit(False)).alias("large")), "large")
         own = storage.written(found.join(shared, "part").groupBy("fp").agg(F.collect_set(F.struct(F.lit(level).alias("level"), "part", "large")).alias("groups")), "groups")
         storage.release(spark, found)

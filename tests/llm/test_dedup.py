@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from factloom.llm import components, embedding_dedup, hnsw, line_dedup, minhash, substring_dedup, superminhash
 from factloom.llm.queries import op8_line_dedup
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -327,3 +328,21 @@ def test_rows_that_repeat_a_key_keep_their_vectors(spark):
     found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert len(found) == 6
     assert {r.vec_id: r.component_id for r in found}[2] == 1 and {r.vec_id: r.n_links for r in found}[4] == 0
+
+
+def test_no_task_holds_more_stretches_of_a_partition_than_stated(spark):
+    pick = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(70))
+    texts = [" ".join(f"{passage} u{t}x{k} " + " ".join(f"w{pick.randrange(10**6)}" for _ in range(60)) for k in range(50)) for t in range(8)]
+    texts += [texts[0]] * 3 + [" ".join(f"v{pick.randrange(10**6)}" for _ in range(200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base = df.select(F.col("doc_id").alias("key"), F.col("text").alias("_text"), F.xxhash64("text").alias("fp"))
+    group = 20
+    shared = substring_dedup._shared_partitions(base.select(F.col("fp").alias("_fp"), "_text"), 50, (20, 30, 40), group)
+    once = base.dropDuplicates(["fp"]).join(shared, "fp").select(F.struct("key", "fp", "groups").alias("_keys"), "_text")
+    rows = substring_dedup._stretch_rows(once, 50, (20, 30, 40))
+    held = rows.where("text IS NOT NULL").groupBy("part").count().agg(F.max("count")).first()[0]
+    assert (held or 0) <= group and rows.where("text IS NULL").count() > 0
+    found = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df, group=group).collect()}
+    whole = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df).collect()}
+    assert found == whole and found[0] == 0 and found[1] >= 50 * 70 and found[8] == len(texts[0].split())
