@@ -37,6 +37,10 @@ def fact_variant(row) -> dict:
     })
 
 
+#: The properties of a fact, all of which a reply must have.
+FACT_FIELDS = ["candidate_id", "subject_text", "subject_type", "predicate", "raw_value", "value_type", "normalized_value", "qualifiers", "evidence_ids", "confidence"]
+
+
 def output_schema(spark: SparkSession) -> dict:
     """The closed schema of a reply, with one variant of a fact for each predicate of the registry."""
     variants = [fact_variant(r) for r in registry.predicates(spark).orderBy("predicate").collect()]  # the registry is constant
@@ -78,6 +82,36 @@ def schema_fields(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "predicate string, field string, allowed string")
 
 
+def reply_problems(replies: DataFrame) -> DataFrame:
+    """(id, problem) of replies (id, reply: the JSON text of one fact) that the closed schema of their predicate
+    does not allow: what is missing, what is unknown, what is not among the values allowed, and what has another
+    type. A reply that is no object, or whose predicate is unknown, has that one problem."""
+    known = registry.predicates(replies.sparkSession).select("predicate", "subject_types", "value_types", "required", "optional")
+    read = lambda c: F.from_json(c, "map<string,string>")
+    rows = replies.select("id", F.try_parse_json("reply").alias("_v"), read(F.when(F.col("reply").rlike(r"\A\s*\{"), F.col("reply"))).alias("_own"))
+    rows = rows.withColumn("_own", F.when(F.col("_v").isNotNull(), F.col("_own")))
+    rows = rows.withColumns({"predicate": F.try_element_at("_own", F.lit("predicate")), "_q": read(F.try_element_at("_own", F.lit("qualifiers")))})
+    rows = rows.join(F.broadcast(known), "predicate", "left")  # the registry is constant
+    fields = F.array(*map(F.lit, FACT_FIELDS))
+    none = F.array().cast("array<string>")
+    given, allowed = F.map_keys("_own"), F.concat("required", "optional")
+    held = F.coalesce(F.map_keys("_q"), none)
+    list_of = lambda names, kind: F.transform(F.array_sort(names), lambda n: F.concat(F.lit(kind), n))
+    one = lambda test, name: F.when(F.coalesce(test, F.lit(False)), F.array(F.lit(name))).otherwise(none)
+    at = lambda name: F.try_element_at("_own", F.lit(name))
+    empty = F.filter("required", lambda q: F.map_contains_key("_q", q) & F.try_element_at("_q", q).isNull())
+    number = F.try_variant_get("_v", "$.confidence", "double")
+    found = F.concat(
+        list_of(F.array_except(fields, given), "missing:"), list_of(F.array_except(given, fields), "unknown:"),
+        one(F.array_contains(given, F.lit("subject_type")) & ~F.coalesce(F.array_contains("subject_types", at("subject_type")), F.lit(False)), "enum:subject_type"),
+        one(F.array_contains(given, F.lit("value_type")) & ~F.coalesce(F.array_contains("value_types", at("value_type")), F.lit(False)), "enum:value_type"),
+        one(F.array_contains(given, F.lit("confidence")) & (number.isNull() | F.schema_of_variant(F.variant_get("_v", "$.confidence", "variant")).eqNullSafe("STRING")), "type:confidence"),
+        F.when(F.array_contains(given, F.lit("qualifiers")), F.concat(list_of(F.array_except(allowed, held), "missing:qualifiers."), list_of(F.array_except(held, allowed), "unknown:qualifiers."), list_of(empty, "type:qualifiers."))).otherwise(none),
+    )
+    problems = F.when(F.col("_own").isNull(), F.array(F.lit("no_object"))).when(F.col("required").isNull(), F.array(F.lit("unknown_predicate"))).otherwise(found)
+    return rows.select("id", F.explode(problems).alias("problem"))
+
+
 # --------------------------------------------------------------- prompts and requests
 
 

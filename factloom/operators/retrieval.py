@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
-from factloom.operators import lexical_index, ordinals
+from factloom.operators import dense_index, lexical_index, ordinals
 from factloom.storage import written
 
 DIGITS = lexical_index.DIGITS
@@ -150,6 +150,12 @@ def complete_first_ranks(scores: DataFrame, rows: DataFrame, expected: DataFrame
     return expected.select("qid").distinct().join(ranked, "qid", "left")
 
 
+def dense_topk(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``top`` of all cosines, of which only those are made that can be among the best."""
+    found = dense_index.candidates(dense_index.build(rows), queries, k)
+    return top(written(found, "scores"), rows, k)
+
+
 def lexical_topk(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``top`` of all lexical scores, of which only those are made that can be among the best."""
     index = lexical_index.build(rows)

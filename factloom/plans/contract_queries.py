@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import keys, numbers, text
+from factloom.functions import keys, metadata, numbers, text
 from factloom.operators import agents, comparison, evaluation, goldset, manifests, matching, outputs, registry, reports, validation
 from factloom.plans.rule_queries import _facts
 from factloom.session import table
@@ -362,7 +362,30 @@ def attempt_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predicate_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifests.schema_fields(spark)
+    """A reply of one fact for each order, checked against the closed schema of its predicate; every eighth order's is as it should be,
+    the others have one or two faults."""
+    o = table(spark, sf_dir, "orders")
+    n, m = _key(), _key() % 8
+    quoted = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    fields = {
+        "candidate_id": quoted(n), "subject_text": quoted(_text("Order ", n)), "subject_type": F.when(m == 1, F.lit('"risk"')).otherwise(F.lit('"metric"')), "predicate": F.when(m == 2, F.lit('"price"')).otherwise(F.lit('"metric"')),
+        "raw_value": quoted(F.floor("o_totalprice")), "value_type": F.when(m == 3, F.lit('"date"')).otherwise(F.lit('"number"')), "normalized_value": quoted(F.floor("o_totalprice")),
+        "qualifiers": F.when(m == 4, F.lit('{"unit": "GBP", "population": null, "period": null, "place": "x"}')).when(m == 5, F.lit('{"metric_name": null, "unit": "GBP", "population": null, "period": null}')).otherwise(F.lit('{"metric_name": "total", "unit": "GBP", "population": null, "period": "2024"}')),
+        "evidence_ids": F.lit("[]"), "confidence": F.when(m == 6, F.lit('"high"')).otherwise(F.lit("0.9")),
+    }
+    parts = [F.when(m == 7, F.lit(None)).otherwise(F.concat(F.lit(f'"{name}": '), c)) if name == "raw_value" else F.concat(F.lit(f'"{name}": '), c) for name, c in fields.items()]
+    body = F.concat(F.lit("{"), F.concat_ws(", ", *parts, F.when(m == 7, F.lit('"note": 1'))), F.when(n % 11 == 0, F.lit("")).otherwise(F.lit("}")))
+    return manifests.reply_problems(o.select(n.alias("id"), body.alias("reply")))
+
+
+def metadata_getters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values of the clicks' properties, which are missing, null, cut off or of other types here and there."""
+    meta = F.col("meta")
+    rows = table(spark, sf_dir, "clicks").select("click_id", metadata.parsed(F.col("props")).alias("meta"))
+    return rows.select(
+        "click_id", metadata.number(meta, "$.k").alias("k"), metadata.simple(meta, "$.device.os").alias("os"), metadata.moment(meta, "$.device.os").isNull().alias("os_is_no_moment"), F.array_join(metadata.names(meta, "$.tags"), ",").alias("tags"),
+        F.array_join(metadata.names(meta, "$.device.ver"), ",").alias("versions"), metadata.number(meta, "$.tags").alias("tags_as_number"), metadata.number(meta, "$.items[0].qty").alias("first_quantity"), metadata.simple(meta, "$.nothing").alias("nothing"),
+    )
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -564,7 +587,7 @@ QUERIES = {
     for f in (
         output_validation, output_hydration, hydration_codes, fact_ordinals, gold_problems, gold_case_problems, gold_report, gold_distribution, gold_counts, gold_inventory, gold_leaks, challenge_outcomes, review_packet,
         nearest_in_block, pair_scores, nearest_candidates, failure_categories, evidence_checks, candidate_trace, transformation_flags, trace_counters, attempt_inventory, case_references, manifest_reconciliation,
-        metric_fractions, process_gates, run_parity, nested_spans, routing_facts, agent_policy, agent_limits, attempt_limits, predicate_schema, route_blocks, route_problems, request_identities, request_measures,
+        metric_fractions, process_gates, run_parity, nested_spans, routing_facts, agent_policy, agent_limits, attempt_limits, predicate_schema, metadata_getters, route_blocks, route_problems, request_identities, request_measures,
         identity_drift, repeat_choice, invocation_inventory, provenance_report, text_forms, collapsed_offsets, date_checks, stable_identities, hash_check, block_check, dangling_evidence, canonical_values,
         structural_values, cache_record_check, rule_attribution, evaluation_report, reproduction_bundle, predicate_rates, target_check,
     )
@@ -601,14 +624,6 @@ _POLICY = """
     d AS (SELECT *, there AND (m >= 3 OR m = 0 AND k % 2 = 1) AS answered FROM c)"""
 
 
-def _schema_rows() -> str:
-    rows = []
-    for name, subjects, values, required, optional, _ in registry.PREDICATES:
-        rows += [(name, "subject_type", ",".join(registry._SUBJECT[c] for c in subjects)), (name, "value_type", ",".join(values.split()))]
-        rows += [(name, f"qualifier:{q}", kind) for words, kind in ((required, "required"), (optional, "optional")) for q in words.split()]
-    return "SELECT * FROM (VALUES " + ", ".join(str(r) for r in rows) + ") t(predicate, field, allowed)"
-
-
 ORACLES = {
     "output_validation": f"SELECT o_orderkey AS request_id, {_case('o_orderkey % 16', FAULTS, 'accepted')} AS code, CASE WHEN o_orderkey % 16 = 0 THEN 1 ELSE 0 END AS facts, o_orderkey % 16 = 0 AS digest FROM orders",
     "output_hydration": """
@@ -687,7 +702,18 @@ ORACLES = {
                answered = (m NOT IN (1, 2)) AS task_success, CASE WHEN answered THEN true END AS citation_valid, m < 3 OR there AS tool_selection_acceptable, CAST(0 AS BIGINT) AS unnecessary FROM d""",
     "agent_limits": "SELECT CASE event_id % 5 WHEN 0 THEN 'tool_limit' WHEN 1 THEN 'unknown_tool' ELSE 'none' END AS problem, count(*) AS n FROM events GROUP BY 1",
     "attempt_limits": "WITH a AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events) SELECT event_id, attempt, attempt <= 3 AS allowed FROM a",
-    "predicate_schema": _schema_rows(),
+    "predicate_schema": """
+        WITH o AS (SELECT o_orderkey AS id, o_orderkey % 8 AS m, o_orderkey % 11 = 0 AS cut FROM orders),
+        p AS (SELECT id, unnest(CASE WHEN cut THEN ['no_object'] WHEN m = 1 THEN ['enum:subject_type'] WHEN m = 2 THEN ['unknown_predicate'] WHEN m = 3 THEN ['enum:value_type']
+            WHEN m = 4 THEN ['missing:qualifiers.metric_name', 'unknown:qualifiers.place'] WHEN m = 5 THEN ['type:qualifiers.metric_name'] WHEN m = 6 THEN ['type:confidence']
+            WHEN m = 7 THEN ['missing:raw_value', 'unknown:note'] ELSE [] END) AS problem FROM o)
+        SELECT id, problem FROM p""",
+    "metadata_getters": """
+        WITH c AS (SELECT click_id, CASE WHEN json_valid(props) THEN props END AS p FROM clicks)
+        SELECT click_id, CAST(coalesce(TRY_CAST(json_extract_string(p, '$.k') AS BIGINT), 0) AS BIGINT) AS k, json_extract_string(p, '$.device.os') AS os, true AS os_is_no_moment,
+               coalesce(array_to_string(CAST(CASE WHEN json_type(p, '$.tags') = 'ARRAY' THEN json_extract(p, '$.tags') ELSE '[]' END AS VARCHAR[]), ','), '') AS tags,
+               coalesce(json_extract_string(p, '$.device.ver'), '') AS versions, 0 AS tags_as_number, CAST(coalesce(TRY_CAST(json_extract_string(p, '$.items[0].qty') AS BIGINT), 0) AS BIGINT) AS first_quantity,
+               CAST(NULL AS VARCHAR) AS nothing FROM c""",
     "route_blocks": _ROUTES + " SELECT id AS request_id, s AS sequence, 'llm-evidence-v0.4-' || k || '-' || s AS evidence_id FROM w",
     "route_problems": _ROUTES + """,
         p AS (SELECT r.id, count(w.s) <> r.hi - r.lo + 1 AS incomplete, count(*) FILTER (WHERE w.s = 4) > 0 AS blank FROM r LEFT JOIN w ON w.id = r.id GROUP BY r.id, r.lo, r.hi)

@@ -43,7 +43,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
     asked = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), "vector")
-    return _shown(retrieval.top(retrieval.dense_scores(rows, asked), rows, 5))
+    return _shown(retrieval.dense_topk(rows, asked, 5))
 
 
 def hybrid_rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 import re
 import sys
 
-from factloom.operators import containment, goldset, lexical_index, ordinals, retrieval
+from factloom.operators import containment, dense_index, goldset, lexical_index, ordinals, retrieval
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -101,3 +101,22 @@ def test_leaks_and_containment_plan_no_nested_loop(spark):
     found = goldset.leaks(gold, docs)
     assert {tuple(r) for r in found.select("annotation_id", "document", "what").collect()} == {("PG-V01-S001-001", "d1", "annotation_id"), ("PG-V01-S001-001", "d1", "raw_value"), ("PG-V01-S001-002", "d3", "annotation_id")}
     assert not re.search("NestedLoop|Cartesian", found._jdf.queryExecution().executedPlan().toString())
+
+
+def vectors(spark, n, clusters=12):
+    pick = random.Random(4)
+    middles = [[pick.gauss(0, 1) for _ in range(16)] for _ in range(clusters)]
+    rows = [(f"E:{i:05d}", "E", f"{i:05d}", [x + pick.gauss(0, 0.15) for x in middles[i % clusters]]) for i in range(n)]
+    rows += [("E:zero", "E", "zero", [0.0] * 16), ("E:null", "E", "null", None), ("E:nan", "E", "nan", [float("nan")] * 16), ("E:same", "E", "same", rows[0][3]), ("E:again", "E", "again", [2 * x for x in rows[0][3]])]
+    return spark.createDataFrame(rows, "evidence_id string, source_id string, block_id string, vector array<double>")
+
+
+def test_pruned_dense_search_gives_the_rows_of_comparing_all(spark):
+    rows = vectors(spark, 900)
+    asked_ = rows.where("block_id < '00040' OR block_id IN ('zero', 'nan', 'again')").select(F.col("block_id").alias("qid"), "vector")
+    for k in (1, 7):
+        assert ranks(retrieval.dense_topk(rows, asked_, k)) == ranks(retrieval.top(retrieval.dense_scores(rows, asked_), rows, k))
+    index = dense_index.build(rows)
+    kept = dense_index.kept_rings(index, asked_, 7).agg(F.sum("n")).first()[0]
+    assert kept < 0.4 * index.vectors.count() * 41  # the rest is pruned
+    assert retrieval.dense_topk(rows.limit(0), asked_, 3).count() == 0 and retrieval.dense_topk(rows.limit(2), asked_, 5).count() == 41 * 2
