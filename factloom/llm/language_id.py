@@ -24,8 +24,8 @@ from factloom.llm.quality import held_out
 BUCKETS = 1 << 14
 #: Documented bound of the fit: about so many documents of each language.
 SAMPLE_PER_LANGUAGE = 1000
-#: Documented bound of the fit: so many languages, those of the most documents, are learned.
-MOST_LANGUAGES = 256
+#: Documented bound of the fit: about so many documents of all languages together, an equal share for each.
+SAMPLE_ROWS = 16_000
 UNKNOWN = "und"
 
 
@@ -158,14 +158,15 @@ def document_frequencies(docs: DataFrame, key: str, text: str) -> tuple[np.ndarr
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fits on about ``per_language`` documents of each of the MOST_LANGUAGES commonest languages
-    at most, chosen by a hash of the key; document frequencies are of all training documents.
+    """Fits on about ``per_language`` documents of each language, and on about SAMPLE_ROWS of all together, chosen
+    by a hash of the key; where there are many languages, fewer of each are learned from, but each
+    is learned. Document frequencies are of all training documents. The weights are BUCKETS numbers a language.
     Held-out rows and rows whose language, key or text is null are not used. A sampled text
     has BUCKETS counts at most, however long it is."""
     usable = docs.select(key, text, lang).where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
-    commonest = usable.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(MOST_LANGUAGES)
-    counts = {r[lang]: r["n"] for r in commonest.collect()}
+    counts = {r[lang]: r["n"] for r in usable.groupBy(lang).agg(F.count("*").alias("n")).collect()}  # a row a language
     languages = sorted(counts)
+    per_language = min(per_language, max(1, SAMPLE_ROWS // max(1, len(languages))))
     frequency, texts = document_frequencies(usable, key, text)
     idf = np.where(frequency > 0, np.log((1 + texts) / (1 + frequency)) + 1, 0.0)
     if not languages:
