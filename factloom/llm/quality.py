@@ -29,8 +29,8 @@ FEATURES = DENSE + (1 << _WORD_BITS)
 
 #: Documented bound of the fit: about so many labelled rows of each class.
 SAMPLE_PER_CLASS = 4000
-#: Documented bound of the fit: of a sampled text with more indicators, so many chosen by a hash are learned from.
-MOST_INDICATORS = 4096
+#: Documented bound of the fit: of a class whose texts are long, so many rows fewer that they have about so many bytes together.
+SAMPLE_BYTES = 32 << 20
 
 
 def _shape_classes() -> np.ndarray:
@@ -191,14 +191,6 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, mix: float = 0.9) -> Model:
     return Model(*weights(np.ones(len(rows), bool)), slope, shift)
 
 
-def _bounded(row: np.ndarray, most: int = MOST_INDICATORS) -> np.ndarray:
-    """The row's indicators, or ``most`` of them drawn by a hash that differs from row to row."""
-    if len(row) <= most:
-        return row
-    salt = np.uint64(int(row.sum()))
-    return np.sort(row[np.argpartition(tk.mix(row.astype(np.uint64) + tk.mix(np.array([salt]))), most)[:most]])
-
-
 def held_out(key: str) -> Column:
     """True for rows that are never learned from; a null key is held out too."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(True))
@@ -208,21 +200,23 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fits on about ``per_class`` labelled rows of each class at most, chosen by a hash of the key.
 
     Rows whose label or key is null, and held-out rows, are not used; a key with
-    several labels has their rounded mean. Only the sampled keys are broadcast,
-    which ``per_class`` bounds; the indicators that reach the driver are bounded by
-    ``per_class`` and MOST_INDICATORS, some 130 MB at most.
+    several labels has their rounded mean. A class with long texts is learned from fewer of them, SAMPLE_BYTES
+    in the mean, each with all its indicators; so what reaches the driver is bounded, some 100 MB of
+    indicators, whatever the texts. Only the sampled keys are broadcast, which ``per_class`` bounds.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
-    counts = {r["_label"]: r["n"] for r in marks.groupBy("_label").agg(F.count("*").alias("n")).collect()}  # two rows
+    sizes = docs.select(key, F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).alias("_size")).join(marks, key)
+    found = sizes.groupBy("_label").agg(F.count_distinct(key).alias("n"), F.sum("_size").alias("size")).collect()  # two rows
+    part = {r["_label"]: min(1, per_class / r["n"], SAMPLE_BYTES / max(1, r["size"])) for r in found}
     grain = 1 << 40
-    limit = F.when(F.col("_label") == 1, F.lit(int(grain * min(1, per_class / max(1, counts.get(1, 1)))))).otherwise(F.lit(int(grain * min(1, per_class / max(1, counts.get(0, 1))))))
+    limit = F.when(F.col("_label") == 1, F.lit(int(grain * part.get(1, 1)))).otherwise(F.lit(int(grain * part.get(0, 1))))
     chosen = marks.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(grain)) < limit)
     sample = docs.select(key, text).join(F.broadcast(chosen), key)
 
     def run(chunk, keys):
         dense, of, feature = indicators(chunk)
         bounds = np.searchsorted(of, np.arange(len(chunk) + 1))
-        rows = [_bounded(np.concatenate([np.flatnonzero(d), feature[a:b]])) for d, a, b in zip(dense, bounds[:-1], bounds[1:], strict=True)]
+        rows = [np.concatenate([np.flatnonzero(d), feature[a:b]]) for d, a, b in zip(dense, bounds[:-1], bounds[1:], strict=True)]
         offsets = np.zeros(len(rows) + 1, np.int64)
         np.cumsum([len(r) for r in rows], out=offsets[1:])
         yield [keys.field("_key"), keys.field("_label"), arrow.list_array(np.concatenate(rows), offsets, pa.int32())]

@@ -107,20 +107,28 @@ def test_elastic_net_leaves_zero_weights():
     assert np.count_nonzero(weight[2:]) == 0 and weight[0, 0] > 0 > weight[0, 1]
 
 
-def test_many_languages_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
-    rng = random.Random(2)
-    rows = [(i, sentence(rng, ("en", "de")[i % 2], 12), ("en", "de")[i % 2]) for i in range(80)] + [(100 + i, f"word{i} more", f"l{i}") for i in range(30)]
+def test_three_hundred_languages_share_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 1500)
+    names = [f"l{k:03d}" for k in range(300)]
+    rows = [(i, f"{chr(0x4E00 + 3 * (i % 300))}{chr(0x4E01 + 3 * (i % 300))} " * 5, names[i % 300]) for i in range(3600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert language_id.train(docs).languages == ["de", "en"]
-
-
-def test_sampled_rows_of_features_are_bounded():
-    row = np.arange(0, 60_000, 3)
-    kept = quality._bounded(row, 100)
-    assert len(kept) == 100 and set(kept) <= set(row) and (np.diff(kept) > 0).all()
-    assert (quality._bounded(row[:50], 100) == row[:50]).all()
-    assert set(quality._bounded(row[:-1], 100)) != set(kept)
+    model = language_id.train(docs)
+    assert model.languages == names
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(docs.where("doc_id < 300"), model).collect()}
+    assert sum(found[i] == names[i] for i in range(300)) > 270
+
+
+def test_long_labelled_texts_are_learned_from_whole_but_fewer(spark, monkeypatch):
+    rng = random.Random(6)
+    long = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(130_000)) for _ in range(6)]
+    docs = spark.createDataFrame([(i, long[i % 6] if i < 24 else sentence(rng, "en", 12)) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 24)) for i in range(120)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda rows, marks: seen.update(rows=rows, marks=marks))
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 4 << 20)
+    quality.train(docs, labels)
+    assert all(len(r) > 100_000 for r, m in zip(seen["rows"], seen["marks"], strict=True) if m == 0)
+    assert 0 < (seen["marks"] == 0).sum() < 13 and (seen["marks"] == 1).sum() > 40
 
 
 def brute_indicators(text):
