@@ -29,7 +29,7 @@ def pack_blocks(blocks: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     where requests do begin are found from the first one by jumps of 1, 2, 4, ... requests.
     """
     rows = blocks.select(F.struct("source_id").alias("source_id"), "block_id", F.col("sequence").cast("long").alias("sequence"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
-    placed = written(ordinals.running_sums(rows, ["source_id"], [F.col("sequence"), F.col("block_id")], "bytes", "at", "upto"), "blocks")
+    placed = written(ordinals.running_sums(rows, ["source_id"], [F.col("sequence"), F.col("block_id")], "at", {"upto": "bytes"}), "blocks")
     before = F.col("upto") - F.col("bytes")
     # among sums and bounds in order, what stands before the bound of block i are i bounds and the blocks that fit
     marks = placed.select("source_id", F.col("upto").alias("sum"), F.lit(0).alias("bound"), "at").unionByName(placed.select("source_id", (before + most).alias("sum"), F.lit(1).alias("bound"), "at"))

@@ -41,14 +41,15 @@ def positions(rows: DataFrame, keys: list[str], order: list[Column], name: str)
     return dealt.join(_shifts(dealt, keys), ["_part", *keys]).select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(name))
 
 
-def running_sums(rows: DataFrame, keys: list[str], order: list[Column], value: str, place: str, name: str) -> DataFrame:
-    """As ``positions``, and the sum of ``value`` of all rows of the group up to and with this one. A window
-    runs over the rows of one partition of one group only."""
+def running_sums(rows: DataFrame, keys: list[str], order: list[Column], place: str, sums: dict[str, str]) -> DataFrame:
+    """As ``positions``, and for each name of ``sums`` the sum of that column in all rows of the group up to and with
+    this one. A window runs over the rows of one partition of one group only."""
     dealt = _dealt(rows, keys, order)
     inside = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    sums = dealt.groupBy("_part", *keys).agg(F.sum(value).alias("_sum"))
-    earlier = sums.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_{k}") for k in keys], F.col("_sum").alias("_s"))
-    joined = sums.join(earlier, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_p") < F.col("_part")], "left")  # partitions of a group
-    before = joined.groupBy("_part", *keys).agg(F.coalesce(F.sum("_s"), F.lit(0)).alias("_earlier"))
-    rows_ = dealt.withColumn("_inside", F.sum(value).over(inside)).join(_shifts(dealt, keys), ["_part", *keys]).join(before, ["_part", *keys])
-    return rows_.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(place), (F.col("_inside") + F.col("_earlier")).alias(name))
+    own = dealt.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
+    earlier = own.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_{k}") for k in keys], *[F.col(f"_sum_{n}").alias(f"_s_{n}") for n in sums])
+    joined = own.join(earlier, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_p") < F.col("_part")], "left")  # partitions of a group
+    before = joined.groupBy("_part", *keys).agg(*[F.coalesce(F.sum(f"_s_{n}"), F.lit(0)).alias(f"_earlier_{n}") for n in sums])
+    found = dealt.withColumns({f"_inside_{n}": F.sum(c).over(inside) for n, c in sums.items()}).join(_shifts(dealt, keys), ["_part", *keys]).join(before, ["_part", *keys])
+    kind = {n: found.schema[f"_inside_{n}"].dataType for n in sums}  # decimals keep their digits
+    return found.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(place), *[(F.col(f"_inside_{n}") + F.col(f"_earlier_{n}").cast(kind[n])).cast(kind[n]).alias(n) for n in sums])

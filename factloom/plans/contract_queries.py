@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import keys, metadata, numbers, text
 from factloom.operators import agents, comparison, evaluation, goldset, manifests, matching, outputs, registry, reports, validation
+from factloom.operators import invocations as invocations_
 from factloom.plans.rule_queries import _facts
 from factloom.session import table
 
@@ -378,6 +379,25 @@ def predicate_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.reply_problems(o.select(n.alias("id"), body.alias("reply")))
 
 
+def invocation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as invocations of a model, a run a user, with faults of all kinds here and there."""
+    e, n, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
+    sha = lambda c: keys.sha256_upper(c)
+    request = sha(F.concat_ws("-", u.cast("string"), (n % 40).cast("string")))
+    m = n % 29
+    errors = F.when(m == 1, "bad_request").when(m == 2, "timeout").when(m == 3, "rate_limit").when(m == 4, "connection").when(m == 5, "api").when(m == 6, "other")
+    invocations = e.select(
+        u.alias("run_id"), n.alias("invocation_id"), F.col("ts").alias("sequence"), request.alias("request_sha256"), F.when(m == 7, "S9").otherwise(F.lit("S1")).alias("source_id"), (1 + n % 3 % 2).alias("attempt"), F.when(m == 8, "q").otherwise(F.lit("p")).alias("provider"),
+        F.when(m == 9, "n").otherwise(F.lit("m")).alias("model"), (F.pmod(n, F.lit(7)) / 4).cast("decimal(10,2)").alias("cost"), F.when(n % 4 == 0, "cache").when(n % 4 == 1, "mock").otherwise(F.lit("live")).alias("mode"), F.when(m == 10, "a/../b").when(m == 11, "/etc").otherwise(F.lit("a/b..c")).alias("cache_path"),
+        errors.alias("error"), F.when(m == 12, "incomplete").when(m == 13, "failed").when(m == 14, "queued").otherwise(F.lit("completed")).alias("status"), (m == 15).alias("refused"), F.when(m != 16, n).alias("input_tokens"), n.alias("output_tokens"), F.when(m == 17, " ").when(m == 18, F.lit(None)).otherwise(F.lit("{}")).alias("output"),
+    )
+    body = F.concat(F.lit("run "), u.cast("string"))
+    manifests_ = e.where(u % 17 != 0).select(u).distinct().select(u.alias("run_id"), body.alias("body"), F.when(u % 13 == 0, "0").otherwise(sha(body)).alias("body_sha256"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.array(F.lit("S1")).alias("sources"), F.lit(6).alias("most_requests"), F.lit(1 + 1).alias("most_attempts"), F.lit(9).alias("most_cost"))
+    kept = e.where(n % 5 < 4).select(request.alias("request_sha256"), F.when(n % 5 == 1, F.concat(F.lit("r"), (n % 2).cast("string"))).otherwise(F.lit("r")).alias("response"), F.lit("2024").alias("recorded_at"), n.alias("_n"))
+    cache = kept.select("request_sha256", "response", F.when(F.col("_n") % 5 == 2, "x").otherwise(sha(F.col("response"))).alias("response_sha256"), F.when(F.col("_n") % 5 != 3, F.col("recorded_at")).alias("recorded_at"))
+    return invocations_.codes(invocations, manifests_, cache)
+
+
 def metadata_getters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed values of the clicks' properties, which are missing, null, cut off or of other types here and there."""
     meta = F.col("meta")
@@ -587,7 +607,7 @@ QUERIES = {
     for f in (
         output_validation, output_hydration, hydration_codes, fact_ordinals, gold_problems, gold_case_problems, gold_report, gold_distribution, gold_counts, gold_inventory, gold_leaks, challenge_outcomes, review_packet,
         nearest_in_block, pair_scores, nearest_candidates, failure_categories, evidence_checks, candidate_trace, transformation_flags, trace_counters, attempt_inventory, case_references, manifest_reconciliation,
-        metric_fractions, process_gates, run_parity, nested_spans, routing_facts, agent_policy, agent_limits, attempt_limits, predicate_schema, metadata_getters, route_blocks, route_problems, request_identities, request_measures,
+        metric_fractions, process_gates, run_parity, nested_spans, routing_facts, agent_policy, agent_limits, attempt_limits, predicate_schema, invocation_codes, metadata_getters, route_blocks, route_problems, request_identities, request_measures,
         identity_drift, repeat_choice, invocation_inventory, provenance_report, text_forms, collapsed_offsets, date_checks, stable_identities, hash_check, block_check, dangling_evidence, canonical_values,
         structural_values, cache_record_check, rule_attribution, evaluation_report, reproduction_bundle, predicate_rates, target_check,
     )
@@ -708,6 +728,25 @@ ORACLES = {
             WHEN m = 4 THEN ['missing:qualifiers.metric_name', 'unknown:qualifiers.place'] WHEN m = 5 THEN ['type:qualifiers.metric_name'] WHEN m = 6 THEN ['type:confidence']
             WHEN m = 7 THEN ['missing:raw_value', 'unknown:note'] ELSE [] END) AS problem FROM o)
         SELECT id, problem FROM p""",
+    "invocation_codes": """
+        WITH e AS (SELECT event_id AS n, user_id AS u, ts, event_id % 29 AS m, upper(sha256(user_id || '-' || event_id % 40)) AS request, 1 + event_id % 3 % 2 AS attempt,
+                   CASE event_id % 4 WHEN 0 THEN 'cache' WHEN 1 THEN 'mock' ELSE 'live' END AS mode, CAST(event_id % 7 / 4.0 AS DECIMAL(10, 2)) AS cost FROM events),
+        r AS (SELECT *, CASE m WHEN 1 THEN 'bad_request' WHEN 2 THEN 'timeout' WHEN 3 THEN 'rate_limit' WHEN 4 THEN 'connection' WHEN 5 THEN 'api' WHEN 6 THEN 'other' END AS error,
+                   row_number() OVER (PARTITION BY u, request ORDER BY ts, n) AS nth, row_number() OVER (PARTITION BY u, request, attempt ORDER BY ts, n) AS again FROM e),
+        f AS (SELECT u, request, attempt + 1 AS attempt, coalesce(error, 'none') AS before FROM r WHERE again = 1),
+        s AS (SELECT r.*, f.before, sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) OVER w AS requests, sum(cost) OVER w AS spent FROM r LEFT JOIN f ON f.u = r.u AND f.request = r.request AND f.attempt = r.attempt
+              WINDOW w AS (PARTITION BY r.u ORDER BY r.ts, r.n ROWS UNBOUNDED PRECEDING)),
+        k AS (SELECT upper(sha256(user_id || '-' || event_id % 40)) AS request, CASE WHEN event_id % 5 = 1 THEN 'r' || event_id % 2 ELSE 'r' END AS response, event_id % 5 AS x FROM events WHERE event_id % 5 < 4),
+        c AS (SELECT request, count(DISTINCT response) AS responses, bool_and(x <> 3) AS complete, bool_and(x <> 2) AS intact FROM k GROUP BY request)
+        SELECT s.u AS run_id, s.n AS invocation_id, CASE
+            WHEN u % 17 = 0 THEN 'invalid_manifest' WHEN u % 13 = 0 THEN 'manifest_hash_mismatch' WHEN m = 8 THEN 'provider_configuration_mismatch' WHEN m = 9 THEN 'model_configuration_mismatch' WHEN m = 7 THEN 'prohibited_source'
+            WHEN again > 1 THEN 'duplicate_invocation' WHEN attempt > 1 AND coalesce(before, 'none') NOT IN ('timeout', 'rate_limit', 'connection') THEN 'retry_not_permitted'
+            WHEN requests > 6 THEN 'request_budget_exceeded' WHEN spent > 9 THEN 'cost_budget_exceeded'
+            WHEN mode = 'cache' THEN CASE WHEN m IN (10, 11) THEN 'cache_path_escape' WHEN responses IS NULL THEN 'cache_miss' WHEN responses > 1 THEN 'cache_conflict' WHEN NOT complete THEN 'cache_record_invalid' WHEN NOT intact THEN 'cache_hash_mismatch' END
+            WHEN mode = 'mock' AND m = 18 THEN 'mock_response_not_found'
+            ELSE CASE m WHEN 1 THEN 'invalid_provider_request' WHEN 2 THEN 'timeout' WHEN 3 THEN 'rate_limit' WHEN 4 THEN 'transport_error' WHEN 5 THEN 'provider_api_failure' WHEN 6 THEN 'execution_failed' WHEN 12 THEN 'incomplete_response'
+                 WHEN 13 THEN 'failed_response' WHEN 14 THEN 'response_not_completed' WHEN 15 THEN 'provider_refusal' WHEN 16 THEN 'missing_provider_metadata' WHEN 17 THEN 'missing_output_text' WHEN 18 THEN 'missing_output_text' END END AS code
+        FROM s LEFT JOIN c USING (request)""",
     "metadata_getters": """
         WITH c AS (SELECT click_id, CASE WHEN json_valid(props) THEN props END AS p FROM clicks)
         SELECT click_id, CAST(coalesce(TRY_CAST(json_extract_string(p, '$.k') AS BIGINT), 0) AS BIGINT) AS k, json_extract_string(p, '$.device.os') AS os, true AS os_is_no_moment,

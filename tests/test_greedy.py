@@ -71,7 +71,7 @@ def test_packing_equals_a_walk(spark):
 
 def test_one_group_is_spread_over_tasks(spark):
     rows = spark.range(20_000).select(F.lit("g").alias("k"), F.col("id").alias("n"), (F.col("id") % 10).alias("v"))
-    found = ordinals.running_sums(rows, ["k"], [F.col("n")], "v", "at", "upto")
+    found = ordinals.running_sums(rows, ["k"], [F.col("n")], "at", {"upto": "v"})
     assert found.where("at <> n + 1").count() == 0
     assert found.agg(F.max("upto")).first()[0] == 90_000
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
