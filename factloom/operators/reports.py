@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers
+from factloom.operators import ordinals
 
 NEAR_EMPTY = 50
 
@@ -25,6 +26,16 @@ def page_audit(pages: DataFrame) -> DataFrame:
     return rows.withColumn("sample_pages", sample_pages(F.col("pages")))
 
 
+def page_runs(pages: DataFrame, fewer: int = NEAR_EMPTY) -> DataFrame:
+    """(document, first_page, last_page, n): runs of neighbouring pages with fewer than ``fewer`` characters, for rows
+    (document, page, chars). What ``page_audit`` lists page by page is here as long as there are runs, and no task
+    holds a document: a page's place among all pages less its place among the short ones is the same in a run."""
+    placed = ordinals.positions(pages.select("document", "page", "chars"), ["document"], [F.col("page")], "_place")
+    short = ordinals.positions(placed.where(F.coalesce(F.col("chars"), F.lit(0)) < fewer), ["document"], [F.col("page")], "_nth")
+    runs = short.groupBy("document", F.col("_place") - F.col("_nth")).agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("n"))
+    return runs.select("document", "first_page", "last_page", "n")
+
+
 def sample_pages(count: Column) -> Column:
     return F.when(count > 0, F.array_distinct(F.array(F.lit(1).cast("long"), F.floor((count + 1) / 2).cast("long"), count.cast("long")))).otherwise(F.array().cast("array<bigint>"))
 

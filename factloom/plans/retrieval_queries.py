@@ -129,6 +129,12 @@ def page_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document", "pages", "total_chars", "min_chars", "max_chars", "mean_chars", F.size("zero_pages").cast("long").alias("n_zero"), F.size("near_empty_pages").cast("long").alias("n_near_empty"), "scan_risk", F.array_join("sample_pages", ",").alias("sample_pages"))
 
 
+def page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of neighbouring documents of a source that have fewer than 1,000 characters."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("page"), F.length("text").cast("long").alias("chars"))
+    return reports.page_runs(docs, 1000)
+
+
 def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as blocks in sequence, with their evidence ids."""
     turns = table(spark, sf_dir, "conversations")
@@ -183,7 +189,7 @@ _ALL = "SELECT source || ':' || doc_id AS evidence_id, source AS source_id, CAST
 _SOME = _ALL + " AND source IN (" + ", ".join(f"'{s}'" for s in SOURCES) + ")"
 _COSINE = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[])) * list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))"
 
-QUERIES = {f.__name__: f for f in (lexical_topk, restricted_lexical_topk, dense_topk, hybrid_rrf_topk, retrieval_eval, hybrid_retrieval_eval, passage_leaks, retrieval_records, content_hash, exact_duplicates, keep_first_documents, line_offsets, statements, page_audit, conversation_blocks, thread_summary, embedding_norms, comparable_text)}
+QUERIES = {f.__name__: f for f in (lexical_topk, restricted_lexical_topk, dense_topk, hybrid_rrf_topk, retrieval_eval, hybrid_retrieval_eval, passage_leaks, retrieval_records, content_hash, exact_duplicates, keep_first_documents, line_offsets, statements, page_audit, page_runs, conversation_blocks, thread_summary, embedding_norms, comparable_text)}
 
 ORACLES = {
     "lexical_topk": _lexical(_ALL, 10),
@@ -273,6 +279,10 @@ ORACLES = {
                CASE WHEN count(*) FILTER (WHERE chars = 0) = 0 THEN 'none' WHEN count(*) FILTER (WHERE chars = 0) <= .1 * count(*) THEN 'low' WHEN count(*) FILTER (WHERE chars = 0) <= .4 * count(*) THEN 'medium' ELSE 'high' END AS scan_risk,
                array_to_string(list_sort(list_distinct([1, CAST(floor((count(*) + 1) / 2) AS BIGINT), count(*)])), ',') AS sample_pages
         FROM p GROUP BY 1""",
+    "page_runs": """
+        WITH p AS (SELECT source AS document, doc_id AS page, coalesce(length(text), 0) AS chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+        s AS (SELECT *, place - row_number() OVER (PARTITION BY document ORDER BY page) AS island FROM p WHERE chars < 1000)
+        SELECT document, min(page) AS first_page, max(page) AS last_page, count(*) AS n FROM s GROUP BY document, island""",
     "conversation_blocks": """
         WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) AS sequence FROM conversations)
         SELECT conv_id, sequence, role, 'CONV-' || conv_id || '-B' || lpad(CAST(sequence AS VARCHAR), 4, '0') AS block_id, length(text) AS n_chars FROM r""",

@@ -120,3 +120,11 @@ def test_pruned_dense_search_gives_the_rows_of_comparing_all(spark):
     kept = dense_index.kept_rings(index, asked_, 7).agg(F.sum("n")).first()[0]
     assert kept < 0.4 * index.vectors.count() * 41  # the rest is pruned
     assert retrieval.dense_topk(rows.limit(0), asked_, 3).count() == 0 and retrieval.dense_topk(rows.limit(2), asked_, 5).count() == 41 * 2
+
+
+def test_runs_of_short_pages(spark):
+    from factloom.operators import reports
+
+    pages = [("d", p, n) for p, n in enumerate([0, 10, 90, None, 60, 60, 3, 3, 3])] + [("e", 5, 1), ("e", 70, 1), ("f", 1, 99), (None, 1, 0)]
+    found = reports.page_runs(spark.createDataFrame(pages, "document string, page long, chars long"))
+    assert sorted(tuple(r) for r in found.collect()) == [("d", 0, 1, 2), ("d", 3, 3, 1), ("d", 6, 8, 3), ("e", 5, 70, 2)]
