@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import keys, metadata, numbers, text
-from factloom.operators import agents, comparison, evaluation, goldset, manifests, matching, outputs, registry, reports, validation
+from factloom.operators import agents, comparison, evaluation, freeze, goldset, manifests, matching, outputs, registry, reports, validation
 from factloom.operators import invocations as invocations_
 from factloom.plans.rule_queries import _facts
 from factloom.session import table
@@ -299,6 +299,23 @@ def process_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("gates", "passed", F.array_join("failing", ",").alias("failing"))
 
 
+def freeze_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of five sources and three cases for each customer; most have one fault or two."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"))
+    m, part = F.col("run_id") % 41, F.col("run_id") % 5
+    passes = c.select("run_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("s")).select("run_id", "s", F.explode(F.array(F.lit(1), F.lit(2))).alias("pass"))
+    here = (F.col("s") == part) & (F.col("pass") == 2)
+    passes = passes.select("run_id", F.col("s").cast("string").alias("source_id"), "pass", (~(here & (m == 30))).alias("succeeded"), (~(here & (m == 31))).alias("schema_valid"), F.when(here & (m == 32), "KeyError").alias("exception"), F.when(here & (m == 33), "x").when(here & (m == 34), F.lit(None)).otherwise(F.lit("y")).alias("output_sha256"))
+    cases = c.select("run_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("case_id"))
+    last = F.col("case_id") == 2
+    assessments = cases.select("run_id", "case_id", F.when(last & (m == 35), "pending").when(last & (m == 36), "fail").otherwise(F.lit("pass")).alias("status"))
+    diagnostics = cases.select("run_id", "case_id", (~(last & (m == 37))).alias("passed"))
+    names = F.array(*map(F.lit, freeze.CHECKS))
+    checks = c.where(m != 39).select("run_id", F.posexplode(names).alias("k", "name")).select("run_id", "name", (F.col("k") != m).alias("passed")).unionByName(c.select("run_id", F.explode(F.array(*map(F.lit, freeze.ABSENT.values()))).alias("name"), (m == 38).alias("passed")))
+    found = freeze.judge(freeze.evidence(c, passes, assessments, diagnostics, checks))
+    return found.select("run_id", "passed", F.array_join("failed", ",").alias("failed"))
+
+
 def run_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of two runs by meaning: other ids and orders of qualifiers make no difference."""
     first = _facts(spark, sf_dir, False)
@@ -607,7 +624,7 @@ QUERIES = {
     for f in (
         output_validation, output_hydration, hydration_codes, fact_ordinals, gold_problems, gold_case_problems, gold_report, gold_distribution, gold_counts, gold_inventory, gold_leaks, challenge_outcomes, review_packet,
         nearest_in_block, pair_scores, nearest_candidates, failure_categories, evidence_checks, candidate_trace, transformation_flags, trace_counters, attempt_inventory, case_references, manifest_reconciliation,
-        metric_fractions, process_gates, run_parity, nested_spans, routing_facts, agent_policy, agent_limits, attempt_limits, predicate_schema, invocation_codes, metadata_getters, route_blocks, route_problems, request_identities, request_measures,
+        metric_fractions, process_gates, freeze_gates, run_parity, nested_spans, routing_facts, agent_policy, agent_limits, attempt_limits, predicate_schema, invocation_codes, metadata_getters, route_blocks, route_problems, request_identities, request_measures,
         identity_drift, repeat_choice, invocation_inventory, provenance_report, text_forms, collapsed_offsets, date_checks, stable_identities, hash_check, block_check, dangling_evidence, canonical_values,
         structural_values, cache_record_check, rule_attribution, evaluation_report, reproduction_bundle, predicate_rates, target_check,
     )
@@ -710,6 +727,14 @@ ORACLES = {
         SELECT 'finished' AS metric, count(*) FILTER (WHERE o_orderstatus = 'F') AS numerator, count(*) AS denominator, round(count(*) FILTER (WHERE o_orderstatus = 'F') / count(*), 6) AS value FROM orders
         UNION ALL SELECT 'none_of_none', 0, 0, CAST(NULL AS DOUBLE)""",
     "process_gates": "SELECT 4 AS gates, false AS passed, concat_ws(',', CASE WHEN min(o_totalprice) >= 0 THEN 'negative_price' END, CASE WHEN count(DISTINCT o_orderstatus) <> 3 THEN 'three_kinds' END, 'no_rows') AS failing FROM orders",
+    "freeze_gates": """
+        WITH c AS (SELECT c_custkey AS run_id, c_custkey % 41 AS m, ['required_commit_ancestry_valid', 'repository_clean_before_finalization', 'exact_development_source_inventory', 'exact_development_challenge_inventory', 'protected_v0_4_hashes_valid',
+                   'owner_preparation_hashes_valid', 'completed_owner_assessment_hash_valid', 'owner_validation_report_hash_valid', 'independent_review_record_valid', 'parsed_document_hashes_valid', 'candidate_output_hashes_match_preparation', 'candidate_counts_reconciled',
+                   'strict_matches_reconciled', 'exact_metrics_reconciled', 'owner_and_machine_provenance_separate', 'no_post_v0_4_semantic_change', 'sparse_gold_limitation_preserved', 'output_transaction_complete', 'artifact_identities_agree'] AS checks FROM customer),
+        f AS (SELECT run_id, CASE WHEN m < 19 THEN checks[m + 1] WHEN m = 30 THEN 'all_sources_complete_both_passes' WHEN m = 31 THEN 'candidate_schema_valid' WHEN m = 32 THEN 'zero_unhandled_extraction_exceptions' WHEN m IN (33, 34) THEN 'repeat_outputs_byte_identical'
+              WHEN m IN (35, 36) THEN 'owner_assessments_complete' WHEN m = 37 THEN 'automated_challenge_diagnostics_reconciled' WHEN m = 38 THEN 'source_independent_rules,held_out_semantics_not_loaded,held_out_execution_not_authorized'
+              WHEN m = 39 THEN array_to_string(checks, ',') ELSE '' END AS failed FROM c)
+        SELECT run_id, failed = '' AS passed, failed FROM f""",
     "run_parity": "SELECT 2 * count(*) AS facts, count(*) FILTER (WHERE o_custkey % 5 = 3) AS only_first, count(*) FILTER (WHERE o_custkey % 5 = 3) AS only_second FROM orders WHERE o_orderkey % 11 <> 0",
     "nested_spans": """
         WITH s AS (SELECT DISTINCT l_orderkey, CAST(l_linenumber * 10 AS BIGINT) AS start, CAST(floor(l_linenumber * 10 + l_quantity) AS BIGINT) AS "end" FROM lineitem),
