@@ -60,17 +60,17 @@ class _Blocks(list):
 
 # Fixed values.
 HEADERS = ("Subject", "From", "To", "Cc", "Date", "Message-ID", "In-Reply-To", "References")
-HISTORY = re.compile(r"-{5,}\s*(?:Original Message|Forwarded message)\s*-{5,}$|Selected quoted (?:and forwarded )?history:$|On .+ wrote:$", re.IGNORECASE)
+HISTORY = re.compile(r"^[^\S\n]*(>.*|-{5,}[^\S\n]*(?:Original Message|Forwarded message)[^\S\n]*-{5,}|Selected quoted (?:and forwarded )?history:|On .+ wrote:)[^\S\n]*$", re.IGNORECASE | re.MULTILINE)
 PART_SEPARATOR = "\n\n--- text/plain part ---\n\n"
 
 
 def split_history(text: str) -> tuple[str, str | None, str | None]:
     """The current body, and the history from its first marker with that marker."""
-    lines = text.split("\n")
-    for i, line in enumerate(map(str.strip, lines)):
-        if HISTORY.match(line) or line.startswith(">"):
-            return tidy("\n".join(lines[:i])), tidy("\n".join(lines[i:])) or None, "quoted lines" if line.startswith(">") else line
-    return tidy(text), None, None
+    found = HISTORY.search(text)
+    if found is None:
+        return tidy(text), None, None
+    marker = "quoted lines" if found[1].startswith(">") else found[1]
+    return tidy(text[: found.start()]), tidy(text[found.start() :]) or None, marker
 
 
 def parse_eml(data: bytes, source_id: str | None) -> dict:
