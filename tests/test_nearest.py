@@ -1,6 +1,7 @@
 import random
 from decimal import Decimal
 
+from factloom import storage
 from factloom.operators import comparison, matching, nearest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -47,3 +48,32 @@ def test_rows_joined_are_bounded_by_annotations(spark):
     size = lambda c: nearest.few_nearest(c, matching.keyed(gold), ["source_id", "predicate"], 3).count()
     bound = 20 * 3 * 2 * 2 * 16  # of k, with or without qualifiers, with or without a subject, for each subset
     assert size(few) <= bound and size(many) <= bound and size(many) < 1.5 * size(few)
+
+
+def test_small_and_large_groups_give_the_same(spark, monkeypatch):
+    candidates, gold = facts(spark, 40, "c", 8), facts(spark, 30, "g", 9, sources=3)
+    found = []
+    for few in (0, 8, 1000):
+        monkeypatch.setattr(nearest, "FEW", few)
+        ranked = sorted((r.annotation_id, r.rank, r.candidate_id, r.reasons, r.category) for r in matching.closest(candidates, gold).collect())
+        best = sorted((r.annotation_id, r.candidate_id, r.score, r.reasons) for r in comparison.closest_by_score(candidates, gold).collect())
+        found.append((ranked, best))
+    assert found[0] == found[1] == found[2]
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    """Spark takes keys and arrays for as small as the files that they come from."""
+    candidates, gold = storage.written(facts(spark, 40, "c", 8), "c"), storage.written(facts(spark, 30, "g", 9), "g")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(nearest, "FEW", 1000, raising=False)
+    found = [matching.closest(candidates, gold), comparison.closest_by_score(candidates, gold)]
+    assert not any("BroadcastHashJoin" in plan(x) for x in found)
+    c, g = matching.keyed(candidates), matching.keyed(gold)
+    few = plan(nearest.few_nearest(c, g, ["source_id", "predicate"], 3))
+    assert "BroadcastHashJoin [source_id" not in few and "SortMergeJoin [source_id" in few
+
+
+def test_small_groups_make_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "candidate_buckets", None)
+    candidates, gold = facts(spark, 20, "c", 8, sources=5), facts(spark, 30, "g", 9, sources=6)
+    assert matching.closest(candidates, gold).count() >= 30 and comparison.closest_by_score(candidates, gold).count() > 0
