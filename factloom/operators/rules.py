@@ -107,6 +107,8 @@ class Match:
     the checks of the subject, ``late_warning`` behind them. ``checked`` says whether the subject is checked at all.
     ``qualifiers`` may use ``subject_text``. ``picks`` are several readings, structs (subject,
     raw, number, start), that take the place of one; ``rule`` is a rule id other than the predicate's.
+    ``steps`` are columns made before all others but ``when``, each dict from those before, so that a pattern
+    is matched once for all that use it.
     """
 
     when: Column
@@ -125,6 +127,7 @@ class Match:
     budget: bool = False
     picks: Column | None = None
     rule: Column | None = None
+    steps: list[dict[str, Column]] = field(default_factory=list)
 
 
 def _recommendation() -> Match:
@@ -214,29 +217,35 @@ def _metric() -> Match:
 
 
 def _budget() -> Match:
-    lead = F.regexp_extract(_t(), _I + rf"^(.*?){CURRENCY}", 1)
-    rest = F.regexp_replace(_t(), _I + rf"^.*?{CURRENCY}", "")
+    # the pattern looks neither ahead nor back, so it finds in the first match alone what it found there in the text
+    raw, at = F.col("_sum"), F.call_function("instr", _t(), F.col("_sum"))
+    first = {"_sum": F.regexp_extract(_t(), _I + CURRENCY, 0)}
+    parts = {f"_sum{i}": _group(CURRENCY, i, raw) for i in range(1, 8)}
+    parts |= {"_lead": F.substring(_t(), F.lit(1), at - 1), "_rest": F.substring(_t(), at + F.length(raw), F.length(_t()))}
+    part = lambda i: F.col(f"_sum{i}")
+    lead, rest = F.col("_lead"), F.col("_rest")
     holders = [
         r"^(.+?)\s+(?:has|received|secured|was\s+granted|is\s+allocated|was\s+allocated|will\s+receive)\b",
         r"^(.+?)\s+(?:(?:has\s+)?(?:an?\s+)?(?:approved|committed|proposed)?\s*)(?:budget|funding|investment|allocation)\b",
     ]
     given = r"\b(?:allocated|granted|provided|committed|invested)\s+to\s+([^.;]+)"
-    code, amount = numbers.money(F.coalesce(_group(CURRENCY, 2), _group(CURRENCY, 7)), F.coalesce(_group(CURRENCY, 3), _group(CURRENCY, 5)), F.coalesce(_group(CURRENCY, 4), _group(CURRENCY, 6)))
+    code, amount = numbers.money(F.coalesce(part(2), part(7)), F.coalesce(part(3), part(5)), F.coalesce(part(4), part(6)))
     vague = _has(r"\b(?:about|approximately|around|roughly|circa)\s*$", F.right(lead, F.lit(24)))
-    state = F.when(_group(CURRENCY, 1).isNotNull(), "ceiling")
+    state = F.when(part(1).isNotNull(), "ceiling")
     for word in ("approved", "committed", "proposed"):
         state = state.when(_has(rf"\b{word}\b"), word)
     spoken = _has(r"\bbudget\b|\bfunding\b|\bfunded\b|\binvestment\b|\binvested\b|\ballocation\b|\ballocated\b")
     return Match(
         when=spoken & _has(CURRENCY),
         subject=F.coalesce(*[_group(p, 1, lead) for p in holders], _group(given, 1, rest)),
-        raw=F.regexp_extract(_t(), _I + CURRENCY, 0),
+        raw=raw,
         value_type="money",
         number=amount,
         currency=code,
         qualifiers={"budget_status": lambda: state},
         warning=F.when(_count(CURRENCY) > 1, "abstained_multiple_values").when(vague, "abstained_ambiguous_relationship"),
         budget=True,
+        steps=[first, parts],
     )
 
 
@@ -290,6 +299,9 @@ def outcomes(statements: DataFrame, predicates: list[str] | None = None, matcher
     rows = frames.exploded(statements, F.array(*[F.when(m.when, p) for p, m in found.items()]), "predicate")
     if len(found) > 1:  # so many patterns do not fit into one compiled stage
         rows = written(rows, "matched")
+    for name, match in found.items():
+        for step in match.steps:
+            rows = frames.settled(rows, {c: F.when(F.col("predicate") == name, v) for c, v in step.items()})
     rows = frames.settled(rows, {
         "_found": _by_rule(found, lambda m: m.subject, "string"),
         "raw_value": _by_rule(found, lambda m: m.raw, "string"),

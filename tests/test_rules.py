@@ -87,3 +87,22 @@ def test_evidence_that_is_too_long_is_refused(spark):
 def test_empty_and_null_blocks(spark):
     facts, warnings = rules.extract(blocks(spark, ["", None, "   \n "]))
     assert facts.count() == 0 and warnings.count() == 0
+
+
+def test_budget_reads_its_currency_once(spark):
+    """The parts of an amount, and what stands before and behind it, come from one match over the text."""
+    texts = ["The renewal programme has an approved budget of up to £2.5m.", "Funding of 5 million EUR was allocated to the Harbour Project.", "The civic service received funding of USD 1,200."]
+    rows = blocks(spark, texts)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        found = rules.outcomes(segmentation.statements(rows), ["budget"])
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "(.*?)(?:(up" not in plan and "^.*?(?:(up" not in plan
+    got = [(r.raw_value, r.subject_text, r.value_number, r.value_currency, r.qualifiers) for r in found.orderBy("block_id").collect()]
+    assert got == [
+        ("up to £2.5m", "The renewal programme", Decimal(2_500_000), "GBP", {"budget_status": "ceiling"}),
+        ("5 million EUR", "the Harbour Project", Decimal(5_000_000), "EUR", {}),
+        ("USD 1,200", "The civic service", Decimal(1200), "USD", {}),
+    ]
