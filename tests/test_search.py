@@ -122,6 +122,17 @@ def test_pruned_dense_search_gives_the_rows_of_comparing_all(spark):
     assert retrieval.dense_topk(rows.limit(0), asked_, 3).count() == 0 and retrieval.dense_topk(rows.limit(2), asked_, 5).count() == 41 * 2
 
 
+def test_dense_search_makes_no_row_for_each_copy(spark, monkeypatch):
+    monkeypatch.setattr(dense_index, "VECTORS", 100)
+    monkeypatch.setattr(dense_index, "QUESTIONS", 30)
+    copies = spark.range(400).select(F.format_string("E:c%03d", "id").alias("evidence_id"), F.lit("E").alias("source_id"), F.format_string("c%03d", "id").alias("block_id"), F.array(*[F.lit(x) for x in (0.3, -0.1, 0.7)]).alias("vector"))
+    rows = copies.unionByName(spark.createDataFrame([("E:x", "E", "x", [0.3, -0.1, 0.6]), ("E:short", "E", "short", [1.0, 2.0])], copies.schema))
+    asked_ = rows.where("block_id < 'c080' OR block_id = 'x'").select(F.col("block_id").alias("qid"), "vector")
+    found = dense_index.candidates(dense_index.build(rows), asked_, 3)
+    assert found.count() <= 81 * 3 * 8  # not 400 for each question
+    assert ranks(retrieval.dense_topk(rows, asked_, 3)) == ranks(retrieval.top(retrieval.dense_scores(rows, asked_), rows, 3))
+
+
 def test_runs_of_short_pages(spark):
     from factloom.operators import reports
 
