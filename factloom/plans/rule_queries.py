@@ -168,7 +168,7 @@ def metric_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _facts(spark: SparkSession, sf_dir: str, gold: bool) -> DataFrame:
     """Order facts; gold has other spellings, some other values and leaves out some orders."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     number = F.col("o_orderkey")
     subject = F.concat(F.lit("Order "), number.cast("string"))
     value = F.floor("o_totalprice").cast("decimal(38,9)")
