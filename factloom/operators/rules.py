@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,15 +68,21 @@ def _has(pattern: str, of: Column | None = None) -> Column:
 
 
 def _group(pattern: str, group: int, of: Column | None = None) -> Column:
-    """A group of the first match; null without a match or if it is empty."""
+    """A group of the first match, which is made once; null without a match or if it is empty."""
     found = F.regexp_extract(_t() if of is None else of, _I + pattern, group)
-    return F.when(F.length(found) > 0, found)
+    return F.get(F.filter(F.array(found), lambda g: F.length(g) > 0), F.lit(0))
 
 
 def _count(pattern: str) -> Column:
     return F.size(F.regexp_extract_all(_t(), F.lit(_I + pattern), F.lit(0)))
 
 
+def _may(words: list[str]) -> Column:
+    """Whether the folded statement ``_low`` has one of the words, or no word is asked for."""
+    low = F.col("_low")
+    return reduce(Column.__or__, [low.rlike(r"(?U)\d") if w == "0" else F.contains(low, F.lit(w)) for w in words]) if words else F.lit(True)
+
+
 def trim_subject(value: Column) -> Column:
     """Without white space, list marks before and punctuation behind."""
     return F.regexp_replace(F.regexp_replace(value, r"(?U)\A[\s\-•]+", ""), r"(?U)[\s:;|,\-]+\z", "")
@@ -108,7 +116,8 @@ class Match:
     ``qualifiers`` may use ``subject_text``. ``picks`` are several readings, structs (subject,
     raw, number, start), that take the place of one; ``rule`` is a rule id other than the predicate's.
     ``steps`` are columns made before all others but ``when``, each dict from those before, so that a pattern
-    is matched once for all that use it.
+    is matched once for all that use it. ``words``, folded, are such that a statement has one of them where ``when``
+    holds, or "0" for any digit: without them no pattern is tried.
     """
 
     when: Column
@@ -128,35 +137,39 @@ class Match:
     picks: Column | None = None
     rule: Column | None = None
     steps: list[dict[str, Column]] = field(default_factory=list)
+    words: list[str] = field(default_factory=list)
 
 
 def _recommendation() -> Match:
     numbered = segmentation.NUMBERED_RECOMMENDATION.removeprefix(_I)
     explicit = r"^(.+?)\s+(?:recommends?|recommended)\s+(?:that\s+)?(.+)$"
     context = r"^(?:recommends?|recommended)\s+(?:that\s+)?(.+)$"
-    listed = _has(numbered)
+    listed, spoken = F.col("_rec_listed"), F.col("_rec_explicit")
     return Match(
-        when=listed | _has(explicit) | _has(context),
-        subject=F.when(listed, _group(numbered, 1)).otherwise(_group(explicit, 1)),
-        raw=text.strip(F.when(listed, _group(numbered, 3)).when(_has(explicit), _group(explicit, 2)).otherwise(_group(context, 1))),
+        when=_has(numbered) | _has(explicit) | _has(context),
+        subject=F.when(listed, _group(numbered, 1)).when(spoken, _group(explicit, 1)),
+        raw=text.strip(F.when(listed, _group(numbered, 3)).when(spoken, _group(explicit, 2)).otherwise(_group(context, 1))),
         qualifiers={"recommendation_id": lambda: F.when(listed, _group(numbered, 2).cast("int"))},
         late_warning=lambda: F.when(F.coalesce(F.length("raw_value"), F.lit(0)) == 0, "abstained_ambiguous_relationship"),
         kind=F.when(listed, "recommendation"),
         checked=~listed,
+        steps=[{"_rec_listed": _has(numbered), "_rec_explicit": _has(explicit)}],
+        words=["recommend"],
     )
 
 
-def _actor(trigger: str) -> Match:
+def _actor(trigger: str, words: list[str]) -> Match:
     explicit, context = rf"^(.+?)\s+({trigger}\b.+)$", rf"^({trigger}\b.+)$"
     return Match(
         when=_has(explicit) | _has(context),
         subject=_group(explicit, 1),
-        raw=text.strip(F.when(_has(explicit), _group(explicit, 2)).otherwise(_group(context, 1))),
+        raw=text.strip(F.coalesce(_group(explicit, 2), _group(context, 1))),  # neither group is ever empty
+        words=words,
     )
 
 
 def _decision() -> Match:
-    found = _actor(DECISION)
+    found = _actor(DECISION, ["decided", "agreed", "approved", "selected", "chose", "resolved"])
     found.when = found.when & ~_has(r"\b(?:proposal|proposed|option)\b.*\b(?:approve|select|choose)\b")
     return found
 
@@ -183,6 +196,7 @@ def _risk() -> Match:
         confidence=F.when(table, 0.5),
         status=F.when(table, "ambiguous"),
         checked=~table,
+        words=["risk", "threat", "adverse"],
     )
 
 
@@ -213,6 +227,7 @@ def _metric() -> Match:
         warning=F.when((_count(PERCENT) > 1) | (~share & (_count(COUNT) > 1)), "abstained_multiple_values"),
         late_warning=lambda: F.when(F.length(slug()) == 0, "abstained_missing_subject"),
         kind="metric",
+        words=["0"],
     )
 
 
@@ -246,29 +261,32 @@ def _budget() -> Match:
         warning=F.when(_count(CURRENCY) > 1, "abstained_multiple_values").when(vague, "abstained_ambiguous_relationship"),
         budget=True,
         steps=[first, parts],
+        words=["budget", "fund", "invest", "allocat"],
     )
 
 
 def _action_status() -> Match:
     action = r"\bAction\s+([A-Za-z0-9][A-Za-z0-9-]*)\b"
-    ratio = _has(RATIO)
+    ratio, named = F.col("_act_ratio"), F.col("_act_named")
     lead = trim_subject(F.regexp_extract(_t(), _I + rf"^(.*?){RATIO}", 1))
     explicit = rf"^(.+?)\s+(?:(?:is|are|was|were|remains?|has\s+been|have\s+been)\s+)?{STATUS}"
     context = rf"^{STATUS}"
     fits = F.when(_has(explicit), _has(ACTION_WORDS, trim_subject(_group(explicit, 1)))).when(_has(context), F.coalesce(_has(ACTION_WORDS, F.col("context")), F.lit(False))).otherwise(False)
     return Match(
-        when=ratio | fits,
-        subject=F.when(ratio, F.when((F.length(lead) > 0) & _has(ACTION_WORDS, lead), lead).otherwise(_group(RATIO, 2))).otherwise(_group(explicit, 1)),
-        raw=F.when(ratio, _group(RATIO, 1)).when(_has(explicit), _group(explicit, 2)).otherwise(_group(context, 1)),
+        when=_has(RATIO) | fits,
+        subject=F.when(ratio, F.when((F.length(lead) > 0) & _has(ACTION_WORDS, lead), lead).otherwise(_group(RATIO, 2))).otherwise(named),
+        raw=F.when(ratio, _group(RATIO, 1)).when(named.isNotNull(), _group(explicit, 2)).otherwise(_group(context, 1)),
         value_type="status",
         qualifiers={"action_id": lambda: _group(action, 1, F.when(ratio, _t()).otherwise(F.col("subject_text")))},
+        steps=[{"_act_ratio": _has(RATIO), "_act_named": _group(explicit, 1)}],
+        words=["started", "progress", "track", "delayed", "completed", "delivered", "met"],
     )
 
 
 MATCHERS: dict[str, Callable[[], Match]] = {
     "recommendation": _recommendation,
-    "commitment": lambda: _actor(COMMITMENT),
-    "requirement": lambda: _actor(REQUIREMENT),
+    "commitment": lambda: _actor(COMMITMENT, ["will", "commit", "intend", "plan"]),
+    "requirement": lambda: _actor(REQUIREMENT, ["must", "shall", "required"]),
     "decision": _decision,
     "risk": _risk,
     "metric": _metric,
@@ -296,12 +314,14 @@ def outcomes(statements: DataFrame, predicates: list[str] | None = None, matcher
     """
     chosen, inventory = matchers or MATCHERS, inventory or RULES
     found = {p: chosen[p]() for p in (predicates or chosen)}
-    rows = frames.exploded(statements, F.array(*[F.when(m.when, p) for p, m in found.items()]), "predicate")
-    if len(found) > 1:  # so many patterns do not fit into one compiled stage
-        rows = written(rows, "matched")
-    for name, match in found.items():
-        for step in match.steps:
-            rows = frames.settled(rows, {c: F.when(F.col("predicate") == name, v) for c, v in step.items()})
+    if len(found) == 1:
+        rows = frames.exploded(statements, F.array(*[F.when(m.when, p) for p, m in found.items()]), "predicate")
+    else:  # so many patterns do not fit into one compiled stage
+        rows = frames.settled(statements, {"_low": text.folded(_t())})
+        rows = written(frames.exploded(rows, F.array(*[F.when(_may(m.words) & m.when, p) for p, m in found.items()]), "predicate").drop("_low"), "matched")
+    for steps in zip_longest(*[m.steps for m in found.values()], fillvalue={}):
+        made = {c: F.when(F.col("predicate") == name, v) for name, step in zip(found, steps) for c, v in step.items()}
+        rows = frames.settled(rows, made) if made else rows
     rows = frames.settled(rows, {
         "_found": _by_rule(found, lambda m: m.subject, "string"),
         "raw_value": _by_rule(found, lambda m: m.raw, "string"),

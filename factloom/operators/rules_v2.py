@@ -81,22 +81,18 @@ def generic_actor(value: Column) -> Column:
 
 def _commitment() -> Match:
     pattern = r"^(.*?)" + COMMITMENT
-    before = F.regexp_extract(_t(), _I + pattern, 1)
-    trigger = F.lower(text.collapse(F.regexp_extract(_t(), _I + pattern, 2)))
-    raw = text.collapse(F.substring(_t(), F.length(before) + 1, F.length(_t())))
+    lead = F.regexp_extract(_t(), _I + pattern, 1)
+    spoken = F.lower(text.collapse(F.regexp_extract(_t(), _I + pattern, 2)))
+    before, trigger, contextual, able, own, raw, problem = map(F.col, ("_com_before", "_com_trigger", "_com_contextual", "_com_able", "_com_own", "_com_raw", "_com_problem"))
     explicit = trigger.isin(EXPLICIT)
-    contextual = text.is_blank(before)
 
     def fits(h: Column) -> Column:
         kind = rules.subject_type(h["text"], "commitment")
         return ~h["text"].rlike("(?U)" + MARKER) & bounds_problem(h["text"]).isNull() & kind.isin(ACTORS) & ((kind != "other") | generic_actor(h["text"]))
 
     trimmed = F.transform("pending", lambda h: F.struct(trim_span(h["text"]).alias("text"), h["start"].alias("start")))
-    able = F.filter(trimmed, fits)
     names = F.array_distinct(F.transform(able, lambda h: F.struct(F.lower(h["text"]), rules.subject_type(h["text"], "commitment"))))
     pick = F.array(F.struct(F.get(able, F.lit(0))["text"].alias("subject"), raw.alias("raw"), F.lit(None).cast("string").alias("number"), F.get(able, F.lit(0))["start"].cast("int").alias("start")))
-    own = trim_span(before)
-    problem = bounds_problem(own)
 
     def late() -> Column:
         kind = F.col("_type")
@@ -111,7 +107,7 @@ def _commitment() -> Match:
         .when(~contextual & (problem == "clause"), "abstained_commitment_clause_like_subject")
     )
     return Match(
-        when=_has(COMMITMENT) & ((before == "") | before.rlike(r"(?U)\s$")) & ~(explicit & before.rlike(_I + GOVERNOR)),
+        when=_has(COMMITMENT) & ((lead == "") | lead.rlike(r"(?U)\s$")) & ~(spoken.isin(EXPLICIT) & lead.rlike(_I + GOVERNOR)),
         subject=F.when(~contextual, own),
         raw=raw,
         warning=warning,
@@ -120,17 +116,20 @@ def _commitment() -> Match:
         checked=F.lit(False),
         picks=F.when(contextual, pick),
         rule=F.when(explicit, EXPLICIT_RULE),
+        steps=[
+            {"_com_before": lead, "_com_trigger": spoken},
+            {"_com_contextual": text.is_blank(before), "_com_own": trim_span(before), "_com_raw": text.collapse(F.substring(_t(), F.length(before) + 1, F.length(_t())))},
+            {"_com_able": F.when(contextual, F.filter(trimmed, fits)), "_com_problem": bounds_problem(own)},
+        ],
+        words=["commit", "intend", "plan", "will"],
     )
 
 
 def _requirement() -> Match:
     # "not required to" is passed over: the first other trigger counts
     pattern = r"^(.*?)(?:(?<!\bnot\s)|(?=are|is|must|shall))" + REQUIREMENT
-    before = F.regexp_extract(_t(), _I + pattern, 1)
-    trigger = F.regexp_extract(_t(), _I + pattern, 2)
-    action = text.collapse(F.substring(_t(), F.length(before) + F.length(trigger) + 1, F.length(_t())))
-    contextual = text.is_blank(before)
-    subject = F.when(~contextual, trim_span(before))
+    lead = F.regexp_extract(_t(), _I + pattern, 1)
+    before, trigger, action = map(F.col, ("_req_before", "_req_trigger", "_req_action"))
     words = F.size(tokens(action))
 
     def late() -> Column:
@@ -139,36 +138,40 @@ def _requirement() -> Match:
         return F.when(unfit, "abstained_requirement_ineligible_subject")
 
     return Match(
-        when=_t().rlike(_I + pattern) & (~contextual | F.col("context").isNotNull()),
-        subject=subject,
+        when=_t().rlike(_I + pattern) & (F.col("context").isNotNull() | ~text.is_blank(lead)),
+        subject=F.when(~text.is_blank(before), trim_span(before)),
         raw=text.collapse(F.substring(_t(), F.length(before) + 1, F.length(_t()))),
         warning=F.when((words < 1) | (words > 40) | (F.length(action) > 240), "abstained_requirement_ineligible_action"),
         late_warning=late,
         checked=F.lit(False),
+        steps=[
+            {"_req_before": lead, "_req_trigger": F.regexp_extract(_t(), _I + pattern, 2)},
+            {"_req_action": text.collapse(F.substring(_t(), F.length(before) + F.length(trigger) + 1, F.length(_t())))},
+        ],
+        words=["must", "shall", "required"],
     )
 
 
 def _metric() -> Match:
-    share = _count(rules.PERCENT)
+    counted = _count(rules.PERCENT)
     first = rf"^(.*?){rules.PERCENT}(.*)$"
-    lead, rest = F.regexp_extract(_t(), _I + first, 1), F.regexp_extract(_t(), _I + first, 4)
+    lead, rest, share = map(F.col, ("_met_lead", "_met_rest", "_met_share"))
     after = r"^\s+of\s+([A-Za-z][A-Za-z0-9 '\-/]{0,80}?)(?=\s+(?:were|was|are|is|had|have|reported|used|completed|met|said|received|adopted)\b)"
-    population = text.strip(_group(after, 1, rest))
-    linked = _group(LINK, 1, lead)
+    before, behind = F.regexp_extract(_t(), _I + first, 1), F.regexp_extract(_t(), _I + first, 4)
+    names = lambda lead: F.filter(F.transform(F.split(cleaned(lead), _I + r"\s+and\s+"), trim_span), lambda s: s != "")
+    population, linked, subjects, readings = map(F.col, ("_met_population", "_met_linked", "_met_subjects", "_met_readings"))
     unit = _group(rules.COUNT, 2)
     raws = F.regexp_extract_all(_t(), F.lit(_I + rules.PERCENT), F.lit(0))
-    cleaned = F.regexp_replace(F.regexp_replace(lead, _I + r"\s+(?:may\s+be|was|were|is|are|reached|stood\s+at|measured)\s*$", ""), r"^[ ,:;\-]+|[ ,:;\-]+$", "")
-    subjects = F.filter(F.transform(F.split(cleaned, _I + r"\s+and\s+"), trim_span), lambda s: s != "")
+    cleaned = lambda lead: F.regexp_replace(F.regexp_replace(lead, _I + r"\s+(?:may\s+be|was|were|is|are|reached|stood\s+at|measured)\s*$", ""), r"^[ ,:;\-]+|[ ,:;\-]+$", "")
 
     def reading(s: Column) -> Column:
         return F.transform(raws, lambda r: F.struct(s.alias("subject"), r.alias("raw"), F.regexp_extract(r, r"^\d+(?:\.\d+)?", 0).alias("number"), F.lit(None).cast("int").alias("start")))
 
-    readings = F.flatten(F.transform(subjects, reading))
     several = share > 1
     cues = F.filter(F.array(*map(F.lit, POPULATIONS)), lambda c: F.array_contains(F.transform(tokens(_t()), F.lower), c))
     years = F.regexp_extract_all(_t(), F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
     return Match(
-        when=~_has(rules.CURRENCY) & ~_has(rules.RATIO) & (((share == 0) & (_count(rules.COUNT) > 0)) | ((share == 1) & (linked.isNotNull() | population.isNotNull())) | (share > MOST_VALUES) | (several & (F.size(subjects) > 0))),
+        when=~_has(rules.CURRENCY) & ~_has(rules.RATIO) & (((counted == 0) & (_count(rules.COUNT) > 0)) | ((counted == 1) & (_has(LINK, before) | _has(after, behind))) | (counted > MOST_VALUES) | ((counted > 1) & (F.size(names(before)) > 0))),
         subject=F.when(share == 0, unit).when(share == 1, F.coalesce(trim_span(linked), population)),
         raw=F.when(share == 0, F.regexp_extract(_t(), _I + rules.COUNT, 0)).otherwise(F.regexp_extract(_t(), _I + rules.PERCENT, 0)),
         value_type=F.when(share == 0, "number").otherwise("percentage"),
@@ -185,6 +188,12 @@ def _metric() -> Match:
         status=F.when(several, "ambiguous"),
         checked=F.lit(False),
         picks=F.when(several & (share <= MOST_VALUES) & (F.size(readings) <= MOST_READINGS), readings),
+        steps=[
+            {"_met_share": counted, "_met_lead": before, "_met_rest": behind},
+            {"_met_population": text.strip(_group(after, 1, rest)), "_met_linked": _group(LINK, 1, lead), "_met_subjects": names(lead)},
+            {"_met_readings": F.flatten(F.transform(subjects, reading))},
+        ],
+        words=["0"],
     )
 
 

@@ -61,17 +61,22 @@ def trusted_actors(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     return every.groupBy("source_id").agg(F.count_distinct(F.lower("actor")).alias("actors"), F.min_by("actor", F.struct(F.lower("actor"), "method")).alias("actor"), F.min("method").alias("method"))
 
 
-def _quoted() -> Column:
-    """Whether the subject stands in a quotation or in reported speech. Looks at 180 characters
-    before and 100 behind; an excerpt that is not unique in its block is judged alone."""
-    block, excerpt, subject = F.col("_block"), F.col("text_excerpt"), text.collapse(F.col("subject_text"))
+def _surroundings(rows: DataFrame) -> DataFrame:
+    """Adds the 180 characters _before the subject and 120 from it on, _behind; an excerpt that is not unique in
+    its block is looked at alone. In steps, so that each text is searched once."""
+    block, excerpt, at = F.col("_block"), F.col("text_excerpt"), F.col("_at")
     times = (F.length(block) - F.length(F.replace(block, excerpt, F.lit("")))) / F.length(excerpt)
     inside = F.greatest(F.call_function("instr", excerpt, F.col("subject_text")), F.lit(1))
-    at = F.when(times == 1, F.call_function("instr", block, excerpt) + inside - 1).otherwise(inside)
-    whole = F.when(times == 1, block).otherwise(excerpt)
+    rows = frames.settled(rows, {"_once": F.coalesce(times == 1, F.lit(False)), "_inside": inside, "_own": text.collapse(F.col("subject_text"))})
+    rows = frames.settled(rows, {"_at": F.when(F.col("_once"), F.call_function("instr", block, excerpt) + F.col("_inside") - 1).otherwise(F.col("_inside"))})
+    whole = F.when(F.col("_once"), block).otherwise(excerpt)
     low = F.greatest(at - 180, F.lit(1))
-    before = F.substring(whole, low, at - low)
-    behind = F.substring(whole, at, F.lit(120))
+    return frames.settled(rows, {"_before": F.substring(whole, low, at - low), "_behind": F.substring(whole, at, F.lit(120))}).drop("_once", "_inside", "_at")
+
+
+def _quoted() -> Column:
+    """Whether the subject stands in a quotation or in reported speech, by its surroundings."""
+    before, behind, subject = F.col("_before"), F.col("_behind"), F.col("_own")
     line = F.concat(F.regexp_extract(before, r"[^\n]*\z", 0), F.regexp_extract(behind, r"\A[^\n]*", 0))
     named = subject.rlike(_I + "(?:^according\\s+to\\b[^.!?\\n]{1,100},\\s*|^.{1,100}\\b(?:said|stated|reported|wrote|announced|claimed|argued|told)\\b[^.!?\\n]{0,40}(?:that|[:,])\\s*)[\"'“”‘’]?\\s*(?:we|our|(?:the\\s+)?government)\\b")
     return named | subject.rlike(_I + QUOTED_SUBJECT) | line.rlike(r"^\s*(?:>|\|)") | before.rlike("[\"“‘]\\s*\\z") | behind.rlike(_I + QUOTED_SUBJECT) | before.rlike(_I + SPEECH)
@@ -85,7 +90,7 @@ def statement_actor(subject: Column) -> Column:
 
 def _resolved(rows: DataFrame) -> DataFrame:
     """Adds _subject, _type and _method: who acts."""
-    own = text.collapse(F.col("subject_text"))
+    rows, own = _surroundings(rows), F.col("_own")
     first, government = own.rlike(_I + FIRST_PERSON), own.rlike(_I + GOVERNMENT)
     state = F.lower("actor").contains("government")
     method = (
@@ -95,7 +100,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
         .when(government & ~state, "unresolved")
         .otherwise(F.col("method"))
     )
-    rows = frames.settled(rows, {"_method": method, "_first": first})
+    rows = frames.settled(rows, {"_method": method, "_first": first}).drop("_own", "_before", "_behind")
     trusted = F.col("_method").isin("authors_or_senders", "authoring_metadata", "role_aware_front_matter")
     return rows.withColumns({"_subject": F.when(trusted, F.col("actor")).otherwise(F.col("subject_text")), "_type": F.when(trusted, "organisation").otherwise(F.col("subject_type"))})
 
@@ -112,12 +117,18 @@ def action_verb(value: Column) -> Column:
 def plain_value(raw: Column) -> tuple[Column, Column]:
     """The value of a commitment and how it was made: an affirmative "will" goes, negation,
     intent and modifiers stay, a safe wrapper gives way to what it wraps."""
-    value = text.collapse(raw)
-    action = F.regexp_replace(value, _I + r"^will\s+", "")
-    inner = text.strip(F.regexp_extract(action, _I + WRAPPER, 1))
+    made = text.bound(text.collapse(raw), lambda value: text.bound(F.regexp_replace(value, _I + r"^will\s+", ""), lambda action: text.bound(text.strip(F.regexp_extract(action, _I + WRAPPER, 1)), lambda inner: text.bound(_how(value, action, inner), lambda how: F.struct(_kept(value, action, inner, how).alias("value"), how.alias("how"))))))
+    return made["value"], made["how"]
+
+
+def _kept(value: Column, action: Column, inner: Column, how: Column) -> Column:
+    return _upper_first(F.when(how == "safe_recommendation_wrapper_collapsed", inner).when(how == "affirmative_will_removed", action).otherwise(value))
+
+
+def _how(value: Column, action: Column, inner: Column) -> Column:
     safe = action_verb(inner).isin(VERBS) & (F.size(F.regexp_extract_all(inner, F.lit("[A-Za-z0-9]+"), F.lit(0))) >= 3) & ~inner.rlike(_I + CUT_OFF) & ~inner.rlike(_I + r"\b(?:not|might|may|could|perhaps|this|these|those|it|them|they)\b")
     wrapped = action.rlike(_I + WRAPPER)
-    how = (
+    return (
         F.when(value.rlike(_I + r"^will\s+not\b"), "negation_preserved")
         .when(value.rlike(_I + PLANNED), "intent_or_planning_preserved")
         .when(~value.rlike(_I + r"^will\s+"), "capitalisation_only")
@@ -125,8 +136,6 @@ def plain_value(raw: Column) -> tuple[Column, Column]:
         .when(wrapped, "unsafe_wrapper_preserved")
         .otherwise("affirmative_will_removed")
     )
-    kept = F.when(how == "safe_recommendation_wrapper_collapsed", inner).when(how == "affirmative_will_removed", action).otherwise(value)
-    return _upper_first(kept), how
 
 
 # A sentence as one pattern. Possessive runs keep matching linear.
@@ -154,9 +163,8 @@ def completed(known: Column, rest: Column) -> Column:
     count = lambda mark: F.length(known) - F.length(F.replace(known, F.lit(mark), F.lit("")))
     depth = F.greatest(count("(") - count(")"), F.lit(0))
     found = lambda d: F.regexp_extract(F.concat(lead, rest), rf"\A(?s:.{{{_LEAD}}})((?:{_CLOSING}){{{d}}}{_RUN})", 1)
-    end = F.when(depth == 0, found(0)).when(depth == 1, found(1)).when(depth == 2, found(2))
-    fits = (end != "") & (F.length(known) + F.length(end) <= MOST_SENTENCE)
-    return F.when(done, F.lit("")).when(fits, end)
+    ends = text.bound(depth, lambda d: F.when(d == 0, found(0)).when(d == 1, found(1)).when(d == 2, found(2)))
+    return F.when(done, F.lit("")).otherwise(text.bound(ends, lambda end: F.when((end != "") & (F.length(known) + F.length(end) <= MOST_SENTENCE), end)))
 
 
 def whole_sentence(block: Column, excerpt: Column, raw: Column) -> Column:

@@ -42,20 +42,28 @@ def _total(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0), lambda a, b: a + b)
 
 
-def _trimmed(piece: Column, start: Column) -> tuple[Column, Column]:
-    body = F.regexp_replace(piece, r"(?U)\s+\z", "")
-    lead = F.length(body) - F.length(F.regexp_replace(body, r"(?U)\A\s+", ""))
-    return text.strip(piece), (start + lead).cast("int")
+def _trimmed(pieces: str) -> Column:
+    """Structs (text, start) without white space around; a transform of its own, for a lambda evaluates what it
+    builds on anew wherever it names it."""
+
+    def one(p: Column) -> Column:
+        lead = F.length(F.regexp_extract(p["piece"], r"(?U)\A\s*+", 0))
+        return F.struct(text.strip(p["piece"]).alias("text"), (p["start"] + lead).cast("int").alias("start"))
+
+    return F.transform(pieces, one)
 
 
 def is_heading(line: Column) -> Column:
     """Short lines that end in a colon, are upper-case, or have title-like words and no prose marker."""
     words = F.regexp_extract_all(line, F.lit(r"[A-Za-z0-9][A-Za-z0-9'&/\-]*"), F.lit(0))
     upper = (F.upper(line) == line) & (F.lower(line) != line)
-    prose = F.exists(words, lambda w: F.lower(w).isin(PROSE_MARKERS))
-    titled = F.size(F.filter(words, lambda w: F.substring(w, 1, 1).rlike("[A-Z]"))) >= F.greatest(F.lit(1), F.size(words) - 1)
-    worded = (F.size(words) > 0) & (F.size(words) <= 12)
-    return (F.length(line) > 0) & (F.length(line) < 120) & (line.endswith(":") | (~line.rlike("[.!?]$") & worded & (upper | (~prose & titled))))
+
+    def worded(found: Column) -> Column:
+        prose = F.exists(found, lambda w: F.lower(w).isin(PROSE_MARKERS))
+        titled = F.size(F.filter(found, lambda w: F.substring(w, 1, 1).rlike("[A-Z]"))) >= F.greatest(F.lit(1), F.size(found) - 1)
+        return (F.size(found) > 0) & (F.size(found) <= 12) & (upper | (~prose & titled))
+
+    return (F.length(line) > 0) & (F.length(line) < 120) & (line.endswith(":") | (~line.rlike("[.!?]$") & text.bound(words, worded)))
 
 
 def is_heading_v2(line: Column) -> Column:
@@ -71,10 +79,9 @@ def lines(blocks: DataFrame, heading: Callable[[Column], Column] = is_heading, w
     rows = _with_starts(blocks.withColumn("_pieces", pieces), "_pieces", "_lines")
 
     def line(p: Column, i: Column) -> Column:
-        body, start = _trimmed(p["piece"], p["start"])
-        return F.struct((i + 1).alias("line_number"), body.alias("text"), start.alias("start"), (start + F.length(body)).alias("end"), heading(body).alias("heading"))
+        return F.struct((i + 1).alias("line_number"), p["text"].alias("text"), p["start"].alias("start"), (p["start"] + F.length(p["text"])).alias("end"), heading(p["text"]).alias("heading"))
 
-    rows = rows.withColumn("_lines", F.transform("_lines", line))
+    rows = rows.withColumn("_lines", F.transform(_trimmed("_lines"), line))
 
     def before(p: Column, i: Column) -> Column:
         last = F.when(i > 0, F.get("_lines", i - 1))
@@ -107,10 +114,9 @@ def statements(blocks: DataFrame) -> DataFrame:
     parts = F.when(F.col("text").rlike(NUMBERED_RECOMMENDATION), F.array("text")).otherwise(F.split(F.regexp_replace("text", _SENTENCE, _MARK + "$1"), _MARK))
 
     def part(p: Column) -> Column:
-        body, start = _trimmed(p["piece"], p["start"])
-        return F.struct(body.alias("text"), (F.col("start") + start).alias("start"), (F.col("start") + start + F.length(body)).alias("end"))
+        return F.struct(p["text"].alias("text"), (F.col("start") + p["start"]).alias("start"), (F.col("start") + p["start"] + F.length(p["text"])).alias("end"))
 
-    found = frames.exploded(_with_starts(prose.withColumn("_parts", parts), "_parts", "_placed"), F.transform("_placed", part), "_part")
+    found = frames.exploded(_with_starts(prose.withColumn("_parts", parts), "_parts", "_placed"), F.transform(_trimmed("_placed"), part), "_part")
     return found.select("source_id", "block_id", "sequence", "block_type", "line_number", "_part.*", "context", "context_start").where(F.length("text") > 0)
 
 
@@ -126,8 +132,7 @@ def statements_v2(blocks: DataFrame) -> DataFrame:
     marked = F.regexp_replace(F.regexp_replace("text", _SENTENCE_V2, "$1" + _MARK), _LIST_MARK, "$1")
 
     def part(p: Column) -> Column:
-        body, start = _trimmed(p["piece"], p["start"])
-        return F.struct(body.alias("text"), (F.col("start") + start).alias("start"), (F.col("start") + start + F.length(body)).alias("end"))
+        return F.struct(p["text"].alias("text"), (F.col("start") + p["start"]).alias("start"), (F.col("start") + p["start"] + F.length(p["text"])).alias("end"))
 
-    found = frames.exploded(_with_starts(prose.withColumn("_parts", F.split(marked, _MARK)), "_parts", "_placed"), F.transform("_placed", part), "_part")
+    found = frames.exploded(_with_starts(prose.withColumn("_parts", F.split(marked, _MARK)), "_parts", "_placed"), F.transform(_trimmed("_placed"), part), "_part")
     return found.select("source_id", "block_id", "sequence", "block_type", "line_number", "_part.*", "context", "context_start", "pending").where(F.length("text") > 0)

@@ -106,3 +106,14 @@ def test_budget_reads_its_currency_once(spark):
         ("5 million EUR", "the Harbour Project", Decimal(5_000_000), "EUR", {}),
         ("USD 1,200", "The civic service", Decimal(1200), "USD", {}),
     ]
+
+
+def test_statements_are_asked_for_the_words_of_a_rule_first(spark):
+    """Every rule names words without which none of its patterns is tried; letters that patterns take for ASCII ones count as these."""
+    from factloom.operators import rules_v2
+
+    assert all(make().words for matchers in (rules.MATCHERS, rules_v2.MATCHERS) for make in matchers.values())
+    odd = ["The civic service muſt publish progress updates.", "The oversight board wİll publish it.", "The renewal project faces a rısK of supplier delay."]
+    for outcomes, statements in ((rules.outcomes, segmentation.statements), (rules_v2.outcomes, segmentation.statements_v2)):
+        made = outcomes(statements(blocks(spark, odd))).select("block_id", "predicate").distinct().orderBy("block_id").collect()
+        assert [tuple(r) for r in made] == [("B0001", "requirement"), ("B0002", "commitment"), ("B0003", "risk")]

@@ -59,3 +59,9 @@ def test_organisations(spark):
     cases = [("the Northern Harbour Authority.", "Northern Harbour Authority"), ("Smith, John Office", None), ("Microsoft Word Group", None), ("NHA BOARD", None), ("Board", None), ("Office of the", None)]
     df = spark.createDataFrame([(a,) for a, _ in cases], "v string")
     assert [r[0] for r in df.select(rules_v4.organisation(F.col("v"))).collect()] == [b for _, b in cases]
+
+
+def test_a_block_is_searched_once_for_its_excerpt(spark):
+    row = spark.createDataFrame([("We", "Intro. We will act.", "We will act.", 1, "A Board", "authors_or_senders", "other")], "subject_text string, _block string, text_excerpt string, actors int, actor string, method string, subject_type string")
+    plan = rules_v4._resolved(row)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("replace(_block") == 1 and plan.count("instr(_block") == 1
