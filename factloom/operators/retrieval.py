@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
-from factloom.operators import dense_index, lexical_index, ordinals
+from factloom.operators import dense_index, fusion, lexical_index, ordinals
 from factloom.storage import written
 
 DIGITS = lexical_index.DIGITS
 RRF_K = 60
+#: How deep rankings are looked at first for an expected record: enough where it is the first of one.
+FIRST_DEPTH = 128
 #: Rows of a question are joined to what is known of the question in so many pieces.
 PIECES = 64
 
@@ -118,7 +120,12 @@ def fuse(lexical: DataFrame, dense: DataFrame, k: int | None = 10, constant: int
 
 
 def hybrid(rows: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
-    """Hybrid top-k: both legs rank all records, then the ranks are fused, then limited."""
+    """Hybrid top-k of both complete rankings, fused by ranks. With a limit neither is made: a record of the k best is among
+    the first 60 + 2k of one, for the first k of one leg are fused to more than any other record. Evidence ids are unique."""
+    if k is not None:
+        held = fusion.build(rows, queries)
+        ranked = fusion.ranks(held, held.asked.select("qid", F.lit(RRF_K + 2 * k).alias("depth"), F.array().cast("array<string>").alias("wanted")))
+        return fuse(ranked.select("qid", "evidence_id", "source_id", "block_id", "lexical_rank"), ranked, k)
     lexical = full_ranks(lexical_scores(rows, queries), rows, queries, "lexical_rank")
     dense = full_ranks(dense_scores(rows, queries), rows, queries, "dense_rank")
     return fuse(lexical, dense, k)
@@ -173,6 +180,26 @@ def lexical_first_ranks(rows: DataFrame, queries: DataFrame, expected: DataFrame
     return complete_first_ranks(written(lexical_index.at_least(index, asked, held, own), "scores"), index.records, expected)
 
 
+def hybrid_first_ranks(rows: DataFrame, queries: DataFrame, expected: DataFrame) -> DataFrame:
+    """``first_ranks`` over the complete hybrid ranking, which is not made. What the best expected record is fused to says how
+    deep a record before it can be; questions for which the first look was not as deep get another."""
+    held = fusion.build(rows, queries)
+    wanted = written(expected.join(held.asked.select("qid"), "qid", "left_semi").groupBy("qid").agg(F.collect_set("evidence_id").alias("wanted")), "wanted")
+    ranked = _fused(written(fusion.ranks(held, wanted.select("qid", F.lit(FIRST_DEPTH).alias("depth"), "wanted")), "fused"))
+    place = F.struct((0 - F.col("score")).alias("s"), "source_id", "block_id")
+    best = ranked.where("wanted").groupBy("qid").agg(F.min(place).alias("best"))
+    best = written(best.withColumn("depth", F.floor(2 / (0 - F.col("best.s") - 1e-11)).cast("int") - RRF_K + 1), "best")
+    deep = best.where(F.col("depth") > FIRST_DEPTH).join(wanted, "qid").select("qid", "depth", "wanted")
+    if not deep.isEmpty():
+        ranked = ranked.join(deep, "qid", "left_anti").unionByName(_fused(written(fusion.ranks(held, deep), "fused")))
+    counts = ranked.join(best, "qid").groupBy("qid").agg((F.count_if(place < F.col("best")) + 1).alias("first_rank"))
+    return expected.select("qid").distinct().join(counts, "qid", "left")
+
+
+def _fused(ranked: DataFrame) -> DataFrame:
+    return ranked.withColumn("score", F.round(1 / (F.lit(RRF_K) + F.col("lexical_rank")) + 1 / (F.lit(RRF_K) + F.col("dense_rank")), 12))
+
+
 def evaluate(first: DataFrame) -> DataFrame:
     """One row: number of questions, hit rates at 1, 3 and 5, and mean reciprocal rank."""
 

@@ -80,7 +80,7 @@ def hybrid_retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = asked.join(relevant.select("qid").distinct(), "qid", "left_semi")
     asked = asked.join(vectors, F.col("qid").cast("string") == F.col("block_id"), "left").select("qid", "text", "vector")
     both, words = asked.where("vector IS NOT NULL"), asked.where("vector IS NULL")
-    first = retrieval.first_ranks(retrieval.hybrid(rows, both, None), relevant.join(both.select("qid"), "qid", "left_semi"))
+    first = retrieval.hybrid_first_ranks(rows, both, relevant.join(both.select("qid"), "qid", "left_semi"))
     rest = retrieval.lexical_first_ranks(rows, words, relevant.join(words.select("qid"), "qid", "left_semi"))
     return _measures(first.unionByName(rest))
 

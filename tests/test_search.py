@@ -139,3 +139,23 @@ def test_runs_of_short_pages(spark):
     pages = [("d", p, n) for p, n in enumerate([0, 10, 90, None, 60, 60, 3, 3, 3])] + [("e", 5, 1), ("e", 70, 1), ("f", 1, 99), (None, 1, 0)]
     found = reports.page_runs(spark.createDataFrame(pages, "document string, page long, chars long"))
     assert sorted(tuple(r) for r in found.collect()) == [("d", 0, 1, 2), ("d", 3, 3, 1), ("d", 6, 8, 3), ("e", 5, 70, 2)]
+
+
+def test_fused_ranks_of_rankings_that_are_not_made(spark, monkeypatch):
+    """The rows of the complete fusion, with records and questions in several parts and chunks; no row for each pair."""
+    from factloom.operators import fusion
+
+    monkeypatch.setattr(fusion, "RECORDS", 100)
+    monkeypatch.setattr(fusion, "QUESTIONS", 9)
+    monkeypatch.setattr(retrieval, "FIRST_DEPTH", 4)
+    vector = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda d: F.pmod(F.xxhash64(F.substring("block_id", -2, 2), d), F.lit(7)).cast("double") - 3)
+    rows = corpus(spark, 300).withColumn("vector", F.when(F.col("block_id") != "0007", vector))
+    queries = asked(spark).withColumn("vector", F.when(F.col("qid") != 3, F.array(*[(F.pmod(F.xxhash64("qid", F.lit(d)), F.lit(7)) - 3).cast("double") for d in range(4)])))
+    whole = retrieval.hybrid(rows, queries, None)
+    for k in (1, 5):
+        assert ranks(retrieval.hybrid(rows, queries, k)) == ranks(whole.where(F.col("rank") <= k))
+    expected = rows.where(F.pmod(F.xxhash64("evidence_id"), F.lit(40)) == 0).select("evidence_id").crossJoin(queries.select("qid"))
+    want = {r.qid: r.first_rank for r in retrieval.first_ranks(whole, expected).collect()}
+    assert {r.qid: r.first_rank for r in retrieval.hybrid_first_ranks(rows, queries, expected).collect()} == want
+    held = fusion.build(rows, queries)
+    assert (held.parts, held.chunks) == (4, 4)
