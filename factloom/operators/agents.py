@@ -120,8 +120,10 @@ def answer_policy(cases: DataFrame, hits: DataFrame, facts: DataFrame) -> DataFr
     retrieved = _first_expected(seen, expected).withColumnRenamed("available", "_hit")
     asked = cases.where(searching).select("case_id", F.col("fixture.fact_type").alias("fact_type"), F.lower(F.trim("fixture.query")).alias("_q"))
     words = F.lower(F.concat_ws(" ", "subject", "statement", "value"))
-    matched = facts.drop("case_id").join(asked, "fact_type").where(F.contains(words, F.col("_q")))
-    cited = matched.select("case_id", "fact_id", F.posexplode("evidence_ids").alias("_p", "evidence_id")).select("case_id", F.struct("fact_id", "_p").alias("place"), "evidence_id")
+    # only evidence that a case expects is read, so facts meet cases by it; by type alone they would be as many pairs as their square
+    cites = facts.select("fact_id", "fact_type", words.alias("_words"), F.posexplode("evidence_ids").alias("_p", "evidence_id"))
+    matched = cites.join(expected, "evidence_id").join(asked, ["case_id", "fact_type"]).where(F.contains("_words", F.col("_q")))
+    cited = matched.select("case_id", F.struct("fact_id", "_p").alias("place"), "evidence_id")
     read = _first_expected(cited, expected).withColumnRenamed("available", "_read")
     rows = cases.join(retrieved, "case_id", "left").join(read, "case_id", "left")
     available = F.when(none, F.lit(None)).when(searching, F.col("_read")).otherwise(F.col("_hit"))

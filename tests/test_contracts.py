@@ -226,3 +226,17 @@ def test_gold_values_fit_their_types(spark):
 def test_spans_that_nothing_reaches_into(spark):
     df = spark.createDataFrame([("a", 0, 5), ("a", 0, 9), ("a", 8, 12), ("a", 9, 10), ("a", 12, 14), ("b", 1, 2)], "k string, start int, end int")
     assert sorted(tuple(r) for r in comparison.non_overlapping(df, "k").collect()) == [("a", 0, 9), ("a", 12, 14), ("b", 1, 2)]
+
+
+def test_cases_meet_facts_by_the_evidence_they_expect(spark):
+    """Not by type alone, which gives as many pairs as cases and facts of a type multiplied."""
+    case = "case_id string, category string, expected_evidence_ids array<string>, fixture struct<fact_type:string,query:string>"
+    cases = spark.createDataFrame([("a", "structured_fact_search", ["S:1", "S:2"], ("t", " Two ")), ("b", "structured_fact_search", ["S:9"], ("t", "two")), ("c", "evidence_inspection", ["S:1"], ("u", "one"))], case)
+    facts = spark.createDataFrame([("f1", "x", "t", "one", "", "", ["S:1"]), ("f2", "x", "t", "two", "", "", ["S:3", "S:2"]), ("f3", "x", "t", "two", "", "", ["S:1"])], "fact_id string, case_id string, fact_type string, subject string, statement string, value string, evidence_ids array<string>")
+    hits = spark.createDataFrame([], "case_id string, rank int, evidence_id string")
+    from factloom.operators import agents
+
+    done = agents.answer_policy(cases, hits, facts)
+    assert {r.case_id: r.evidence_id for r in done.collect()} == {"a": "S:2", "b": None, "c": None}
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join Inner, " in line and "fact_type" in line and "case_id" not in line]
