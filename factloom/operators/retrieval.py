@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
-from factloom.operators import dense_index, fusion, lexical_index, ordinals
+from factloom.operators import dense_index, fusion, lexical_index, lexical_parts, ordinals
 from factloom.storage import written
 
 DIGITS = lexical_index.DIGITS
@@ -165,9 +165,8 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def lexical_topk(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``top`` of all lexical scores, of which only those are made that can be among the best."""
-    index = lexical_index.build(rows)
-    return top(written(lexical_index.candidates(index, queries, k), "scores"), index.records, k, queries)
+    """``top`` of all lexical scores, with the records without one; only the best of each part of the records leave their task."""
+    return lexical_parts.topk(lexical_parts.build(rows, queries), k)
 
 
 def lexical_first_ranks(rows: DataFrame, queries: DataFrame, expected: DataFrame) -> DataFrame:

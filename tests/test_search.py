@@ -2,7 +2,7 @@ import random
 import re
 import sys
 
-from factloom.operators import containment, dense_index, goldset, lexical_index, ordinals, retrieval
+from factloom.operators import containment, dense_index, goldset, lexical_index, lexical_parts, ordinals, retrieval
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -159,3 +159,46 @@ def test_fused_ranks_of_rankings_that_are_not_made(spark, monkeypatch):
     assert {r.qid: r.first_rank for r in retrieval.hybrid_first_ranks(rows, queries, expected).collect()} == want
     held = fusion.build(rows, queries)
     assert (held.parts, held.chunks) == (4, 4)
+
+
+def steps(monkeypatch):
+    """The sizes of what lexical searches write between their steps."""
+    sizes = {}
+
+    def spied(module, plain):
+        def written(rows, name):
+            found = plain(rows, name)
+            sizes[name] = max(found.count(), sizes.get(name, 0))
+            return found
+
+        monkeypatch.setattr(module, "written", written)
+
+    for module in (lexical_index, lexical_parts, retrieval):
+        spied(module, module.written)
+    return sizes
+
+
+def copies(spark):
+    rows = spark.range(300).select(F.format_string("S:%03d", "id").alias("evidence_id"), F.lit("S").alias("source_id"), F.format_string("%03d", "id").alias("block_id"), F.lit("w1 w2 w3 and more").alias("text"))
+    return rows.unionByName(spark.createDataFrame([("S:x", "S", "x", "w1 w2 and nothing else"), ("S:y", "S", "y", "? !")], rows.schema))
+
+
+def test_lexical_search_makes_no_row_for_each_copy(spark, monkeypatch):
+    rows, queries = copies(spark), asked(spark)
+    want = ranks(retrieval.top(retrieval.lexical_scores(rows, queries), rows, 3, queries))
+    sizes = steps(monkeypatch)
+    assert ranks(retrieval.lexical_topk(rows, queries, 3)) == want
+    assert max(sizes.values()) <= 302  # not 300 for each question
+
+
+def test_lexical_parts_and_chunks_change_nothing(spark, monkeypatch):
+    for name, value in {"RECORDS": 40, "POSTINGS": 900, "QUESTIONS": 9, "ROWS": 7}.items():
+        monkeypatch.setattr(lexical_parts, name, value)
+    rows = corpus(spark, 300).unionByName(spark.createDataFrame([("n1", None, "n1", "w1 w2 rare"), ("null", "S0", "null", None)], "evidence_id string, source_id string, block_id string, text string"))
+    queries = asked(spark)
+    index = lexical_parts.build(rows, queries)
+    sizes = index.records.groupBy("part").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 41 and sizes[1] >= 8 and index.chunks == 4
+    whole = retrieval.full_ranks(retrieval.lexical_scores(rows, queries), rows, queries, "rank")
+    best = whole.join(retrieval.lexical_scores(rows, queries), ["qid", "evidence_id"], "left").na.fill(0.0, ["score"]).where("rank <= 10")
+    assert ranks(retrieval.lexical_topk(rows, queries, 10)) == ranks(best)
