@@ -57,5 +57,7 @@ def containing(texts: DataFrame, passages: DataFrame) -> DataFrame:
     # an inner word that no text has: the passage is in none
     ranked = own.join(common, "gram", "left").groupBy("passage_id", "passage").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
     pairs = found.join(ranked, "gram").select("text_id", "passage_id", "passage")
-    whole = texts.select("text_id", "text").join(pairs, "text_id")
+    # ids alone, each once and written: where they are few, no other text is exchanged
+    ids = written(pairs.select("text_id").distinct(), "text_ids")
+    whole = texts.select("text_id", "text").join(ids, "text_id", "left_semi").join(pairs, "text_id")
     return whole.where(F.contains("text", "passage")).select("passage_id", "text_id").distinct()

@@ -115,7 +115,7 @@ def build(rows: DataFrame, queries: DataFrame) -> Index:
     kinds = T.StructType([*own.schema.fields[:3], *T.StructType.fromDDL("part long, hs array<long>, tfs array<int>").fields])
     records = written(own.mapInArrow(partial(_count, records=RECORDS, postings=POSTINGS), kinds), "records")
     n = records.count()
-    words = written(records.select("part", "hs").mapInArrow(partial(_words, postings=POSTINGS), "part long, h long, n long"), "words")
+    words = records.select("part", "hs").mapInArrow(partial(_words, postings=POSTINGS), "part long, h long, n long")
     counts = written(queries.select("qid", F.explode(hashes(F.col("text"))).alias("h")).groupBy("qid", "h").agg(F.count("*").alias("tf")), "asked")
     terms = counts.select("h").distinct().withColumn("asked", F.lit(True))
     df = F.sum("n").over(Window.partitionBy("h")).alias("df")  # about as many rows as there are parts
@@ -123,7 +123,8 @@ def build(rows: DataFrame, queries: DataFrame) -> Index:
     found = dealt(records, "part").groupBy("part").cogroup(dealt(known, "part").groupBy("part"))
     kinds = T.StructType([*own.schema.fields[:3], *T.StructType.fromDDL("part long, norm double, hs array<long>, tfs array<int>").fields])
     normed = written(found.applyInArrow(partial(_normed, n=n), kinds), "normed")
-    return Index(normed, *_asked(queries, counts, words.join(terms, "h", "left_semi").groupBy("h").agg(F.sum("n").alias("df")), n))
+    df = records.select(F.explode("hs").alias("h")).join(terms.select("h"), "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
+    return Index(normed, *_asked(queries, counts, df, n))
 
 
 def _asked(queries: DataFrame, counts: DataFrame, known: DataFrame, n: int) -> tuple[DataFrame, int]:

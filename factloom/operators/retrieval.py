@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
-from factloom.operators import dense_index, fusion, lexical_index, lexical_parts, ordinals
+from factloom.operators import dense_index, fusion, lexical_parts, ordinals
 from factloom.storage import written
 
-DIGITS = lexical_index.DIGITS
+DIGITS = lexical_parts.DIGITS
 RRF_K = 60
 #: How deep rankings are looked at first for an expected record: enough where it is the first of one.
 FIRST_DEPTH = 128
@@ -170,13 +170,8 @@ def lexical_topk(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def lexical_first_ranks(rows: DataFrame, queries: DataFrame, expected: DataFrame) -> DataFrame:
-    """``complete_first_ranks`` of the lexical scores: the scores of the expected records say what is to be counted."""
-    index = lexical_index.build(rows)
-    asked = lexical_index.ask(index, queries)
-    held = lexical_index.blocks(index, asked)
-    pairs = expected.select("qid", "evidence_id").distinct()
-    own = written(pairs.join(lexical_index.exact(index, asked, pairs), ["qid", "evidence_id"], "left").groupBy("qid").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("least")), "least")
-    return complete_first_ranks(written(lexical_index.at_least(index, asked, held, own), "scores"), index.records, expected)
+    """``complete_first_ranks`` of the lexical scores, which stay in their tasks: numbers of records ahead leave them."""
+    return lexical_parts.first_ranks(lexical_parts.build(rows, queries), expected)
 
 
 def hybrid_first_ranks(rows: DataFrame, queries: DataFrame, expected: DataFrame) -> DataFrame:

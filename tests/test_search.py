@@ -191,6 +191,16 @@ def test_lexical_search_makes_no_row_for_each_copy(spark, monkeypatch):
     assert max(sizes.values()) <= 302  # not 300 for each question
 
 
+def test_lexical_first_ranks_make_no_row_for_each_copy(spark, monkeypatch):
+    rows, queries = copies(spark), asked(spark)
+    expected = queries.select("qid", F.lit("S:x").alias("evidence_id")).unionByName(queries.select("qid", F.lit("S:y").alias("evidence_id")))
+    whole = retrieval.full_ranks(retrieval.lexical_scores(rows, queries), rows, queries, "rank")
+    want = {r.qid: r.first_rank for r in retrieval.first_ranks(whole, expected).collect()}
+    sizes = steps(monkeypatch)
+    assert {r.qid: r.first_rank for r in retrieval.lexical_first_ranks(rows, queries, expected).collect()} == want
+    assert max(sizes.values()) <= 302
+
+
 def test_lexical_parts_and_chunks_change_nothing(spark, monkeypatch):
     for name, value in {"RECORDS": 40, "POSTINGS": 900, "QUESTIONS": 9, "ROWS": 7}.items():
         monkeypatch.setattr(lexical_parts, name, value)
@@ -202,3 +212,14 @@ def test_lexical_parts_and_chunks_change_nothing(spark, monkeypatch):
     whole = retrieval.full_ranks(retrieval.lexical_scores(rows, queries), rows, queries, "rank")
     best = whole.join(retrieval.lexical_scores(rows, queries), ["qid", "evidence_id"], "left").na.fill(0.0, ["score"]).where("rank <= 10")
     assert ranks(retrieval.lexical_topk(rows, queries, 10)) == ranks(best)
+    expected = rows.where(F.pmod(F.xxhash64("evidence_id"), F.lit(30)) == 0).select("evidence_id").unionByName(spark.createDataFrame([("n1",)], "evidence_id string")).crossJoin(queries.select("qid"))
+    want = {r.qid: r.first_rank for r in retrieval.first_ranks(whole, expected).collect()}
+    assert {r.qid: r.first_rank for r in retrieval.lexical_first_ranks(rows, queries, expected).collect()} == want
+
+
+def test_only_texts_that_may_contain_a_passage_are_exchanged(spark):
+    t = spark.range(500).select(F.col("id").alias("text_id"), F.concat(F.lit("the lazy dog of "), "id").alias("text")).unionByName(spark.createDataFrame([(500, "see the quick brown fox")], "text_id long, text string"))
+    found = containment.containing(t, spark.createDataFrame([(1, "the quick brown fox"), (2, "cat")], "passage_id long, passage string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[text_id#\d+L?\], \[text_id#\d+L?\], LeftSemi", plan)
+    assert [tuple(r) for r in found.collect()] == [(1, 500)]
