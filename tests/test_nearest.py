@@ -1,8 +1,16 @@
 import random
+import sys
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+sys.path.insert(0, __file__.rpartition("/")[0])
+import oracle
 from factloom import storage
 from factloom.operators import comparison, matching, nearest
+from factloom.plans import contract_queries
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -77,3 +85,39 @@ def test_small_groups_make_no_bucket(spark, monkeypatch):
     monkeypatch.setattr(nearest, "candidate_buckets", None)
     candidates, gold = facts(spark, 20, "c", 8, sources=5), facts(spark, 30, "g", 9, sources=6)
     assert matching.closest(candidates, gold).count() >= 30 and comparison.closest_by_score(candidates, gold).count() > 0
+
+
+def test_alike_facts_are_judged_once(spark, monkeypatch):
+    """Whatever the number of facts, buckets are made for three candidates and one annotation of each form."""
+    monkeypatch.setattr(nearest, "FEW", 0)
+    seen, made = [], nearest.few_nearest
+    monkeypatch.setattr(nearest, "few_nearest", lambda c, g, on, most: seen.append((c.count(), g.count())) or made(c, g, on, most))
+    candidates, gold = facts(spark, 4, "c", 8, sources=1), facts(spark, 4, "g", 8, sources=1)
+    times = lambda rows, key: rows.crossJoin(spark.range(30)).withColumn(key, F.concat_ws("-", key, F.lpad(F.col("id").cast("string"), 2, "0"))).drop("id")
+    found = matching.closest(times(candidates, "candidate_id"), times(gold, "annotation_id"))
+    assert found.count() > 120 and seen[0][0] <= 4 * 3 and seen[0][1] <= 4
+    rows = compared(times(candidates, "candidate_id"), times(gold, "annotation_id")).withColumn("reasons", F.when(F.col("candidate_id").isNotNull(), matching._differences()))
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("annotation_id").orderBy(F.size("reasons"), "candidate_id"))).where("n <= 3")
+    assert sorted((r.annotation_id, r.rank, r.candidate_id, r.reasons) for r in found.collect()) == sorted((r.annotation_id, r.n, r.candidate_id, r.reasons) for r in want.collect())
+
+
+@pytest.mark.parametrize("few", [0, 32, 1000])
+def test_parts_are_compared_with_all_of_their_brand(spark, tmp_path, monkeypatch, few):
+    """Whatever their sizes and the remainders of their keys; parts without a brand with each other."""
+    monkeypatch.setattr(nearest, "FEW", few)
+    pick = random.Random(11)
+    parts = [(n, pick.choice(["A", "A", "A", "B", None]), pick.choice([1, 2, 3, None])) for n in range(0, 1000, 7)] + [(1001, "C", 1), (1002, "D", None), (1005, "D", 4)]
+    pq.write_table(pa.table(dict(zip(["p_partkey", "p_brand", "p_size"], zip(*parts, strict=True), strict=True))), tmp_path / "part.parquet")
+
+    def near(n, brand, size):
+        found = []
+        for k, b, z in parts:
+            if b == brand:
+                subject, kind, unit, value = k % 2 != 0, k % 3 == 0, k % 5 == 0, z != size
+                category = "different_fact" if subject and value else "subject_mismatch" if subject else "value_mismatch" if value else "qualifier_mismatch" if kind or unit else "match"
+                found.append((subject + kind + unit + value, k, category))
+        return [(f"A{n:08d}", i, f"K{k:08d}", m, c) for i, (m, k, c) in enumerate(sorted(found)[:3], 1)]
+
+    got = contract_queries.nearest_candidates(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(x for p in parts for x in near(*p))
+    assert oracle.differences(spark, str(tmp_path), contract_queries.nearest_candidates, contract_queries.ORACLES["nearest_candidates"]) is None
